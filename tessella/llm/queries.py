@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe_prefix_dp
 from .line_dedup import OP10_SQL, op10_line_dedup
 
 QUERIES = {
+    "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
     "op10_line_dedup": op10_line_dedup,
 }
 
