@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import table
+from .support import shipped, table
 
 #: The word pattern of the tokenizer, and its form for texts of Latin-1 letters, which is faster.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -241,7 +241,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_
     table gives an empty result.  Strings of special tokens in a text become
     their ids.
     """
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     shared, key = spark.sparkContext.broadcast(vocabulary), vocabulary.key
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ends = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests_only else [("ids", pa.binary()), ("decoded", pa.string())]

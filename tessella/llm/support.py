@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +42,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tessella/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of executors, once for each context.
+
+    Executors may not have the package installed; Spark's file server hands the
+    archive out, so nothing depends on the driver's folders.
+    """
+    root = Path(__file__).resolve().parent.parent
+    files = sorted(root.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+    sc = spark.sparkContext
+    if getattr(sc, "_tessella_shipped", None) != mark:
+        path = os.path.join(tempfile.mkdtemp(prefix="tessella-"), f"tessella-{mark}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in files:
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(path)
+        sc._tessella_shipped = mark
+    return spark
