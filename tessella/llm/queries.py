@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_prefix_dp
+from .decontamination import OP7_SQL, op7_suffix_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
 
 QUERIES = {
+    "op7_suffix_decontamination": op7_suffix_decontamination,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
     "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
 ORACLES = {
+    "op7_suffix_decontamination": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
