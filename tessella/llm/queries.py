@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe import op8_bpe_prefix_dp
 from .decontamination import OP7_SQL, op7_suffix_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .simhash import op6_simhash_golay
 
 QUERIES = {
+    "op6_simhash_golay": op6_simhash_golay,
     "op7_suffix_decontamination": op7_suffix_decontamination,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
     "op10_line_dedup": op10_line_dedup,
