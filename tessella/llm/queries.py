@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .boosting import op5_boosted_quality_rules
 from .bpe import op8_bpe_prefix_dp
 from .decontamination import OP7_SQL, op7_suffix_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .quadratic import op2_qda_quality
 from .simhash import op6_simhash_golay
 
 QUERIES = {
+    "op2_qda_quality": op2_qda_quality,
+    "op5_boosted_quality_rules": op5_boosted_quality_rules,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_suffix_decontamination": op7_suffix_decontamination,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
