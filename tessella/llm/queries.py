@@ -5,11 +5,13 @@ from __future__ import annotations
 from .boosting import op5_boosted_quality_rules
 from .bpe import op8_bpe_prefix_dp
 from .decontamination import OP7_SQL, op7_suffix_decontamination
+from .extraction import op9_dom_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quadratic import op2_qda_quality
 from .simhash import op6_simhash_golay
 
 QUERIES = {
+    "op9_dom_extraction": op9_dom_extraction,
     "op2_qda_quality": op2_qda_quality,
     "op5_boosted_quality_rules": op5_boosted_quality_rules,
     "op6_simhash_golay": op6_simhash_golay,
