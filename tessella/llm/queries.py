@@ -9,8 +9,10 @@ from .extraction import op9_dom_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quadratic import op2_qda_quality
 from .simhash import op6_simhash_golay
+from .toxicity import op3_toxicity_chain
 
 QUERIES = {
+    "op3_toxicity_chain": op3_toxicity_chain,
     "op9_dom_extraction": op9_dom_extraction,
     "op2_qda_quality": op2_qda_quality,
     "op5_boosted_quality_rules": op5_boosted_quality_rules,
