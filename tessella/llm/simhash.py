@@ -5,12 +5,16 @@ pairs without comparing all pairs, a fingerprint is cut into segments A and B of
 23 bits and C of 18.  The binary Golay code (23, 12) gives each 23-bit segment
 the numbers of all codewords within distance 4: one number, or six.  Segments
 that differ in two bits or fewer always share a number.  By the pigeonhole
-principle one of these then holds for any pair within four bits:
+principle, errors (a, b, c) in the segments leave one of these keys equal:
 
-* A and B each differ in at most two bits: they share a number of A with one of B;
-* A differs in three or more, so B and C differ in at most one: they share a
-  number of B with all of C, or all of B with one half of C;
-* the same with A and B exchanged.
+* c = 0: a number of A, or of B, with all of C;
+* a = 0 or b = 0: that segment with a number of the other, or (three errors in
+  the other, one in C) with a half of C;
+* (1, 1 or 2, 1): a half of A, a number of B and a half of C; (2, 1, 1) likewise;
+* (1, 1, 2): a half of A, a half of B and a third of C.
+
+A key has 29 bits at least, so that a pair of unlike fingerprints meets with a
+probability of about 1e-7.
 
 Buckets of equal keys are not expanded into pairs.  Each bucket first links its
 members to its smallest one where they are within four bits; components of these
@@ -121,17 +125,34 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     (na, ca), (nb, cb) = _golay[0].numbers(a), _golay[0].numbers(b)
     six = np.arange(6)
     keys, places = [], []
-
-    def add(kind: int, values: np.ndarray, kept: np.ndarray) -> None:
-        keys.append((values | kind << 58)[kept])
-        places.append(np.broadcast_to(np.arange(len(v)).reshape(-1, *[1] * (values.ndim - 1)), values.shape)[kept])
-
-    real_a, real_b = six < ca[:, None], six < cb[:, None]
-    add(0, na[:, :, None] << 12 | nb[:, None, :], real_a[:, :, None] & real_b[:, None, :])
-    for kind, own, numbers, real in ((1, b, nb, real_b), (4, a, na, real_a)):
-        add(kind, numbers << 18 | c[:, None], real)
-        for half in (0, 1):
-            add(kind + 1 + half, own << 9 | (c >> 9 * half & 511), np.ones(len(v), bool))
+    here = np.arange(len(v))
+
+    def add(*parts: tuple[int, np.ndarray, np.ndarray | None]) -> None:
+        """A kind of key: parts of (bits, values by alternative, which alternatives count)."""
+        total, counts = np.zeros((len(v), 1), np.int64), np.ones((len(v), 1), bool)
+        for bits, values, real in parts:
+            values = values.reshape(len(v), -1)
+            real = np.ones(values.shape, bool) if real is None else real
+            total = (total[:, :, None] << bits | values[:, None, :]).reshape(len(v), -1)
+            counts = (counts[:, :, None] & real[:, None, :]).reshape(len(v), -1)
+        keys.append((total | len(keys) << 58)[counts])
+        places.append(np.broadcast_to(here[:, None], total.shape)[counts])
+
+    def pieces(x: np.ndarray, *cuts: int) -> np.ndarray:
+        """The pieces of x between the cuts, each told apart by its place."""
+        return np.stack([x >> low & ((1 << high - low) - 1) | i << 12 for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))], axis=1)
+
+    golay_a, golay_b = (12, na, six < ca[:, None]), (12, nb, six < cb[:, None])
+    half_a, half_b, half_c, third_c = (13, pieces(a, 0, 11, 23), None), (13, pieces(b, 0, 11, 23), None), (13, pieces(c, 0, 9, 18), None), (14, pieces(c, 0, 6, 12, 18), None)
+    add(golay_a, (18, c, None))
+    add(golay_b, (18, c, None))
+    add((23, a, None), golay_b)
+    add(golay_a, (23, b, None))
+    add((23, a, None), half_c)
+    add((23, b, None), half_c)
+    add(half_a, golay_b, half_c)
+    add(golay_a, half_b, half_c)
+    add(half_a, half_b, third_c)
     return np.concatenate(keys), np.concatenate(places)
 
 
@@ -141,9 +162,9 @@ def _keyed(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(fps), 10_000):
-                keys, places = bucket_keys(fps[at : at + 10_000].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 10_000][places])], ["key", "fp"])
+            for at in range(0, len(fps), 4_000):
+                keys, places = bucket_keys(fps[at : at + 4_000].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 4_000][places])], ["key", "fp"])
 
     return distinct.select("fp").mapInArrow(run, "key long, fp long")
 
@@ -154,7 +175,7 @@ def _within(x: str, y: str) -> F.Column:
 
 def linked(distinct: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every fingerprint that links to another, from the distinct ones (column fp)."""
-    keyed = staged(_keyed(distinct), "keys")
+    keyed = _keyed(distinct)
     buckets = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where(F.col("first") != F.col("last"))
     shared = staged(keyed.join(buckets.select("key", "first"), "key"), "shared")
     close = shared.where((F.col("fp") != F.col("first")) & _within("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b"))
