@@ -8,10 +8,12 @@ from .decontamination import OP7_SQL, op7_suffix_decontamination
 from .extraction import op9_dom_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quadratic import op2_qda_quality
+from .quotations import OP1_SQL, op1_quote_links
 from .simhash import op6_simhash_golay
 from .toxicity import op3_toxicity_chain
 
 QUERIES = {
+    "op1_quote_links": op1_quote_links,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op9_dom_extraction": op9_dom_extraction,
     "op2_qda_quality": op2_qda_quality,
@@ -24,6 +26,7 @@ QUERIES = {
 
 #: DuckDB SQL, where SQL can express the operator.
 ORACLES = {
+    "op1_quote_links": OP1_SQL,
     "op7_suffix_decontamination": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
