@@ -9,10 +9,12 @@ from .extraction import op9_dom_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .quadratic import op2_qda_quality
 from .quotations import OP1_SQL, op1_quote_links
+from .secrets import op4_secret_forest
 from .simhash import op6_simhash_golay
 from .toxicity import op3_toxicity_chain
 
 QUERIES = {
+    "op4_secret_forest": op4_secret_forest,
     "op1_quote_links": op1_quote_links,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op9_dom_extraction": op9_dom_extraction,
