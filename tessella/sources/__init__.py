@@ -1 +1 @@
-"""Sources of the engine."""
+"""Reading and writing annotations, records, metrics, image tables and sidecars."""
