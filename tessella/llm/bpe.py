@@ -36,8 +36,8 @@ from .support import shipped, table
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zA-ZªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+")
 #: A worker forgets its words beyond this many; memory stays bounded, results are the same.
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 300_000
 NEVER = 1 << 40
 
 
@@ -261,7 +261,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_
                 first.append(ids)
                 second.append(decoded)
                 held += len(ids) + len(decoded)
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield pack(batch.column(0).slice(at, len(counts)), counts, first, second)
                     at, held = at + len(counts), 0
                     counts, first, second = [], [], []

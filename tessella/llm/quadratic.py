@@ -92,20 +92,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(0, 1))
     marked = measured.join(known, "id").select("label", "x")
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            for k in (0, 1):
-                own = x[label == k]
-                row = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-                yield pa.RecordBatch.from_pydict({"label": np.full(len(row), k), "place": np.arange(len(row)), "total": row})
-
-    totals = marked.mapInArrow(add_up, "label long, place long, total double").groupBy("label", "place").agg(F.sum("total").alias("total"))
-    flat = np.zeros((2, 1 + width + width * width))
-    for r in totals.collect():  # a few hundred numbers, whatever the input
-        flat[r["label"], r["place"]] = r["total"]
-    return from_sums({k: (flat[k, 0], flat[k, 1 : 1 + width], flat[k, 1 + width :].reshape(width, width)) for k in (0, 1)})
+    # the sums are native aggregates: no second Python worker runs in the tasks that measure
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    value = lambda i: F.get("x", F.lit(i))
+    sums = [F.sum(value(i)).alias(f"s{i}") for i in range(width)] + [F.sum(value(i) * value(j)).alias(f"p{i}_{j}") for i, j in pairs]
+    found = {}
+    for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums).collect():  # two rows of some hundred numbers, whatever the input
+        products = np.zeros((width, width))
+        for i, j in pairs:
+            products[i, j] = products[j, i] = r[f"p{i}_{j}"]
+        found[int(r["label"])] = (float(r["n"]), np.array([r[f"s{i}"] for i in range(width)]), products)
+    return from_sums(found)
 
 
 def score(docs: DataFrame, model: Quadratic, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

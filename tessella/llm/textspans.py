@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked through in groups of about so many bytes (a longer text is a group of its own).
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 
 #: A letter's case folded for A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
