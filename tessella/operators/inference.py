@@ -155,7 +155,7 @@ def _in_pool(rows: list, call: Callable, concurrency: int) -> list:
         return list(pool.map(call, rows))
 
 
-def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None) -> DataFrame:
+def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, call_settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None) -> DataFrame:
     """A row (sample_index, trial_id, result) for each question and trial.
 
     Choices of one request stand for the trials; with ``separate``, each trial
@@ -175,8 +175,8 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
         messages.append(user_message(row["prompt"] or "", url, image_settings if image_settings is not None else {"detail": "high"}))
         key = str(row["sample_index"])
         if separate:
-            return [r for t in trials for r in ask(backend, Request(f"{key}/{t}", messages, 1, settings or {}))]
-        return ask(backend, Request(key, messages, len(trials), settings or {}))
+            return [r for t in trials for r in ask(backend, Request(f"{key}/{t}", messages, 1, call_settings or {}))]
+        return ask(backend, Request(key, messages, len(trials), call_settings or {}))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

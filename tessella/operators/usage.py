@@ -50,8 +50,9 @@ def layout_counts(layouts: Column) -> Column:
 
 def counts_from_layouts(sidecars: DataFrame) -> DataFrame:
     """Roles by source image, from sidecars of either form."""
-    placed = sidecars.select(F.explode(F.coalesce("layouts", "placements")).alias("p"))
-    rows = placed.select(F.coalesce("p.src_img", "p.image").alias("image"), F.lower("p.image_type").alias("role")).where(F.col("image").isNotNull())
+    placed = sidecars.select(F.explode(F.coalesce(*[c for c in ("layouts", "placements") if c in sidecars.columns])).alias("p"))
+    named = [f"p.{n}" for n in ("src_img", "image") if n in placed.schema["p"].dataType.names]
+    rows = placed.select(F.coalesce(*named).alias("image"), F.lower("p.image_type").alias("role")).where(F.col("image").isNotNull())
     return rows.groupBy("image").agg(*[F.count_if(F.col("role") == r).alias(f"{r}_count") for r in ROLES])
 
 

@@ -49,7 +49,7 @@ def eval_records(spark: SparkSession, root: str) -> DataFrame:
 
 def _located(df: DataFrame, root: str, pattern: str) -> DataFrame:
     """The parts of a file's path below the root, as columns."""
-    full = F.concat(F.lit("/"), F.substring_index(F.col("_metadata.file_path"), F.lit(f"{root.rstrip('/').rpartition(':')[2].lstrip('/')}/"), -1))
+    full = F.concat(F.lit("/"), F.substring_index(F.col("_metadata.file_path"), root.rstrip("/").rpartition(":")[2].lstrip("/") + "/", -1))
     part = lambda i: F.regexp_extract(full, pattern, i)
     out = df.withColumn("setting", part(1)).withColumn("dataset", part(2))
     return out.withColumn("trial_id", part(3).cast("int")) if "trial" in pattern else out
@@ -104,12 +104,15 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
     return usage.default_counts(df)
 
 
-def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """Canvases and their layouts under a folder, in the present or the earlier form; unreadable files are left out."""
-    read = spark.read.schema(T.StructType([*schemas.SIDECAR.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(root)
+def sidecars(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
+    """Canvases and their layouts under a folder, in the present or the earlier form; unreadable ones are left out.
+
+    A file holds one document, or with ``lines`` one on each line, as this engine writes them.
+    """
+    read = spark.read.schema(T.StructType([*schemas.SIDECAR.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(root)
     found = read.select("*", F.col("_metadata.file_path").alias("path")).where(F.col("_corrupt_record").isNull() & F.coalesce("layouts", "placements").isNotNull())
     side = lambda name: F.coalesce(F.col(f"canvas.{name}"), F.col(name)).alias(name)
-    return found.select("path", *[side(c) for c in ("width", "height", "grid", "margin_g")], F.coalesce("layouts", "placements").alias("layouts"), F.lit(None).cast("string").alias("placements"))
+    return found.select("path", *[side(c) for c in ("width", "height", "grid", "margin_g")], F.coalesce("layouts", "placements").alias("layouts"))
 
 
 def output_index(spark: SparkSession, root: str) -> DataFrame:
@@ -132,9 +135,11 @@ def resolved_images(paths: DataFrame, listing: DataFrame, path: str = "image") -
 
 
 def done_trials(spark: SparkSession, root: str) -> DataFrame:
-    """The trials under a folder that have their mark, also of tables written by Spark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{done,_SUCCESS}").load(root).select(F.col("path"))
-    return files.select(F.regexp_extract("path", r"trial_(?:id=)?(\d+)", 1).try_cast("int").alias("trial_id")).where(F.col("trial_id").isNotNull()).distinct()
+    """The trials of a data set's folder that have their mark, also of tables written by Spark.  Marks are empty, so they are listed, not read."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/trial_*/{{done,_SUCCESS}}")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    ids = {name.rpartition("_")[2].rpartition("=")[2] for name in (f.getPath().getParent().getName() for f in found)}
+    return spark.createDataFrame([(int(i),) for i in sorted(ids) if i.isdigit()], "trial_id int")
 
 
 def training_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -155,6 +160,9 @@ def latest_counts(spark: SparkSession, folder: str) -> str | None:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
+    # a table is one file, or a folder of parts
+    whole = F.regexp_extract("path", r"^(.*/(?:final_counts|counts_latest|checkpoints/[^/]+)\.csv)(?:/[^/]*)?$", 1)
+    files = files.withColumn("path", whole)
     kind = F.when(F.col("path").endswith("/final_counts.csv"), 2).when(F.col("path").endswith("/counts_latest.csv"), 1).when(F.contains(F.col("path"), F.lit("/checkpoints/")), 0)
     best = files.withColumn("kind", kind).where(F.col("kind").isNotNull()).agg(F.max_by("path", F.struct("kind", "modificationTime", "path")).alias("path")).first()
     return best["path"]
