@@ -91,11 +91,11 @@ class PrefixEncoder:
             units[vocabulary.final[b]] = chr(b + 256)
         for r, (a, b, made) in enumerate(vocabulary.merges):
             self.rank.setdefault((a, b), r)
+            if a not in units or b not in units:
+                raise ValueError("a token is merged before its parts; prefixes then don't determine their last token")
             if made not in units:
                 units[made] = units[a] + units[b]
                 self.formed[made], self.left[made], self.right[made] = r, a, b
-        if any(self.formed[i] <= max(self.formed[self.left[i]], self.formed[self.right[i]]) for i in units if self.formed[i] >= 0):
-            raise ValueError("a token is merged before its parts; prefixes then don't determine their last token")
         self.stable: dict[int, bool] = {}
         for i in sorted(units, key=lambda x: self.formed[x]):
             a, b = self.left[i], self.right[i]

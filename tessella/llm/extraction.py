@@ -123,21 +123,21 @@ def extract(pages: DataFrame, model: TreeModel | None = None, *, html_col: str =
     spark = shipped(pages.sparkSession)
     shared = spark.sparkContext.broadcast(model or fit(labelled_pages()))
     kept = [c for c in keep or pages.columns if c not in (html_col, "text")]
-    source = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias("_html"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType())])
+    source = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{html_col}`").alias("html"))
+    schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, waiting, size = 0, [], 0
-            for i, value in enumerate(batch.column(len(kept))):
+            for i, value in enumerate(batch.column(1)):
                 waiting.append(value.as_py() or "")
                 size += len(waiting[-1])
                 if size >= TOGETHER or i == batch.num_rows - 1:
                     texts = pa.array(extract_many(waiting, shared.value), pa.string())
-                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(waiting)) for c in batch.columns[:-1]], texts], schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(waiting)), texts], schema.names)
                     at, waiting, size = i + 1, [], 0
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in kept], "text")
 
 
 def op9_dom_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     x = chain.seen(found)
     at = {int(h): i for i, h in enumerate(chosen.view(np.int64))}
     y = [toxic * (x[:, [at[h] for h in marks[c]]].max(axis=1) if len(x) else 0) for c in categories] + [toxic]
-    return train(x, np.stack(y, axis=1).reshape(len(x), -1), np.array([r["fold"] for r in data], int), chosen, chain.categories)
+    return train(x, np.stack(y, axis=1).reshape(len(x), len(y)), np.array([r["fold"] for r in data], int), chosen, chain.categories)
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
