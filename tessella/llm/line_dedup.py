@@ -2,7 +2,8 @@
 
 Native: every step is a DataFrame expression.  Lines are exploded once into
 fixed-width rows (document, position, 128-bit key hash) that are staged; the
-distinct-document counts are partial aggregates, so a line that a third of all
+distinct-document counts are partial aggregates, and the few keys that hold a
+large share of all rows are broadcast to them, so a line that a third of all
 documents share never meets in one task; the text itself moves once, when the
 positions to drop are joined back.
 """
@@ -17,6 +18,8 @@ from .support import staged, table
 #: The white space that is stripped from a line, and the letters that are lower-cased.
 STRIPPED = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bound on the keys that are broadcast because they are too frequent to be dealt out by.
+HOT_KEYS = 2_000
 
 
 def line_key(line: Column) -> Column:
@@ -52,13 +55,14 @@ def drop_shared_lines(
     lines = base.where(F.col("id").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.select("id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     keyed = staged(keyed.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "lines")
-    shared = keyed.groupBy("h1", "h2").agg(F.count_distinct("id").alias("holders"), F.max("id").alias("keeper")).where(F.col("holders") >= min_docs)
-    drops = (
-        keyed.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"])
-        .where(F.col("id") < F.col("keeper"))
-        .groupBy("id", "text_hash")
-        .agg(F.collect_set("pos").alias("dropped"))
-    )
+    counts = [F.count_distinct("id").alias("holders"), F.max("id").alias("keeper"), F.count(F.lit(1)).alias("rows")]
+    shared = staged(keyed.groupBy("h1", "h2").agg(*counts).where(F.col("holders") >= min_docs), "shared")
+    # keys with more than 1/HOT_KEYS of all rows: HOT_KEYS at most, as their rows add up to all, so they may be broadcast
+    hot = F.col("rows") > max(1000, keyed.count() // HOT_KEYS)
+    often = F.broadcast(shared.where(hot).select("h1", "h2", "keeper"))
+    seldom = shared.where(~hot).select("h1", "h2", "keeper")
+    held = keyed.join(often, ["h1", "h2"]).unionByName(keyed.join(often, ["h1", "h2"], "left_anti").join(seldom, ["h1", "h2"]))
+    drops = held.where(F.col("id") < F.col("keeper")).groupBy("id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
     cut = base.join(drops, ["id", "text_hash"], "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     kept = F.array_join(F.transform(places, lambda i: F.get(F.col("lines"), i)), "\n")
