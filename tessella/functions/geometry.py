@@ -149,11 +149,15 @@ def no_slivers(rects: Column, least: int) -> Column:
     return F.filter(rects, lambda r: F.least(r["x1"] - r["x0"], r["y1"] - r["y0"]) >= least)
 
 
+def _bound(value: Column, then) -> Column:
+    """A value used several times but worked out once: inside a lambda it is a variable."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def none_contained(rects: Column) -> Column:
     """J11 within one array: the rectangles that no other contains; of two equal ones, neither stays."""
-    at = F.transform(rects, lambda r, i: F.struct(i.alias("i"), r.alias("r")))
-    free = F.filter(at, lambda a: ~F.exists(at, lambda b: (a["i"] != b["i"]) & rect_contains(b["r"], a["r"])))
-    return F.transform(free, lambda a: a["r"])
+    # every rectangle contains itself, so one that no other contains is contained once
+    return _bound(rects, lambda every: F.filter(every, lambda a: F.size(F.filter(every, lambda b: rect_contains(b, a))) == 1))
 
 
 def split_free(rects: Column, used: Column) -> Column:
@@ -169,8 +173,9 @@ def split_free(rects: Column, used: Column) -> Column:
         )
         return F.when(rect_intersect(f, used), cut).otherwise(F.array(f))
 
-    cut = F.flatten(F.transform(rects, parts))
-    return none_contained(F.filter(cut, lambda r: rect_area(r) > 0))
+    cut = F.filter(F.flatten(F.transform(rects, parts)), lambda r: rect_area(r) > 0)
+    # the pieces of one rectangle don't contain each other; only those of several may
+    return F.when(F.size(rects) > 1, none_contained(cut)).otherwise(cut)
 
 
 def all_normal(rects: Column, least: int, low: float = 0.4, high: float = 2.5) -> Column:

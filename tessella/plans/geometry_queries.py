@@ -234,8 +234,7 @@ def band_join_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fallback_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best images of each panel by usage and aspect ratio; k is the feature."""
     panels, images = _band(spark, sf_dir)
-    score = bandjoin.sampling_score(F.col("uid") % 3, F.col("ratio"), F.col("panel_ratio"))
-    return bandjoin.nearest_by_score(panels, images, score, 8).select("panel_id", "uid", "rank")
+    return bandjoin.nearest_by_score(panels, images.withColumn("used", F.col("uid") % 3), 8).select("panel_id", "uid", "rank")
 
 
 @query(
