@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import staged
+from .support import discard, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,5 +38,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         count, total = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if (count, total) == mark or not count:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = (count, total)
+        mark, before = (count, total), now
         now = staged(_stars(_stars(now, True), False), label)
+        discard(before)

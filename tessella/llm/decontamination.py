@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import shipped, staged, table
+from .support import discard, shipped, staged, table
 from .textspans import ALNUM, LOWER, buffers, groups, spans, word_hashes
 
 #: Words of a window; an item with fewer words is one window.
@@ -263,9 +263,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     for b in range(blocks):
         block = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         items = [tuple(x) for x in block.orderBy("id", "text").collect()]
+        before = out
         out = _pass(spark, out, items, window, text_col, keep if keep and b == blocks - 1 else docs.columns)
         if blocks > 1:
             out = staged(out, "leaks")
+            discard(before)
     return out
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import staged, table
+from .support import discard, staged, table
 
 #: Quote marks at the start of a line, and lines that introduce a quotation.
 MARKS = r"^(?:[ \t]{0,3}>)+"
@@ -81,9 +81,11 @@ def _threads(links: DataFrame) -> DataFrame:
         up = now.select(F.col("conv").alias("conv2"), F.col("turn").alias("turn2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
         moved = now.join(up, (F.col("conv") == F.col("conv2")) & (F.col("top") == F.col("turn2")), "left")
         after = staged(moved.select("conv", "turn", F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("turn2").isNotNull().alias("moved")), "threads")
+        discard(now)
         if not after.where("moved").limit(1).count():
             return after.drop("moved")
         now = after.drop("moved")
+        now._staged_at = after._staged_at
 
 
 def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .support import shipped, staged, table
+from .support import discard, shipped, staged, table
 
 #: Words of a shingle, the seed of its hash, and the bits in which linked fingerprints may differ.
 WORDS, SEED, BITS = 4, 42, 4
@@ -188,6 +188,7 @@ def linked(distinct: DataFrame) -> DataFrame:
     outer = components(bridges.select(F.col("root").alias("a"), F.col("root2").alias("b")), "bridges")
     named_roots = roots.join(outer.select(F.col("node").alias("root"), F.col("root").alias("outer")), "root", "left").select("node", F.coalesce("outer", "root").alias("root"))
     alone = outer.join(roots, "node", "left_anti")
+    discard(shared, named)
     return named_roots.unionByName(alone)
 
 
