@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import os
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -24,6 +25,8 @@ from ..functions import text
 from ..schemas import CONVERSATION, EVAL_RESULT, INFERENCE_RESULT, MESSAGE
 from ..sources.checkpoints import shipped, staged
 
+log = logging.getLogger(__name__)
+
 #: Fixed value: tokens that a judge may answer with.
 JUDGE_TOKENS = 2048
 
@@ -131,12 +134,20 @@ def _shown(message: dict) -> dict:
     return {"role": message.get("role"), "content_text": None, "content_parts": parts}
 
 
+def error_message(error: Exception, backend: Backend, request: Request, detailed: bool = False) -> str:
+    """what failed where; in detail with the messages, their image data left out.  A backend's key isn't part of it."""
+    where = f'"{getattr(backend, "model", type(backend).__name__)}" at {getattr(backend, "base_url", None)}'
+    out = f"failed to query {where}: {error!r}"
+    return out + "\n  messages: " + json.dumps([_shown(m) for m in request.messages], ensure_ascii=False) if detailed else out
+
+
 def ask(backend: Backend, request: Request) -> list[dict]:
     """The request's choices as inference results; any error makes all of them failed ones."""
     failed = lambda why: {"success": False, "fail_reason": why, "finish_reason": "", "conversations": [], "last_message_content": None}
     try:
         choices = backend.complete(request)
-    except Exception:
+    except Exception as e:
+        log.warning(error_message(e, backend, request))
         return [failed("api_error")] * request.n
     if len(choices) != request.n:
         return [failed("wrong_number_of_choices")] * request.n

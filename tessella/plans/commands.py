@@ -64,6 +64,21 @@ def gather(spark: SparkSession, output_dir: str, settings: Sequence[str], datase
     return out
 
 
+def sweep(spark: SparkSession, models: dict[str, inference.Backend], datasets: dict[str, DataFrame], judge: inference.Backend, output_dir: str, num_trials: int = 1, by_model: dict[str, dict] | None = None, **options) -> DataFrame:
+    """Evaluate every model on every data set, then gather.
+
+    ``by_model`` has options for models whose name contains a part, such as a
+    bound on pixels; later parts win.
+    """
+    for name, backend in models.items():
+        own = dict(options)
+        for part, more in (by_model or {}).items():
+            own |= more if part in name.lower() else {}
+        for dataset, samples in datasets.items():
+            evaluate(spark, samples, backend, judge, output_dir, name, dataset, num_trials, **own)
+    return gather(spark, output_dir, list(models), list(datasets))
+
+
 def collages(spark: SparkSession, images: DataFrame, folder: str, total: int, per_round: int, chunks: int, seed: int = 42, settings: collage.Settings | None = None, auto_resume: bool = True, checkpoint_each_round: bool = True) -> DataFrame:
     """Make collages in rounds, write layouts and counts after each, and go on from an earlier run."""
     start = 0

@@ -113,5 +113,19 @@ def test_a_whole_run(spark, tmp_path):
     assert {"d1", "d1-c", "d1-s"} <= set(single.columns)
 
 
+def test_sweep(spark, tmp_path):
+    models = {"org/a": inference.ArithmeticBackend(), "b": Failing()}
+    out = commands.sweep(spark, models, {"x": samples(spark), "y": samples(spark).limit(0)}, inference.ArithmeticJudge(), str(tmp_path), by_model={"org": {"max_answer_length": 3}}).toPandas().set_index("setting")
+    right = sum(expected(i) == "correct" for i in range(60)) / 60
+    assert out.loc["org/a", "x"] == f"{right * 100:.1f}±0.0 @1" and out.loc["b", "x"] == "0.0±0.0 @1"
+    assert out.loc["org/a", "y"] == "0.0±0.0 @1" or out.loc["org/a", "y"] == "N/A"
+
+
+def test_errors_name_the_model_but_no_key():
+    request = inference.Request("1", [inference.user_message("q", "data:image/jpeg;base64,AAAA")])
+    said = inference.error_message(OSError("x"), inference.HttpBackend("m", "http://h/v1"), request, detailed=True)
+    assert '"m" at http://h/v1' in said and "AAAA" not in said and "[pruned]" in said
+
+
 def test_secrets_are_blacked_out():
     assert writers.redacted({"judge_api_key": "x", "api_key": None, "token": "t", "max_tokens": 3}) == {"judge_api_key": "[redacted]", "api_key": None, "token": "[redacted]", "max_tokens": 3}
