@@ -157,7 +157,7 @@ def ask(backend: Backend, request: Request) -> list[dict]:
             out.append(failed("failed_to_parse_response"))
             continue
         said = [*map(_shown, request.messages), {"role": c.role, "content_text": c.content, "content_parts": None}]
-        out.append({"success": True, "fail_reason": "", "finish_reason": c.finish_reason, "conversations": [{"agent": "vreasoner", "messages": said}], "last_message_content": c.content})
+        out.append({"success": True, "fail_reason": "", "finish_reason": c.finish_reason, "conversations": [{"agent": "main", "messages": said}], "last_message_content": c.content})
     return out
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import staged
 from .usage import COUNTS
 
 
@@ -116,22 +117,23 @@ def dealt(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 def numbered(df: DataFrame, *order: Column | str, partitions: int | None = None) -> DataFrame:
     """Dense numbers from 0 in an order, without one task seeing all rows.
 
-    Rows are sorted over a fixed number of ranges; each row's place in its range
-    comes from its partition, and the ranges' sizes (as many numbers as there
-    are partitions) give the offsets.
+    Rows are sorted over a fixed number of ranges, and written with their range
+    and their place in it: ranges come from a sample, so a second run might cut
+    them otherwise.  The ranges' sizes (as many numbers as there are partitions)
+    give the offsets.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = ranged.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    placed = placed.withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = staged(placed.withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), "numbered")
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for i in range(n):
         starts.append(total)
         total += sizes.get(i, 0)
     offset = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_part"))
-    return placed.withColumn("ordinal", F.col("_place") + offset).drop("_part", "_id", "_place")
+    return placed.withColumn("ordinal", F.col("_place") + offset).drop("_part", "_place")
 
 
 def recent(df: DataFrame, group: str, order: str, key: str, most: int = 64) -> DataFrame:
