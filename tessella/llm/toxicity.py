@@ -72,7 +72,9 @@ def text_features(column: pa.Array) -> list[np.ndarray]:
 
 
 def _word(w: str) -> int:
-    return int(text_features(pa.array([w]))[0].view(np.int64)[0]) if len(w) <= BEGINNING else int(word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)[0])
+    """The hash of a whole word, as a signed number."""
+    data = np.frombuffer(w.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
 
 
 @dataclass(frozen=True)
