@@ -205,4 +205,5 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of each category, and whether it is toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), *[c for c in scored.columns if c != "doc_id"], F.col(f"p_{LAST}").alias("score"), (F.col(f"p_{LAST}") >= 0.5).alias("toxic"))
+    p = F.col(f"p_{LAST}")
+    return scored.withColumns({"score": p, "predicted": (p >= 0.5).cast("int"), "toxic": p >= 0.5})
