@@ -8,6 +8,7 @@ computed by the very same expressions.
 
 from __future__ import annotations
 
+import json
 import random
 import string
 from functools import reduce
@@ -176,7 +177,10 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | No
     """Grow the forest from labelled findings (some hundreds, given by the caller, never rows of the corpus)."""
     findings = findings or labelled_findings()
     names = list(features())
-    rows = spark.createDataFrame(findings, "candidate string, before string, after string, path string, label long").select("label", *[f.alias(n) for n, f in features().items()])
+    fields = ("candidate", "before", "after", "path", "label")
+    given = json.dumps([dict(zip(fields, x, strict=True)) for x in findings])
+    rows = spark.sql("SELECT inline(from_json(:given, 'array<struct<candidate:string,before:string,after:string,path:string,label:bigint>>'))", args={"given": given})
+    rows = rows.select("label", *[f.alias(n) for n, f in features().items()])
     data = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 1 + len(names))
     data = data[np.lexsort(data.T[::-1])]
     return grow(data[:, 1:], data[:, 0])
