@@ -23,12 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, is a temporary folder made and remembered in the session.
+    as in local tests, is a temporary folder made, once for each context.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder, sc = spark.conf.get(CHECKPOINT_KEY, None), spark.sparkContext
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        folder = sc._tessella_folder = getattr(sc, "_tessella_folder", None) or tempfile.mkdtemp(prefix="tessella-")
     return folder.rstrip("/")
 
 

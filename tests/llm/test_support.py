@@ -14,14 +14,16 @@ def test_staged_tables_lie_in_the_folder_of_the_session_and_can_be_discarded(spa
     assert not os.path.exists(path.removeprefix("file://"))
 
 
-def test_an_unset_folder_is_made_once(spark):
-    before = spark.conf.get(support.CHECKPOINT_KEY)
-    try:
-        spark.conf.unset(support.CHECKPOINT_KEY)
-        if spark.conf.get(support.CHECKPOINT_KEY, None) is None:
-            assert support.shared_folder(spark) == support.shared_folder(spark)
-    finally:
-        spark.conf.set(support.CHECKPOINT_KEY, before)
+def test_an_unset_folder_is_made_once():
+    class Unset:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf, sparkContext = Unset(), type("Context", (), {})()
+
+    folder = support.shared_folder(Session)
+    assert os.path.isdir(folder) and support.shared_folder(Session) == folder
 
 
 def test_package_is_shipped_once(spark):
