@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """What the cluster names in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = sc._tessella_folder = getattr(sc, "_tessella_folder", None) or tempfile.mkdtemp(prefix="tessella-")
     return folder.rstrip("/")
 
 
