@@ -27,10 +27,17 @@ CLOSES = {
     "body": ({"head"}, frozenset()),
 }
 
-TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>)""", re.S)
+#: Comments, declarations and tags.  Quoted values may hold anything; where quotes don't match, a tag ends at the next ">".  No part can be matched in two ways, so time stays linear.
+TAG = re.compile(
+    r"""<(?:!--(?:.*?--!?>|.*\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/><]*+)((?:(?:[^<>"']++|"[^"]*"|'[^']*')*+(?=>))|[^<>]*+)>)""",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+|\d+")
 
+#: Elements nested deeper than this are read as if they stood beside each other.
+DEEPEST = 512
+
 #: Groups of elements, and of words in an element's class, id or role.
 GROUPS = (
     "article main", "section", "div center", "p", "h1 h2 h3 h4 h5 h6 hgroup", "li dd dt", "ul ol dl menu", "a", "span b i em strong u small font mark code sub sup q cite abbr time br wbr",
@@ -82,7 +89,7 @@ def parse(source: str) -> Page:
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                runs.append((stack[-1], block, m[0][9:-3]))
+                runs.append((stack[-1], block, m[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if m[1]:
@@ -119,7 +126,7 @@ def parse(source: str) -> Page:
             if stop > at:
                 runs.append((len(tag) - 1, block, html.unescape(source[at:stop]) if name in ("title", "textarea") else source[at:stop]))
             at = close.end() if close else end
-        elif not (m[3] or "").endswith("/") or name in BLOCK:
+        elif (not (m[3] or "").endswith("/") or name in BLOCK) and len(stack) < DEEPEST:
             stack.append(len(tag) - 1)
     return page
 
