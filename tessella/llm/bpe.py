@@ -38,6 +38,7 @@ LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ÿ]
 #: A worker forgets its words beyond this many; memory stays bounded, results are the same.
 CACHED_WORDS = 150_000
 CACHED_PAIRS = 300_000
+LONG_WORD = 100
 NEVER = 1 << 40
 
 
@@ -152,14 +153,20 @@ class PrefixEncoder:
 
 
 class Words(dict):
-    """The ids of each word as bytes, filled as words turn up; ``shown`` has their decoded forms."""
+    """The ids of each word as bytes, filled as words turn up; ``shown`` has their decoded forms.
+
+    Long words are forgotten after the text that they stand in.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.encoder, self.tokens, self.shown = PrefixEncoder(vocabulary), vocabulary.tokens, {}
+        self.long: list[str] = []
 
     def __missing__(self, word: str) -> bytes:
         b = word.encode("utf-8", "surrogatepass")
+        if len(b) > LONG_WORD:
+            self.long.append(word)
         ids = self.encoder.encode(b[:-1].decode("latin-1") + chr(b[-1] + 256))
         out = self[word] = b"".join(i.to_bytes(4, "little") for i in ids)
         tokens = self.tokens
@@ -170,6 +177,10 @@ class Words(dict):
         if len(self) > CACHED_WORDS:
             self.clear()
             self.shown.clear()
+        for word in self.long:
+            self.pop(word, None)
+            self.shown.pop(word, None)
+        self.long.clear()
 
 
 class Codec:
