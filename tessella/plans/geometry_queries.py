@@ -187,7 +187,7 @@ def bbox_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     "bbox_parse",
     """
     WITH a AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 3) AS a, round(CAST(embedding[2] AS DOUBLE), 3) AS b, label FROM embeddings)
-    SELECT vec_id, CASE label % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 7.0 END AS x0, CASE label % 5 WHEN 0 THEN 40.0 WHEN 1 THEN 8.0 END AS y1, CASE label % 5 WHEN 0 THEN (20 - 1.5) * (40 - 3) / 1000.0 WHEN 1 THEN 0.0 ELSE 0.0 END AS share FROM a
+    SELECT vec_id, CASE label % 5 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 7.0 END AS x0, CASE label % 5 WHEN 0 THEN 40.0::DOUBLE WHEN 1 THEN 8.0 END AS y1, CASE label % 5 WHEN 0 THEN (20 - 1.5::DOUBLE) * (40 - 3) / 1000.0 ELSE 0.0 END AS share FROM a
     """,
 )
 def bbox_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
