@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch that is passed to Python.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +58,16 @@ def discard(*tables: DataFrame) -> None:
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers of executors, once for each context.
+    """Make a session ready for this package's Python workers.
 
-    Executors may not have the package installed; Spark's file server hands the
-    archive out, so nothing depends on the driver's folders.
+    The package is sent once for each context: executors may not have it
+    installed, and Spark's file server hands the archive out, so nothing depends
+    on the driver's folders.  Batches of ``BATCH_ROWS`` rows replace Spark's
+    default of 10,000, which whole texts make tens of megabytes each, held
+    several times over by both sides of a task; another setting is left alone.
     """
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     root = Path(__file__).resolve().parent.parent
     files = sorted(root.rglob("*.py"))
     mark = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
