@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .docstats import COUNTS, FEATURES, batches_with_counts, features
-from .support import shipped, table
+from .support import shipped, table, tidy
 
 #: Documented bound: labelled rows that the trees are grown from.
 MOST_ROWS = 20_000
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for part, counts in batches_with_counts(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *map(pa.array, features(counts).T)], ["label", *FEATURES])
 
-    rows = marked.mapInArrow(run, "label long, " + ", ".join(f"{f} double" for f in FEATURES))
+    rows = marked.mapInArrow(tidy(run), "label long, " + ", ".join(f"{f} double" for f in FEATURES))
     data = np.array([tuple(r) for r in rows.orderBy(*rows.columns).limit(most_rows).collect()], float).reshape(-1, 1 + len(FEATURES))
     return grow(data[:, 1:], data[:, 0], np.array([MONOTONE.get(f, 0) for f in FEATURES]))
 
@@ -142,7 +142,7 @@ def judge(docs: DataFrame, forest: Forest, *, id_col: str = "doc_id", text_col:
             columns = [pa.array(counts[:, i].astype(np.int64)) for i in range(len(shown))]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(shared.value.score(features(counts)))], schema.names)
 
-    judged = source.mapInArrow(run, schema)
+    judged = source.mapInArrow(tidy(run), schema)
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= 0.5))
 

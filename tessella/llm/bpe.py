@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import shipped, table
+from .support import shipped, table, tidy
 
 #: The word pattern of the tokenizer, and its form for texts of Latin-1 letters, which is faster.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -283,7 +283,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_
         columns = [ids, pa.array(counts, pa.int64()), pa.array(first, ends[0][1]), pa.array(second, ends[1][1])]
         return pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:

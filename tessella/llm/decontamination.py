@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import discard, shipped, staged, table
+from .support import discard, shipped, staged, table, tidy
 from .textspans import ALNUM, LOWER, buffers, groups, spans, word_hashes
 
 #: Words of a window; an item with fewer words is one window.
@@ -297,7 +297,7 @@ def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str |
                 columns = [pa.array(x, batch.schema.field(2 + i).type) for i, x in enumerate((covered, items, matches))]
                 yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array([f.n_words for f in found], pa.int64()), *columns], batch.schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

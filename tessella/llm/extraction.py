@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .dom import GROUPS, Page, Trees, parse, trees
 from .labelled_pages import labelled_pages
-from .support import shipped, table
+from .support import shipped, table, tidy
 
 #: Characters of html that are parsed before their pages are scored.
 TOGETHER = 1 << 21
@@ -137,7 +137,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None, *, html_col: str =
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(waiting)), texts], schema.names)
                     at, waiting, size = i + 1, [], 0
 
-    return source.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in kept], "text")
+    return source.mapInArrow(tidy(run), schema).select(*[F.col(f"row.`{c}`") for c in kept], "text")
 
 
 def op9_dom_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .docstats import FEATURES, batches_with_counts, features
-from .support import shipped, table
+from .support import shipped, table, tidy
 
 #: Weight of the pooled covariance, and of its mean variance, in a class covariance.
 POOLED, SPHERICAL = 0.8, 0.1
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x = features(counts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], ["id", "x"])
 
-    measured = source.mapInArrow(measure, T.StructType([source.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    measured = source.mapInArrow(tidy(measure), T.StructType([source.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(0, 1))
     marked = measured.join(known, "id").select("label", "x")
 
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Quadratic, *, text_col: str = "text", keep: li
                 out = pa.StructArray.from_arrays([part.column(i) for i in kept], fields=[part.schema.field(i) for i in kept])
                 yield pa.RecordBatch.from_arrays([out, pa.array(shared.value.score(features(counts)))], ["row", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op2_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .support import discard, shipped, staged, table
+from .support import discard, shipped, staged, table, tidy
 
 #: Words of a shingle, the seed of its hash, and the bits in which linked fingerprints may differ.
 WORDS, SEED, BITS = 4, 42, 4
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.array([fingerprint((t.as_py() or "").encode()) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(tidy(run), T.StructType([source.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def _remainder(v: int) -> int:
@@ -166,7 +166,7 @@ def _keyed(distinct: DataFrame) -> DataFrame:
                 keys, places = bucket_keys(fps[at : at + 4_000].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 4_000][places])], ["key", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "key long, fp long")
+    return distinct.select("fp").mapInArrow(tidy(run), "key long, fp long")
 
 
 def _within(x: str, y: str) -> F.Column:

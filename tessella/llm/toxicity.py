@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import shipped, staged, table
+from .support import shipped, staged, table, tidy
 from .textspans import ALNUM, LOWER, buffers, groups, mixed, spans, word_hashes
 
 #: Documented bound: labelled rows that are learnt from, for each label (those with the smallest hashes of their ids).
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             found = [f.view(np.int64) for f in text_features(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["fold", "label", "hashes"])
 
-    rows = staged(marked.mapInArrow(run, "fold long, label long, hashes array<bigint>"), "toxicity")
+    rows = staged(marked.mapInArrow(tidy(run), "fold long, label long, hashes array<bigint>"), "toxicity")
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     counted = rows.select("label", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
@@ -198,7 +198,7 @@ def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: st
                 p = shared.value.probabilities(shared.value.seen(text_features(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, np.ascontiguousarray(p.T))], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
