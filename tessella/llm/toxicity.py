@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .support import shipped, staged, table, tidy
 from .textspans import ALNUM, LOWER, buffers, groups, mixed, spans, word_hashes
 
-#: Documented bound: labelled rows that are learnt from, for each label (those with the smallest hashes of their ids).
+#: Documented bound: labelled rows that are learnt from, for each label (those with the smallest hashes of their ids); and rows of documents with these ids that differ in what the models see (copies count as often as they stand, the smallest hashes go first).
 MOST_ROWS = 4_000
 #: Words and beginnings that the models see at most, the standard errors by which their shares among the labels differ at least, and the characters of a beginning.
 CHOSEN, UNEVEN, BEGINNING = 384, 3.5, 5
@@ -107,35 +107,36 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _linear(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Penalised logistic regression by Newton's method; the constant (last column) isn't penalised much."""
+def _linear(x: np.ndarray, y: np.ndarray, times: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Penalised logistic regression by Newton's method, each row counted so many times; the constant (last column) isn't penalised much."""
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-3
     w = np.zeros(x.shape[1]) if start is None else start
     for _ in range(15):
         p = _logistic(x @ w)
-        curve = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, x.T @ (y - p) - penalty * w)
+        curve = (x.T * (times * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(penalty)
+        step = np.linalg.solve(curve, x.T @ (times * (y - p)) - penalty * w)
         w = w + step
         if np.abs(step).max(initial=0) < 1e-3:
             break
     return w
 
 
-def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: np.ndarray, categories: tuple[str, ...]) -> Chain:
-    """Fit the chain; ``y`` has a column for each category, ``fold`` the part that each row is held out with."""
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: np.ndarray, categories: tuple[str, ...], times: np.ndarray | None = None) -> Chain:
+    """Fit the chain; ``y`` has a column for each category, ``fold`` the part that each row is held out with, ``times`` how often each row stands (once if none are given)."""
+    times = np.ones(len(x)) if times is None else times
     one, earlier, weights = np.ones((len(x), 1)), np.zeros((len(x), 0)), []
     for k in range(y.shape[1]):
         seen = np.concatenate([x, earlier, one], axis=1)
-        weights.append(_linear(seen, y[:, k]))
+        weights.append(_linear(seen, y[:, k], times))
         if k + 1 < y.shape[1]:
             out_of_fold = np.zeros(len(x))
             for f in range(FOLDS):
                 out = fold == f
                 if out.any() and not out.all():
-                    out_of_fold[out] = _logistic(seen[out] @ _linear(seen[~out], y[~out, k], weights[k]))
+                    out_of_fold[out] = _logistic(seen[out] @ _linear(seen[~out], y[~out, k], times[~out], weights[k]))
                 elif out.any():
-                    out_of_fold[out] = y[:, k].mean()
+                    out_of_fold[out] = np.average(y[:, k], weights=times)
             earlier = np.concatenate([earlier, out_of_fold[:, None]], axis=1)
     return Chain(categories, chosen, tuple(weights))
 
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
     some = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most_rows) for k in (0, 1)]
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = texts.join(F.broadcast(some[0].unionByName(some[1])), "id").select(F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold"), "label", "text")  # at most 2 * most_rows rows of two numbers
+    marked = texts.join(F.broadcast(some[0].unionByName(some[1])), "id").select(F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold"), "label", "text")  # broadcast: at most 2 * most_rows rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marks = {c: [_word(w) for w in words] for c, words in categories.items()}
     wanted = sorted({r["hash"] for r in best.collect()} | {h for own in marks.values() for h in own})
     some_hashes = rows.select("fold", "label", F.array_intersect("hashes", F.array(*[F.lit(h) for h in wanted]).cast("array<bigint>")).alias("hashes"))
-    data = some_hashes.orderBy("label", "fold", F.to_json("hashes")).limit(2 * most_rows).collect()
+    alike = staged(some_hashes.groupBy("label", "fold", "hashes").agg(F.count("*").alias("times")), "toxicity")
+    # ids repeat in documents: a bound over both labels would cut one of them first
+    data = [r for k in (0, 1) for r in alike.where(F.col("label") == k).orderBy(F.xxhash64("fold", "hashes"), "fold", F.to_json("hashes")).limit(most_rows).collect()]
     chosen = np.sort(np.array(wanted, np.int64).view(np.uint64))
     chain = Chain((*categories, LAST), chosen, ())
     found = [np.array(r["hashes"], np.int64).view(np.uint64) for r in data]
@@ -176,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     x = chain.seen(found)
     at = {int(h): i for i, h in enumerate(chosen.view(np.int64))}
     y = [toxic * (x[:, [at[h] for h in marks[c]]].max(axis=1) if len(x) else 0) for c in categories] + [toxic]
-    return train(x, np.stack(y, axis=1).reshape(len(x), len(y)), np.array([r["fold"] for r in data], int), chosen, chain.categories)
+    return train(x, np.stack(y, axis=1).reshape(len(x), len(y)), np.array([r["fold"] for r in data], int), chosen, chain.categories, np.array([r["times"] for r in data], float))
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

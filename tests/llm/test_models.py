@@ -166,6 +166,32 @@ def test_toxicity_chain(spark):
     assert np.mean(out) > 0.97
 
 
+def repeated(spark, rows, label, copies):
+    """Documents whose rows of one label stand several times, each copy with one more number, so that none are alike."""
+    of = {i: (q, t)[label] for i, q, t in labels(rows)}
+    return table_of(spark, [(*r[:1], f"{r[1]} {c}", *r[2:]) for r in rows for c in range(copies if of[r[0]] == 0 else 1)])
+
+
+def test_toxicity_is_learnt_where_ids_of_the_other_label_repeat(spark):
+    rows = noisy(5, 600)
+    marks = spark.createDataFrame(labels(rows), LABELS)
+    chain = toxicity.fit(repeated(spark, rows, 1, 3), marks, most_rows=50)
+    got = toxicity.score(table_of(spark, rows), chain).collect()
+    toxic = {i for i, _, t in labels(rows) if t}
+    assert np.mean([(r["p_toxic"] >= 0.5) == (r["doc_id"] in toxic) for r in got]) > 0.95
+
+
+def test_copies_count_as_often_as_they_stand():
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 3)) < 0.4).astype(float)
+    y = (x[:, 0] + rng.random(200) > 0.9).astype(float)
+    times, fold = rng.integers(1, 4, 200), rng.integers(0, 5, 200)
+    again = np.repeat(np.arange(200), times)
+    a = toxicity.train(x, np.stack([y, y], axis=1), fold, np.arange(3, dtype=np.uint64), ("a", "b"), times.astype(float))
+    b = toxicity.train(x[again], np.stack([y, y], axis=1)[again], fold[again], np.arange(3, dtype=np.uint64), ("a", "b"))
+    assert all(np.allclose(v, w, atol=1e-3) for v, w in zip(a.weights, b.weights, strict=True))
+
+
 def test_later_categories_see_earlier_probabilities():
     rng = np.random.default_rng(1)
     x = (rng.random((400, 3)) < 0.4).astype(float)
