@@ -1,7 +1,7 @@
 """Quality rules: base rules on word counts, then gradient-boosted trees over document statistics.
 
 The trees are grown on the driver from a bounded sample of labelled statistics
-(``MOST_ROWS`` rows, those with the smallest hashes), flattened into arrays of
+(``MOST_ROWS`` rows, those with the smallest hashes; copies count as often as they stand), flattened into arrays of
 nodes and broadcast; executors walk all rows of a batch through a tree at once.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .docstats import COUNTS, FEATURES, batches_with_counts, features
 from .support import shipped, table, tidy
 
-#: Documented bound: labelled rows that the trees are grown from.
+#: Documented bound: labelled rows that the trees are grown from, and rows of documents with their ids that differ in label or statistics.
 MOST_ROWS = 20_000
 #: Growing: trees, levels, step, bins of a statistic, least curvature of a leaf, and its penalty.
 TREES, LEVELS, STEP, BINS, LEAST, PENALTY = 80, 3, 0.2, 32, 2.0, 1.0
@@ -55,24 +55,33 @@ class Forest:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, monotone: np.ndarray) -> Forest:
-    """Boost trees on the logistic loss.
+def _quantiles(v: np.ndarray, times: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Quantiles of the values, each of them standing so many times."""
+    order = np.argsort(v, kind="stable")
+    ends, place = np.cumsum(times[order]), shares * (times.sum() - 1)
+    below, above = (v[order][np.searchsorted(ends, whole, "right")] for whole in (np.floor(place), np.ceil(place)))
+    return below + (above - below) * (place - np.floor(place))
+
+
+def grow(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, times: np.ndarray | None = None) -> Forest:
+    """Boost trees on the logistic loss; each row counts ``times`` times, or once.
 
     A split on a statistic with a direction is taken only if its two values go
     that way; both children are then bound by the middle of them, so the whole
     tree, and the sum of all trees, is monotone in it.  With one class missing
     there is nothing to split and the score is the smoothed share of label 1.
     """
-    share = (y.sum() + 1) / (len(y) + 2)
+    times = np.ones(len(y)) if times is None else times
+    share = ((times * y).sum() + 1) / (times.sum() + 2)
     start = float(np.log(share / (1 - share)))
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
+    edges = [np.unique(_quantiles(x[:, j], times, np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1) if len(x) else np.zeros((0, x.shape[1]), int)
     nodes: list[list[float]] = []  # feature, threshold, left, right, value
     roots: list[int] = []
     margin = np.full(len(y), start)
     for _ in range(TREES if 0 < y.sum() < len(y) else 0):
         p = 1 / (1 + np.exp(-margin))
-        slope, curve = y - p, np.maximum(p * (1 - p), 1e-9)
+        slope, curve = times * (y - p), times * np.maximum(p * (1 - p), 1e-9)
         roots.append(len(nodes))
         nodes.append([0, np.inf, 0, 0, 0])
         waiting = [(len(nodes) - 1, np.arange(len(y)), 0, -np.inf, np.inf)]
@@ -114,15 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = known.where(F.crc32(F.col("id").cast("string")) % 3 != 1).orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
     shipped(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = texts.join(F.broadcast(known), "id").select("label", "text")  # at most ``most_rows`` rows of two numbers
+    marked = texts.join(F.broadcast(known), "id").select("label", "text")  # broadcast: at most ``most_rows`` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, counts in batches_with_counts(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *map(pa.array, features(counts).T)], ["label", *FEATURES])
 
     rows = marked.mapInArrow(tidy(run), "label long, " + ", ".join(f"{f} double" for f in FEATURES))
-    data = np.array([tuple(r) for r in rows.orderBy(*rows.columns).limit(most_rows).collect()], float).reshape(-1, 1 + len(FEATURES))
-    return grow(data[:, 1:], data[:, 0], np.array([MONOTONE.get(f, 0) for f in FEATURES]))
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    # ids repeat in documents: in the order of label and statistics one class or length would be cut first
+    data = np.array([tuple(r) for r in alike.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(most_rows).collect()], float).reshape(-1, 2 + len(FEATURES))
+    return grow(data[:, 1:-1], data[:, 0], np.array([MONOTONE.get(f, 0) for f in FEATURES]), data[:, -1])
 
 
 def judge(docs: DataFrame, forest: Forest, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

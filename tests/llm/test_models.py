@@ -190,6 +190,17 @@ def test_copies_count_as_often_as_they_stand():
     a = toxicity.train(x, np.stack([y, y], axis=1), fold, np.arange(3, dtype=np.uint64), ("a", "b"), times.astype(float))
     b = toxicity.train(x[again], np.stack([y, y], axis=1)[again], fold[again], np.arange(3, dtype=np.uint64), ("a", "b"))
     assert all(np.allclose(v, w, atol=1e-3) for v, w in zip(a.weights, b.weights, strict=True))
+    z = rng.normal(0, 1, (200, 3))
+    one = np.zeros(3)
+    assert np.allclose(boosting.grow(z, y, one, times.astype(float)).score(z), boosting.grow(z[again], y[again], one).score(z))
+
+
+def test_quality_is_learnt_where_ids_of_the_other_label_repeat(spark):
+    rows = noisy(3)
+    marks = spark.createDataFrame(labels(rows), LABELS)
+    got = boosting.judge(table_of(spark, rows), boosting.fit(repeated(spark, rows, 0, 12), marks, most_rows=200)).collect()
+    quality = {i: q for i, q, _ in labels(rows)}
+    assert np.mean([r["kept"] == bool(quality[r["doc_id"]]) for r in got]) > 0.9
 
 
 def test_later_categories_see_earlier_probabilities():
