@@ -21,6 +21,9 @@ from .support import table
 
 #: A candidate is a whole run of at least 16 of these characters, with a digit among them or a known beginning.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:AKIA|ASIA|gh[pos]_|sk_live_|AIza|eyJ|npm_))[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: What stands between a credential's name and its value.
+_ASSIGN = r"""[A-Za-z0-9_-]{0,12}["'`]?[ \t]{0,3}[:=]{1,3}>?[ \t]{0,3}"""
+_BARE = r"""[^\s"'`<>&,;]*[^\s"'`<>&,;.)\]}]"""
 #: Code points of the text before and after a candidate that are looked at.
 BEFORE, AFTER = 40, 24
 #: Words that make up identifiers, placeholders and prose rather than secrets.
@@ -29,6 +32,14 @@ DICTIONARY = "example sample test dummy placeholder your change here secret toke
 KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abpr]-|AIza|eyJ|ya29|SG_|npm_|dop_v1_)"
 CREDENTIAL = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?)"
 OTHER = r"(?i)(?:sha-?\d*|md5|commit|checksum|digest|integrity|uuid|guid|etag|revision|build|order|invoice|tracking|isbn|phone|tel|card|account|serial|session|trace|request|image|png|href|src|url|https?)"
+#: A candidate too: the value assigned to a credential, of any length; quoted, up to its closing quote; else up to white space, a quote or one of <>&,; (and without closing marks at its end).
+_NAMED = f"(?<=(?:{CREDENTIAL}){_ASSIGN}"
+ASSIGNED = "|".join([
+    *[f"(?<={q})(?<=[:=>][ \\t]{{0,3}}{q}){_NAMED}{q})[^{q}\\n]++(?={q})" for q in "\"'`"],
+    f"(?<=[:=> \\t])(?<=[:=>][ \\t]{{0,3}}){_NAMED})(?![=:>])(?!(?i:bearer|basic|token)[ \\t]){_BARE}",
+    f"(?<=(?i:bearer|basic|token)[ \\t])(?<=(?i:authorization){_ASSIGN}(?i:bearer|basic|token)[ \\t]){_BARE}",
+])
+SEARCH = f"(?:{ASSIGNED})|{CANDIDATE}"
 EXAMPLE_PATH = r"(?i)(?:test|example|sample|mock|fixture|spec|doc|demo|tutorial)"
 PAIRS = r"(?i)(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|ri|ro|ic|ne|ea|ra|ce)"
 
@@ -39,12 +50,14 @@ TREES, LEVELS, LEAST, SEED = 15, 5, 4, 7
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """A row for each candidate: ``id``, ``nth`` (from 0), ``candidate``, ``before``, ``after`` and ``path``.
 
+    Candidates are the values assigned to credentials, whatever their length and
+    characters, and all runs that CANDIDATE names; the forest rejects.
     The text is split at candidates, so each has the gaps beside it, in time
     linear in the text.  A null text has no candidates; a null path is empty.
     """
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.alias("path")).where(F.col("text").rlike(CANDIDATE))
-    rows = rows.select("id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.alias("path")).where(F.col("text").rlike(SEARCH))
+    rows = rows.select("id", "path", F.regexp_extract_all("text", F.lit(SEARCH), F.lit(0)).alias("found"), F.split("text", SEARCH, -1).alias("gaps"))
     beside = F.transform("gaps", lambda g: F.struct(F.right(g, F.lit(BEFORE)).alias("before"), F.left(g, F.lit(AFTER)).alias("after")))
     rows = rows.select("id", "path", "found", beside.alias("beside"))
     rows = rows.select("id", "path", F.posexplode("found").alias("nth", "candidate"), "beside")
@@ -68,6 +81,7 @@ def features() -> dict[str, Column]:
         "f_upper": _share(c, "[A-Z]"),
         "f_lower": _share(c, "[a-z]"),
         "f_marks": _share(c, "[+/_=-]"),
+        "f_symbols": _share(c, "[^A-Za-z0-9+/_=-]"),
         "f_turns": _share(c, "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"),
         "f_pairs": _share(c, PAIRS),
         "f_runs": _share(c, r"(?=(.)\1)"),
@@ -96,7 +110,26 @@ def labelled_findings(n: int = 1200, seed: int = SEED) -> list[tuple[str, str, s
         path = r.choice(paths) if r.random() < 0.9 else r.choice(["tests/test_a.py", "docs/example.md"])
         secret = r.random() < 0.5
         quote = r.choice(['"', "'", ""])
-        if secret:
+        named = words(2) + " " + r.choice(["password", "passwd", "pwd", "token", "secret", "api_key"]) + r.choice(["=", " = ", ": "])
+        if r.random() < 0.4:
+            before = named
+            if secret:
+                kind = r.random()
+                if kind < 0.4:
+                    c = r.choice(["hunter", "sun", "dragon", "winter", "blue", "maria", "tiger"]) + some(string.digits, 1, 4) + r.choice(["", "secret", "pass", "!", "x", "Moon"])
+                elif kind < 0.7:
+                    c = some(mixed + "!#%*@$?^+", 8, 16)
+                    c = c[:4] + r.choice("!#%*@$?") + c[4:] + r.choice(string.digits)
+                else:
+                    c = some(string.ascii_letters, 16, 32)
+            else:
+                c = r.choice([
+                    lambda: r.choice(DICTIONARY),
+                    lambda: r.choice(["null", "None", "true", "false", "required", "string", "changeme", "xxxx", "******", "str", "undefined", "empty", "expired", "invalid"]),
+                    lambda: r.choice(["$", "${", "{{", "%", "os.environ.", "config.", "self.", "process.env."]) + r.choice(DICTIONARY).upper() + r.choice(["", "}", "_", "()"]),
+                    lambda: r.choice(["your", "my", "the", "example"]) + r.choice(["_", "-", " "]) + r.choice(DICTIONARY),
+                ])()
+        elif secret:
             kind = r.random()
             if kind < 0.3:
                 c, before = r.choice(["AKIA", "ASIA"]) + some(upper, 16, 16), words(3) + r.choice([" ", ", ", ": ", " key="])
@@ -125,8 +158,6 @@ def labelled_findings(n: int = 1200, seed: int = SEED) -> list[tuple[str, str, s
                 c = r.choice(["your", "example", "test", "changeme", "xxxx"]) + r.choice(["_", "-", ""]) + r.choice(["token", "secret", "password", "0000", "xxxxxxxx"]) + r.choice(["_here_1", "12345678", "00000000"])
                 before = words(2) + " " + r.choice(["password", "token", "api_key"]) + r.choice(["=", ": "])
                 c = c if len(c) >= 16 else c + "0" * (16 - len(c))
-        if not any(x.isdigit() for x in c):
-            c += "7"
         out.append((c, (before + quote)[-BEFORE:], quote + r.choice([" ", "\n", ", ", " " + words(1)]), path, int(secret)))
     return out
 

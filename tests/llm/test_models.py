@@ -234,6 +234,15 @@ def test_secrets(spark):
     assert all(verdict[900, i] for i in range(3)) and not any(verdict[901, i] for i in range(3)) and verdict[902, 0]
 
 
+def test_assigned_values_are_candidates_whatever_their_length_and_characters(spark):
+    texts = ['password = "hunter2secret" end', "login passwd: S3cr3t!pass here", "set token=QmFzZVNpeHRlZWuUbktlbgxy.", '{"db_password": "a b;c", "x": 1}', "Authorization: Bearer abc.def-9", "the token: required", "u?token=abc1&x=2", "no token here"]
+    rows = [(i, t, "en", "src/app.py", 1) for i, t in enumerate(texts)]
+    got = {(r["doc_id"], r["nth"]): r for r in secrets.scan(table_of(spark, rows), secrets.fit(spark)).collect()}
+    want = {0: "hunter2secret", 1: "S3cr3t!pass", 2: "QmFzZVNpeHRlZWuUbktlbgxy", 3: "a b;c", 4: "abc.def-9", 5: "required", 6: "abc1"}
+    assert {k[0]: r["candidate"] for k, r in got.items()} == want and len(got) == len(want)
+    assert [got[i, 0]["is_secret"] for i in (0, 1, 2, 5)] == [True, True, True, False]
+
+
 def test_forest_columns_equal_walking_the_trees(spark):
     from pyspark.sql import functions as F
 
