@@ -397,15 +397,16 @@ def prepared(images: DataFrame) -> DataFrame:
 def make_round(images: DataFrame, count: int, chunks: int, start: int = 0, seed: int = 42, settings: Settings | None = None, round_id: int = 0) -> DataFrame:
     """One round: images dealt to chunks, indices to chunks in turn, collages of all chunks.
 
-    Images are dealt by a hash of uid and round, so chunks are of about equal
-    size and mixed anew each round.  Counts are fresh within a chunk and merged
+    Images are dealt by their uses (D25), those alike in the order of a hash of
+    uid and round, so chunks are of equal size and use, and mixed anew each
+    round.  Counts are fresh within a chunk and merged
     after the round.
     """
     s = settings or Settings()
     shipped(images.sparkSession)
     shares = sampling.quotas(count, chunks, count)
     first = [start + sum(shares[:i]) for i in range(chunks)]
-    rows = prepared(images).withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(round_id)), F.lit(chunks)).cast("int"))
+    rows = sampling.balanced(prepared(images), chunks, F.xxhash64("uid", F.lit(seed), F.lit(round_id)), "uid")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         pool, i = Pool(frame.sort_values("uid", kind="stable"), s), int(key[0])

@@ -153,15 +153,74 @@ def quotas(total: int, n: int, most: int) -> list[int]:
 
 
 def balance_score(core: Column, alt: Column, fill: Column) -> Column:
-    """How much an image was used, by role."""
-    return 4 * core + 2 * alt + fill
+    """Which roles an image was used in, core before alt before fill, less all its uses."""
+    core, alt, fill = (F.coalesce(c.cast("long"), F.lit(0)) for c in (core, alt, fill))
+    used = lambda c, weight: F.when(c > 0, weight).otherwise(0)
+    return used(core, 10_000_000) + used(alt, 10_000) + used(fill, 10) - (core + alt + fill)
+
+
+def balanced(df: DataFrame, n: int, *ties: Column | str) -> DataFrame:
+    """Rows in falling order of their score, dealt to n chunks in turn over the whole table."""
+    return dealt(df, n, balance_score(*[F.col(c) for c in COUNTS]).desc(), *ties).drop("ordinal")
+
+
+def lexi_runs(counts: dict[tuple[int, int, int], int], n: int) -> list[tuple[int, int]]:
+    """(chunk, rows) in the order of dealing, from the number of rows of each (core, alt, fill) used.
+
+    A row goes to the chunk whose sums of core, alt and fill, and then whose size
+    (all differences after taking the row), are nearest to the average.  Only the
+    chunk that takes rows changes, and its distance falls and then rises, so the
+    number of rows until another is nearer is found by halving.
+    """
+    total = sum(counts.values())
+    average = [sum(c * v[i] for v, c in counts.items()) / n for i in range(3)]
+    sums, sizes, out = [[0, 0, 0] for _ in range(n)], [0] * n, []
+
+    def after(k: int, v: tuple[int, int, int], j: int) -> tuple:
+        return (*[abs(sums[k][i] + j * v[i] - average[i]) for i in range(3)], abs(sizes[k] + j - total / n) * 0.05, k)
+
+    for v in sorted(counts, key=lambda v: (-sum(v), tuple(-x for x in v))):
+        left = counts[v]
+        while left:
+            best, *others = sorted(after(k, v, 1) for k in range(n))
+            k, m = best[-1], left
+            if others:
+                first = next((i for i in range(3) if v[i]), None)
+                room = total / n - sizes[k] if first is None else average[first] - sums[k][first]
+                m = min(left, max(1, int(room)))
+                high = left + 1
+                while high - m > 1:
+                    middle = (m + high) // 2
+                    m, high = (middle, high) if after(k, v, middle) < others[0] else (m, middle)
+            sums[k], sizes[k], left = [s + m * x for s, x in zip(sums[k], v, strict=True)], sizes[k] + m, left - m
+            if out and out[-1][0] == k:
+                out[-1] = (k, out[-1][1] + m)
+            else:
+                out.append((k, m))
+    return out
+
+
+def balanced_lexi(df: DataFrame, n: int, *ties: Column | str) -> DataFrame:
+    """D26 over the whole table: rows with most roles used first (of as many, core before alt before fill, then ``ties``), dealt by ``lexi_runs``."""
+    flags = [F.when(F.col(c) > 0, 1).otherwise(0) for c in COUNTS]
+    rows = df.withColumn("_used", F.array(*flags))
+    counts = {tuple(r["_used"]): r["n"] for r in rows.groupBy("_used").agg(F.count(F.lit(1)).alias("n")).collect()}  # 8 at most
+    runs, ends, total = lexi_runs(counts, n), [], 0
+    for _, m in runs:
+        total += m
+        ends.append(total)
+    placed = numbered(rows.withColumn("_rank", F.aggregate("_used", F.lit(0), lambda a, x: a + x)), F.col("_rank").desc(), F.col("_used").desc(), *ties)
+    if not runs:
+        return placed.withColumn("chunk", F.lit(0)).drop("_used", "_rank", "ordinal")
+    run = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("ordinal")))
+    return placed.withColumn("chunk", F.get(F.array(*[F.lit(k) for k, _ in runs]), run)).drop("_used", "_rank", "ordinal")
 
 
 def balance_lexicographic(rows: list[tuple[str, int, int, int]], n: int) -> list[int]:
     """Each image goes to the chunk with the fewest images, then the least core, alt and fill usage so far.
 
-    It depends on the order, so it is a loop over one chunk's worth of numbers;
-    use the dealing above for large tables.
+    Not the reference's rule (that is ``balanced_lexi``): a loop over few rows
+    that keeps sizes even.
     """
     import heapq
 

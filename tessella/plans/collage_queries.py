@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import collage, sampling
-from ..sources.checkpoints import staged
 from ..sources.readers import table
 from .registry import query
 
@@ -41,17 +39,6 @@ def collage_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("balance_lexi")
 def balance_lexi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images dealt one by one to the chunk that has had least; blocks of images are balanced each by itself."""
+    """All images dealt to the chunk whose used roles come nearest to the average."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("uid")).agg(*[F.count_if(F.col("l_returnflag") == f).alias(c) for f, c in zip("ANR", sampling.ROLE_COUNTS, strict=True)])
-    blocks = staged(rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(16))), "blocks")
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("chunk", T.IntegerType())])
-
-    def run(frame):
-        frame = frame.sort_values("uid", kind="stable")
-        frame["chunk"] = sampling.balance_lexicographic(list(zip(frame["uid"].astype(str), frame["core_count"], frame["alt_count"], frame["fill_count"], strict=True)), 8)
-        return frame[["uid", "chunk"]]
-
-    from ..sources.checkpoints import shipped
-
-    shipped(spark)
-    return blocks.groupBy("block").applyInPandas(run, schema)
+    return sampling.balanced_lexi(rows, 8, F.xxhash64("uid"), "uid").select("uid", "chunk")

@@ -1,5 +1,8 @@
 """Sampling, dealing, range joins, packing and rounds."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -54,6 +57,37 @@ def test_hardness_of_equal_images_is_flat(spark):
     assert {r["hardness"] for r in rows.collect()} == {0.0}
 
 
+def greedy(flags, n):
+    """The rule, row by row: the chunk nearest to the average of core, alt and fill, then of size."""
+    average, size = [sum(v[i] for v in flags) / n for i in range(3)], len(flags) / n
+    sums, sizes, out = [[0, 0, 0] for _ in range(n)], [0] * n, []
+    for v in flags:
+        k = min(range(n), key=lambda k: (*[abs(sums[k][i] + v[i] - average[i]) for i in range(3)], abs(sizes[k] + 1 - size) * 0.05))
+        sums[k], sizes[k] = [a + b for a, b in zip(sums[k], v, strict=True)], sizes[k] + 1
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lexi_runs_equal_the_rule_row_by_row(seed):
+    r = random.Random(seed)
+    flags = sorted((tuple(int(r.random() < p) for p in (0.1 * seed, 0.3, 0.6)) for _ in range(r.randint(1, 700))), key=lambda v: (-sum(v), tuple(-x for x in v)))
+    for n in (1, 2, 5, 8):
+        runs = sampling.lexi_runs(dict(Counter(flags)), n)
+        assert [k for k, m in runs for _ in range(m)] == greedy(flags, n)
+
+
+def test_balances_hold_over_the_whole_table(spark):
+    r = random.Random(2)
+    rows = [(f"u{i}", *[r.choice([0, 0, 1, 7]) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "uid string, core_count long, alt_count long, fill_count long")
+    flags = sorted((tuple(int(x > 0) for x in row[1:]) for row in rows), key=lambda v: (-sum(v), tuple(-x for x in v)))
+    got = sampling.balanced_lexi(df, 4, "uid").collect()
+    assert Counter((x["chunk"], tuple(int(x[c] > 0) for c in sampling.COUNTS)) for x in got) == Counter(zip(greedy(flags, 4), flags, strict=True))
+    order = sorted(rows, key=lambda x: (-(10**7 * (x[1] > 0) + 10**4 * (x[2] > 0) + 10 * (x[3] > 0) - sum(x[1:])), x[0]))
+    assert {x["uid"]: x["chunk"] for x in sampling.balanced(df, 4, "uid").collect()} == {x[0]: i % 4 for i, x in enumerate(order)}
+
+
 def test_lexicographic_balance_is_even():
     rows = [(str(i), i % 5, i % 3, i % 2) for i in range(40)]
     out = sampling.balance_lexicographic(rows, 8)
