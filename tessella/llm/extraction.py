@@ -116,7 +116,9 @@ def extract(pages: DataFrame, model: TreeModel | None = None, *, html_col: str =
     """Add ``text`` to the columns ``keep`` (all but the html by default), without a shuffle.
 
     Defined cases: null or empty html gives an empty text; cut-off, unclosed or
-    crossed markup is read as far as it goes; pages may repeat; a column named
+    crossed markup is read as far as it goes; beyond 512 open elements (DEEPEST)
+    no more are opened, so their text is kept or dropped with that of the 512th
+    and an end tag may close an outer element of its name; pages may repeat; a column named
     ``text`` among those kept gives way to the extracted text; an empty table
     gives an empty result.
     """
