@@ -1,7 +1,7 @@
 """Line dedup: drop lines that many documents share, keeping one holder.
 
 Native: every step is a DataFrame expression.  Lines are exploded once into
-fixed-width rows (document, position, 128-bit key hash) that are staged; the
+fixed-width rows (document, position, 128 bits of the key's SHA-256) that are staged; the
 distinct-document counts are partial aggregates, and the few keys that hold a
 large share of all rows are broadcast to them, so a line that a third of all
 documents share never meets in one task; the text itself moves once, when the
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import staged, table
+from .support import discard, hashed, staged, table
 
 #: The white space that is stripped from a line, and the letters that are lower-cased.
 STRIPPED = " \t\n\x0b\f\r"
@@ -27,6 +27,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, UPPER.lower())
 
 
+def line_hash(key: Column) -> Column:
+    """Half of the SHA-256, so that not even crafted lines are taken for each other."""
+    return F.substring(F.unhex(F.sha2(key, 256)), 1, 16)
+
+
 def drop_shared_lines(
     docs: DataFrame,
     *,
@@ -54,17 +59,19 @@ def drop_shared_lines(
     ).withColumn("text_hash", F.xxhash64("text"))
     lines = base.where(F.col("id").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.select("id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    keyed = staged(keyed.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "lines")
+    keyed = staged(keyed.select("id", "text_hash", "pos", line_hash(F.col("key")).alias("hash")), "lines")
     counts = [F.count_distinct("id").alias("holders"), F.max("id").alias("keeper"), F.count(F.lit(1)).alias("rows")]
-    shared = staged(keyed.groupBy("h1", "h2").agg(*counts).where(F.col("holders") >= min_docs), "shared")
+    shared = staged(keyed.groupBy("hash").agg(*counts).where(F.col("holders") >= min_docs), "shared")
     # keys with more than 1/HOT_KEYS of all rows: HOT_KEYS at most, as their rows add up to all, so they may be broadcast
     hot = F.col("rows") > max(1000, keyed.count() // HOT_KEYS)
-    often = F.broadcast(shared.where(hot).select("h1", "h2", "keeper"))
-    seldom = shared.where(~hot).select("h1", "h2", "keeper")
-    held = keyed.join(often, ["h1", "h2"]).unionByName(keyed.join(often, ["h1", "h2"], "left_anti").join(seldom, ["h1", "h2"]))
+    often = F.broadcast(shared.where(hot).select("hash", "keeper"))
+    seldom = shared.where(~hot).select("hash", "keeper")
+    held = keyed.join(often, "hash").unionByName(keyed.join(often, "hash", "left_anti").join(seldom, "hash"))
     drops = held.where(F.col("id") < F.col("keeper")).groupBy("id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
-    # hashing the few rows that drop something spares sorting all texts
-    cut = base.join(drops.hint("shuffle_hash"), ["id", "text_hash"], "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
+    drops = staged(drops, "drops")
+    rows, places = drops.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
+    discard(keyed, shared)
+    cut = base.join(hashed(drops, 64 * rows + 4 * places), ["id", "text_hash"], "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "dropped")
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     kept = F.array_join(F.transform(places, lambda i: F.get(F.col("lines"), i)), "\n")
     return cut.select(

@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .support import discard, shipped, staged, table, tidy
+from .support import discard, hashed, shipped, staged, staged_alone, table, tidy
 
 #: Words of a shingle, the seed of its hash, and the bits in which linked fingerprints may differ.
 WORDS, SEED, BITS = 4, 42, 4
+#: Distinct fingerprints whose keys one task makes, and members of a bucket that one task compares, about.
+KEYED_ROWS, BUCKET_ROWS = 20_000, 4_000
 #: Fixed value: the generator polynomial of the binary Golay code (23, 12).
 GENERATOR = 0xC75
 
@@ -174,24 +176,45 @@ def _within(x: str, y: str) -> F.Column:
 
 
 def linked(distinct: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of every fingerprint that links to another, from the distinct ones (column fp)."""
-    keyed = _keyed(distinct)
+    """``node`` and ``root`` of every fingerprint that links to another, from the distinct ones (column fp).
+
+    A fingerprint gives some eighty keys, so the few files of ``distinct`` are
+    first dealt to tasks of ``KEYED_ROWS`` at most.  The keys are made once and
+    staged.
+    """
+    spark = distinct.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-distinct.count() // KEYED_ROWS))
+    keyed = staged(_keyed(distinct.repartition(tasks, "fp")), "keyed")
     buckets = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where(F.col("first") != F.col("last"))
     shared = staged(keyed.join(buckets.select("key", "first"), "key"), "shared")
+    discard(keyed)
     close = shared.where((F.col("fp") != F.col("first")) & _within("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     roots = staged(components(close, "dense"), "roots")
     named = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "named")
-    main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    others = named.join(main, "key").where(F.col("root") != F.col("main")).select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    bridges = named.join(others, (named["key"] == others["key"]) & (F.col("root") != F.col("root2")) & _within("fp", "fp2"))
-    outer = components(bridges.select(F.col("root").alias("a"), F.col("root2").alias("b")), "bridges")
+    bridges = staged(_bridges(named), "bridges")
+    outer = components(bridges, "bridges")
     named_roots = roots.join(outer.select(F.col("node").alias("root"), F.col("root").alias("outer")), "root", "left").select("node", F.coalesce("outer", "root").alias("root"))
     alone = outer.join(roots, "node", "left_anti")
-    discard(shared, named)
+    discard(shared, named, bridges)
     return named_roots.unionByName(alone)
 
 
+def _bridges(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of roots that close members of one bucket join; each pair of roots comes once from a task.
+
+    Only members outside of a bucket's largest component are compared with the
+    others.  A large bucket is cut into parts of about ``BUCKET_ROWS`` members,
+    and those outside go to each part, so that no task has a whole bucket.
+    """
+    main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BUCKET_ROWS).cast("int").alias("parts")).where("roots > 1")
+    met = staged(named.join(main.select("key", "main", "parts"), "key"), "met")
+    members = met.select("key", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp", "root")
+    others = met.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    close = members.join(others, ["key", "part"]).where((F.col("root") != F.col("root2")) & _within("fp", "fp2"))
+    return close.select(F.greatest("root", "root2").alias("a"), F.least("root", "root2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The group of every document: rows (id_col, ``fingerprint``, ``component_id``).
 
@@ -204,20 +227,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids are never the smallest (a group of nothing else has a null component);
     other columns may have any names; an empty table gives an empty result.
     """
-    every = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = staged(linked(distinct), "links")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return every.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def found() -> DataFrame:
+        every = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+        distinct = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+        roots = staged(linked(distinct.select("fp")), "links")
+        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+        return every.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    return staged_alone(found, "groups")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, with the columns it came with; rows that repeat that id are one document and all stay; rows with a null id can't be told apart, so all stay if one does."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    # hashing the ids spares sorting all texts
-    return docs.join(kept.hint("shuffle_hash"), docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
+    lost = found.groupBy(F.col(id_col).alias("_lost_id")).agg(stays.alias("stays")).where(~F.col("stays")).select("_lost_id")
+    lost = staged(lost, "lost")
+    return docs.join(hashed(lost, 64 * lost.count()), docs[f"`{id_col}`"].eqNullSafe(lost["_lost_id"]), "left_anti")
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

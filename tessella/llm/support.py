@@ -7,6 +7,7 @@ import functools
 import hashlib
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pathlib import Path
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -30,15 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, is a temporary folder made, once for each context.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
+    and all tasks run on this machine, as in local tests, is a temporary folder
+    made, once for each context; on a cluster an unset folder is an error, as
+    each machine would write to its own disk.
     """
     folder, sc = spark.conf.get(CHECKPOINT_KEY, None), spark.sparkContext
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         folder = sc._tessella_folder = getattr(sc, "_tessella_folder", None) or tempfile.mkdtemp(prefix="tessella-")
     return folder.rstrip("/")
 
 
+class _Written(threading.local):
+    """The tables that a thread has written to the shared folder and not deleted since."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -47,19 +63,60 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessella/{label}-{uuid.uuid4().hex}"
+    _written.paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written.paths:
+        _written.paths.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing to come reads; any other table is left alone."""
     for df in tables:
         if path := getattr(df, "_staged_at", None):
-            sc = df.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def staged_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Write what ``make`` returns, then delete every table that was staged on the way to it."""
+    before = set(_written.paths)
+    out = staged(make(), label)
+    for path in [p for p in _written.paths if p not in before and p != out._staged_at]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+#: Bytes of a hashed side that one task may hold.
+HASHED_BYTES = 64 << 20
+
+
+def hashed(df: DataFrame, size: int) -> DataFrame:
+    """The side of a join with the hint to hash it, which spares sorting the other side, if its bytes for each task are few; a map can't spill, a sort can."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash") if size <= tasks * HASHED_BYTES else df
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_keys: int = 2_000) -> DataFrame:
+    """Join ``left`` to ``right``, which has each key once, so that no key's rows meet in one task.
+
+    Keys with more than 1/``hot_keys`` of all rows of ``left`` are ``hot_keys``
+    at most, as their rows add up to all; their rows of ``right`` are broadcast,
+    the others are dealt out by key.  ``left`` is read more than once and should
+    be staged.  ``how`` is inner or left_semi.
+    """
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    bound = max(1_000, left.count() // hot_keys)
+    often = staged(right.join(F.broadcast(counts.where(F.col("_n") > bound).select(*on)), on, "left_semi"), "often")
+    seldom = left.join(F.broadcast(often.select(*on)), on, "left_anti").join(right.join(F.broadcast(often.select(*on)), on, "left_anti"), on, how)
+    return left.join(F.broadcast(often), on, how).unionByName(seldom)
 
 
 def shipped(spark: SparkSession) -> SparkSession:
@@ -69,9 +126,10 @@ def shipped(spark: SparkSession) -> SparkSession:
     installed, and Spark's file server hands the archive out, so nothing depends
     on the driver's folders.  Batches of ``BATCH_ROWS`` rows replace Spark's
     default of 10,000, which whole texts make tens of megabytes each, held
-    several times over by both sides of a task; another setting is left alone.
+    several times over by both sides of a task; a setting of the session's own
+    is left alone.
     """
-    if spark.conf.get(BATCH_KEY) == "10000":
+    if BATCH_KEY not in spark.conf.getAll:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     root = Path(__file__).resolve().parent.parent
     files = sorted(root.rglob("*.py"))

@@ -1,6 +1,8 @@
 """BPE against the tokenizers library, and against merging by rank."""
 
+import json
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -29,9 +31,9 @@ def ids_of(raw):
 
 
 def same(codec, library, text):
-    raw, decoded = codec.encode(text)
+    raw = codec.encode(text)
     ids = library.encode(text, add_special_tokens=False).ids
-    return ids_of(raw) == ids and decoded == library.decode(ids, skip_special_tokens=False) and codec.decode(raw) == decoded
+    return ids_of(raw) == ids and codec.decode(raw) == library.decode(ids, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("text", ["", " ", "a<|endoftext|>b <|startoftext|>", "ΑΣ ΣΑΣ σας", "İstanbul é ﬁ", "a" * 5000, "ha" * 3000, "!" * 3000, "don't WE'LL I'M x's", "日本語 ñandú \u0085²½x", "a\x1cb\x1fc\x00d"])
@@ -45,6 +47,38 @@ def test_random_texts(codec, library, text):
     assert same(codec, library, text)
 
 
+def test_every_code_point(codec, library):
+    """Alone, between letters and twice in a row, so that its class, its case and its composition show."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}{chr(c)} e{chr(c)}\u0301" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    wrong = [i for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)) if ids_of(codec.encode(texts[i])) != e.ids]
+    assert not wrong
+
+
+def test_marks_and_compositions(codec, library):
+    points = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    texts = [t for c in points if unicodedata.combining(c) for t in (f"a{c}\u0334\u0301", f"e\u0316{c}\u0327", f"{c}{c}o\u0302\u0301", f"\u05d0{c}\u05b7")]
+    texts += [unicodedata.normalize("NFD", c) + unicodedata.normalize("NFD", c)[-1:] for c in points if unicodedata.normalize("NFD", c) != c]
+    wrong = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if ids_of(codec.encode(t)) != e.ids]
+    assert not wrong
+
+
+@pytest.mark.parametrize("part", ["normalizer", "pre_tokenizer", "decoder", "model"])
+def test_files_of_other_tokenizers_are_refused(tmp_path, part):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec[part] = {**spec["model"], "byte_fallback": True} if part == "model" else {"type": "Lowercase" if part == "normalizer" else "ByteLevel"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match=part):
+        bpe.load_vocabulary(str(tmp_path / "other.json"))
+
+
+def test_ids_are_decoded_in_any_order(codec, library):
+    r = random.Random(4)
+    lists = [[r.randrange(49_408) for _ in range(n)] for n in (0, 1, 7, 300)]
+    raw = [b"".join(i.to_bytes(4, "little") for i in x) for x in lists]
+    assert codec.decode_many(raw).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in lists]
+
+
 def test_random_words_equal_merging_by_rank(codec):
     e, r = codec.words.encoder, random.Random(3)
 

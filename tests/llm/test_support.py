@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessella.llm import support
 
 
@@ -14,18 +17,60 @@ def test_staged_tables_lie_in_the_folder_of_the_session_and_can_be_discarded(spa
     assert not os.path.exists(path.removeprefix("file://"))
 
 
-def test_an_unset_folder_is_made_once():
-    class Unset:
-        def get(self, key, default):
-            return default
+class Unset:
+    def get(self, key, default):
+        return default
 
+
+def test_an_unset_folder_is_made_once():
     class Session:
-        conf, sparkContext = Unset(), type("Context", (), {})()
+        conf, sparkContext = Unset(), type("Context", (), {"master": "local[2]"})()
 
     folder = support.shared_folder(Session)
     assert os.path.isdir(folder) and support.shared_folder(Session) == folder
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "k8s://https://host"])
+def test_an_unset_folder_on_a_cluster_is_an_error(master):
+    class Session:
+        conf, sparkContext = Unset(), type("Context", (), {"master": master})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        support.shared_folder(Session)
+
+
+def test_tables_staged_on_the_way_are_deleted(spark):
+    inner = []
+
+    def make():
+        inner.append(support.staged(spark.range(5), "inner"))
+        return inner[0].where("id > 1")
+
+    before = support.staged(spark.range(2), "before")
+    out = support.staged_alone(make, "outer")
+    exists = lambda df: os.path.exists(df._staged_at.removeprefix("file://"))
+    assert out.count() == 3 and exists(out) and exists(before) and not exists(inner[0])
+    support.discard(before, out)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_split_joins_equal_joins(spark, how):
+    left = support.staged(spark.range(6_000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"), "id"), "left")
+    right = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    assert rows(support.split_join(left, right, ["k"], how)) == rows(left.join(right, "k", how))
+    support.discard(left)
+
+
+def test_a_batch_size_of_the_session_is_left_alone(spark):
+    was = spark.conf.get(support.BATCH_KEY)
+    spark.conf.set(support.BATCH_KEY, "10000")
+    try:
+        assert support.shipped(spark).conf.get(support.BATCH_KEY) == "10000"
+    finally:
+        spark.conf.set(support.BATCH_KEY, was)
+
+
 def test_package_is_shipped_once(spark):
     mark = support.shipped(spark).sparkContext._tessella_shipped
     assert support.shipped(spark).sparkContext._tessella_shipped == mark
