@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontamination, line_dedup, quadratic, simhash
-from tessella.llm.support import discard, staged, table
+from tessella.llm.support import discard, staged_alone, table
 
 #: The tokenizer's file; a parameter of the last stage.
 TOKENIZER = "word_bpe_49k.json"
@@ -64,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         before = docs
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = staged_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
         discard(before)  # the tables that this made, never the input
     return docs
