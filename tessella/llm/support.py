@@ -119,6 +119,21 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(often), on, how).unionByName(seldom)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Dense numbers from 0 in an order (column ``number``), without one task seeing all rows.
+
+    Rows are sorted over ranges and staged with their range and their place in
+    it, as a second sample might cut the ranges otherwise; the ranges' sizes give
+    the offsets.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = staged(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "numbered")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each range
+    starts = [sum(sizes.get(j, 0) for j in range(i)) for i in range(tasks)]
+    return placed.withColumn("number", F.col("_place") + F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_part"))).drop("_part", "_place")
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Make a session ready for this package's Python workers.
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -102,10 +103,76 @@ def test_a_thread_reads_in_reply_order(spark):
     assert (got[2, 0]["source_conv"], got[2, 0]["source_turn"], got[2, 0]["body"]) == (1, 1, "seen elsewhere")
 
 
+def test_branches_are_whole_and_short_quotations_link(spark):
+    rows = [
+        (1, 0, "user", "shall we meet on Monday"),
+        (1, 1, "a", "> shall we meet on Monday\nYes."),
+        (1, 2, "b", "> shall we meet on Monday\nNo."),
+        (1, 3, "c", "> Yes.\nGood, at ten then"),
+        (1, 4, "user", "something else"),
+        (1, 5, "a", "> No.\n>\n> shall we meet\n> on Monday\nWhy not?"),
+        (1, 6, "b", "> Good, at ten then\nfine"),
+        (2, 0, "user", "> Yes.\ntoo short to come from elsewhere"),
+    ]
+    got = {(r["row"]["conv_id"], r["row"]["turn"]): r for r in quotations.link_quotations(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
+    assert [got[1, t]["reply_to"] for t in range(7)] == [None, 0, 0, 1, None, 0, 3]
+    assert sorted(range(7), key=lambda t: got[1, t]["position"]) == [0, 1, 3, 6, 2, 5, 4]
+    assert [got[1, t]["depth"] for t in range(7)] == [0, 1, 1, 2, 0, 1, 3]
+    assert got[1, 5]["n_quoted"] == 4 and got[1, 5]["body"] == "Why not?"
+    assert got[2, 0]["reply_to"] is None and got[2, 0]["source_conv"] is None
+    out = quotations.conversations(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    assert [r["text"] for r in out if r["conv_id"] == 1] == ["shall we meet on Monday", "Yes.", "Good, at ten then", "fine", "No.", "Why not?", "something else"]
+
+
+def test_rewrapped_paragraphs_link(spark):
+    rows = [(1, 0, "u", "first paragraph of words\n\nsecond paragraph of words"), (1, 1, "u", "> first paragraph\n> of words\n>\n> second paragraph\n> of words\nI see")]
+    got = {r["row"]["turn"]: r for r in quotations.link_quotations(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
+    assert got[1]["reply_to"] == 0 and got[1]["body"] == "I see"
+
+
+def frequent(n=3_600):
+    """A third of all messages write one phrase and quote it, in one conversation and in many."""
+    rows = []
+    for i in range(n):
+        conv, turn = (0, i) if i % 3 == 0 else (1 + i % 40, i)
+        lines = ["> good morning to all of you"] * (i % 3 == 0) + ["good morning to all of you"] * (i % 3 == 0) + [f"> own words of number {i - 40 * 3}"] * (i % 5 == 0) + [f"own words of number {i}"]
+        rows.append((conv, turn, "user", "\n".join(lines)))
+    return rows
+
+
+def agrees_with_sql(spark, folder, rows):
+    spark.createDataFrame(rows, CONVERSATIONS).write.parquet(f"{folder}/conversations.parquet")
+    got = queries.QUERIES["op1_quote_links"](spark, str(folder)).toPandas()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet/*.parquet')")
+    assert rows_of(got) == rows_of(db.execute(queries.ORACLES["op1_quote_links"]).df())
+    return got
+
+
+def test_a_phrase_in_a_third_of_all_messages(spark, tmp_path):
+    got = agrees_with_sql(spark, tmp_path, frequent())
+    assert got["reply_to"].notna().sum() > 1_000 and got["depth"].max() > 5
+
+
+def test_long_messages_and_long_chains(spark, tmp_path):
+    rows = [(1, 0, "u", "a" + " " * 1_000_000 + "b"), (1, 1, "u", "> a b\n" + "\n" * 200_000 + " " * 300_000 + "x" + "\t" * 300_000 + "y"), (1, 2, "u", "\n".join(f"> line {i}" for i in range(30_000))), (1, 3, "u", " " * 500_000)]
+    rows += [(2, t, "u", (f"> message number {t - 1}\n" if t else "") + f"message number {t}") for t in range(300)]
+    begun = time.monotonic()
+    got = agrees_with_sql(spark, tmp_path, rows)
+    assert time.monotonic() - begun < 120
+    chain = got[got["conv_id"] == 2].sort_values("turn")
+    assert chain["depth"].tolist() == chain["position"].tolist() == list(range(300))
+
+
 def test_quotations_of_nothing(spark):
     assert quotations.link_quotations(spark.createDataFrame([], CONVERSATIONS)).count() == 0
 
 
+def test_quotations_run_without_python(spark):
+    df = quotations.link_quotations(spark.createDataFrame(conversations(1), CONVERSATIONS))
+    assert not re.search("Python|Pandas|ArrowEval", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_sql_of_line_dedup_agrees_on_digests(spark, tmp_path):
     rows = [r for r in documents(4) if r[0] is not None and r[0] != 5 and r[0] != 3]
     table_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
