@@ -9,8 +9,10 @@ n-gram can't be found by any search and are left out of the array, so it stays
 small.  Nothing is shuffled: documents keep their place, and a passage that a
 third of them share costs no more than its own length.
 
-The test side is broadcast only up to ``block_bytes``; a larger one is looked
-up block by block, with the result of each pass staged.
+The test side is broadcast only up to ``block_bytes`` of text; a larger one is
+looked up block by block, with the result of each pass staged.  Blocks are dealt
+by a hash of item and text, and made smaller until the largest is within the
+bound, or is a single item.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ WINDOW = 10
 DEPTH = 16
 #: First words by which suffixes that no search can reach are left out.
 PREFIX = 4
-#: The test texts that are broadcast at a time.
-BLOCK_BYTES = 32 << 20
+#: The test texts that are broadcast at a time; their index takes some twenty times as much.
+BLOCK_BYTES = 16 << 20
 _SLOTS = 22
 
 
@@ -168,8 +170,8 @@ class Found:
     matches: list[tuple[int, int, int, int]]  # item, first word in the document, in the item, words
 
 
-def search(side: TestSide, raw: np.ndarray, offsets: np.ndarray) -> list[Found]:
-    """Look all test suffixes up in one shard of documents."""
+def search(side: TestSide, raw: np.ndarray, offsets: np.ndarray, matches: bool = True) -> list[Found]:
+    """Look all test suffixes up in one shard of documents; with ``matches`` also extend what is found."""
     data = LOWER[raw]
     starts, ends, counts = spans(data, offsets, ALNUM)
     out = [Found(int(n), np.zeros(0, np.int64), set(), []) for n in counts]
@@ -201,16 +203,20 @@ def search(side: TestSide, raw: np.ndarray, offsets: np.ndarray) -> list[Found]:
     first_word = np.cumsum(counts) - counts
     for doc, words in _by(doc_of_word[word_of[covered]], word_of[covered]):
         out[doc].covered = words - first_word[doc]
-    # equal windows of several items, and several places in one item
     order = np.argsort(side.window_of, kind="stable")
     edges = np.searchsorted(side.window_of[order], np.arange(len(side.first) + 1))
+    # a window counts once in a document, however often it stands there; equal windows of several items name all of them
+    pairs = np.unique(np.stack([doc_of_word[word_of[hit]], window], 1), axis=0)
+    which, of = _spread(edges[pairs[:, 1]], edges[pairs[:, 1] + 1])
+    for d, i in np.unique(np.stack([pairs[of, 0], side.item_of[order[which]]], 1), axis=0).tolist():
+        out[d].items.add(i)
+    if not matches:
+        return out
     which, of = _spread(edges[window], edges[window + 1])
     suffix, hit = order[which], hit[of]
     here, there = hit, side.starts[suffix]
     longest = (here == 0) | (there == 0) | (tokens[here - 1] == 0) | (tokens[here - 1] != side.tokens[there - 1])
     doc = doc_of_word[word_of[hit]]
-    for d, i in np.unique(np.stack([doc, side.item_of[suffix]], 1), axis=0).tolist():
-        out[d].items.add(i)
     suffix, hit, doc = suffix[longest], hit[longest], doc[longest]
     size = side.length[suffix].astype(np.int64)
     growing = np.arange(len(suffix))
@@ -236,23 +242,30 @@ def _by(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("words", T.LongType())])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, matches: bool = True) -> DataFrame:
     """Look every test suffix up in all documents.
 
     Returns ``row`` (a struct of the columns ``keep`` of ``docs``, else of all), ``n_words``,
     ``covered`` (the places of the words inside occurring windows), ``items``
     (sorted item ids) and ``matches`` (the longest verbatim matches: item, first
-    word in the document and in the item, words), one row for each row.
+    word in the document and in the item, words; empty without ``matches``, as a
+    repeated passage gives many), one row for each row.
 
     Defined cases: a null or empty text has no words; an item without words is
     never found; rows that repeat an item id are that item's texts, each with
-    its own windows; a null item id counts as the id "None"; an empty benchmark
-    leaves all documents clean; other columns may have any names.
+    its own windows; rows that are quite alike are one; a null item id counts as
+    the id "None"; an empty benchmark leaves all documents clean; other columns may have any names.
     """
     spark = shipped(docs.sparkSession)
-    texts = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).distinct()
+    total, largest = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-total // block_bytes))
+    of = lambda n: F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    if blocks > 1:
+        texts = staged(texts, "items")
+        most = max(block_bytes, largest)
+        while texts.groupBy(of(blocks)).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] > most:
+            blocks += -(-blocks // 4)
     out = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.lit(0).cast("long").alias("n_words"),
@@ -261,17 +274,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         F.array().cast(T.ArrayType(MATCH)).alias("matches"),
     )
     for b in range(blocks):
-        block = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        block = texts if blocks == 1 else texts.where(of(blocks) == b)
         items = [tuple(x) for x in block.orderBy("id", "text").collect()]
         before = out
-        out = _pass(spark, out, items, window, text_col, keep if keep and b == blocks - 1 else docs.columns)
+        out = _pass(spark, out, items, window, text_col, keep if keep and b == blocks - 1 else docs.columns, matches)
         if blocks > 1:
             out = staged(out, "leaks")
             discard(before)
     return out
 
 
-def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str | None]], window: int, text_col: str, keep: list[str]) -> DataFrame:
+def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str | None]], window: int, text_col: str, keep: list[str], extended: bool) -> DataFrame:
     """Look a block of items up and add what is found to the columns that hold it; ``row`` keeps the columns ``keep``."""
     side = spark.sparkContext.broadcast(test_side(items, window))
     names = rows.schema["row"].dataType.names
@@ -287,7 +300,7 @@ def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str |
             earlier = pa.compute.any(pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0)).as_py()
             before = [c.to_pylist() for c in batch.columns[2:]] if earlier else None
             for a, b in groups(offsets):
-                found = search(own, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found = search(own, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], extended)
                 covered, items = [f.covered.tolist() for f in found], [sorted({own.items[i] for i in f.items}) for f in found]
                 matches = [[dict(zip(MATCH.names, (own.items[i], *m), strict=True)) for i, *m in f.matches] for f in found]
                 if before:
@@ -302,13 +315,13 @@ def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str |
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no test window occurs, with the columns they came with."""
-    return find_leaks(docs, benchmark, **options).where(F.size("covered") == 0).select("row.*")
+    return find_leaks(docs, benchmark, matches=False, **options).where(F.size("covered") == 0).select("row.*")
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside occurring test windows, and the items that occur in it."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    found = find_leaks(docs, items, keep=["doc_id"])
+    found = find_leaks(docs, items, keep=["doc_id"], matches=False)
     return found.select(
         "row.doc_id",
         "n_words",
@@ -327,7 +340,7 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, unnest([array_to_string(w[p:p + n - 1], ' ') FOR p IN range(1, len(w) - n + 2)]) AS s FROM d, sizes WHERE len(w) >= n),
 hits AS (SELECT r, p, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
 words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS place FROM hits) GROUP BY r),
-found AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+found AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, coalesce(CAST(item_id AS VARCHAR), 'None') AS i FROM hits) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN found ON d.r = found.r

@@ -3,10 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from tessella.llm import decontamination as d
+from tessella.llm import queries
 
+from ..conftest import rows_of
 from .fixtures import clashing, documents, prose, table_of
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -85,3 +88,24 @@ def test_empty_sides(spark):
     assert d.find_leaks(table_of(spark, rows), bench.limit(0)).where("size(covered) > 0").count() == 0
 
 
+
+
+def test_repeated_texts_don_t_fill_one_block(spark):
+    text = " ".join(prose(random.Random(3), 30).split())
+    items = [(i, text) for i in range(40)]
+    rows = [(1, text + " and more", "en", "s", 1), (2, text + " x " + text, "en", "s", 1), (3, "clean", "en", "s", 1)]
+    bench = spark.createDataFrame(items + items[:5], "item_id long, text string")
+    got = {r["row"]["doc_id"]: r for r in d.find_leaks(table_of(spark, rows), bench, block_bytes=4 * len(text), matches=False).collect()}
+    assert sorted(map(int, got[1]["items"])) == sorted(map(int, got[2]["items"])) == list(range(40)) and not got[3]["items"]
+    assert not any(r["matches"] for r in got.values())
+
+
+def test_sql_agrees(spark, tmp_path):
+    rows, items = case(7)
+    table_of(spark, [r for r in rows if r[0] is not None]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.QUERIES["op7_suffix_decontamination"](spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert rows_of(got) == rows_of(db.execute(queries.ORACLES["op7_suffix_decontamination"]).df())
