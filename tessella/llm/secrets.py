@@ -2,8 +2,10 @@
 
 Native: candidates, their neighbouring words, all features and the forest itself
 are column expressions; each tree is a nested CASE over the feature columns.
-The forest is grown on the driver from labelled findings, whose features are
-computed by the very same expressions.
+The forest is grown on the driver from labelled findings, written by hand and
+generated, whose features are computed by the very same expressions.  Dictionary
+coverage looks words up among the most frequent ones of the scanned texts
+themselves, counted over all of them, and in a short fixed list.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import findings as by_hand
 from .support import table
 
 #: A candidate is a whole run of at least 16 of these characters, with a digit among them or a known beginning.
@@ -43,10 +46,20 @@ SEARCH = f"(?:{ASSIGNED})|{CANDIDATE}"
 EXAMPLE_PATH = r"(?i)(?:test|example|sample|mock|fixture|spec|doc|demo|tutorial)"
 PAIRS = r"(?i)(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|ri|ro|ic|ne|ea|ra|ce)"
 
+#: Documented bound: the most frequent words of the texts that make up the dictionary, of so many letters.
+MOST_WORDS, LETTERS = 1_000, (4, 20)
 #: Growing the forest: trees, levels, findings that a leaf has at least, and the seed.
 TREES, LEVELS, LEAST, SEED = 15, 5, 4, 7
 
 
+def dictionary(docs: DataFrame, *, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
+    """The ``most`` most frequent lower-case words of a-z in all texts, capitals folded; of equally frequent ones the first by spelling."""
+    low, high = LETTERS
+    word = F.explode(F.regexp_extract_all(F.lower(f"`{text_col}`"), F.lit(f"(?<![a-z])[a-z]{{{low},{high}}}(?![a-z])"), F.lit(0)))
+    counts = docs.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """A row for each candidate: ``id``, ``nth`` (from 0), ``candidate``, ``before``, ``after`` and ``path``.
 
@@ -68,13 +81,16 @@ def _share(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)) / F.char_length(c)
 
 
-def features() -> dict[str, Column]:
-    """What the forest sees of a candidate, as numbers."""
+def features(words: list[str] | None = None) -> dict[str, Column]:
+    """What the forest sees of a candidate, as numbers; ``words`` is the dictionary besides the fixed list."""
     c, before, after, path = F.col("candidate"), F.col("before"), F.col("after"), F.col("path")
     length = F.char_length(c)
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     covered = F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")
     near = F.right(before, F.lit(24))
+    # capitals begin a word in names such as userToken
+    runs = F.regexp_extract_all(F.lower(F.regexp_replace(c, "(?<=[a-z])(?=[A-Z])", " ")), F.lit("[a-z]{3,}"), F.lit(0))
+    named = F.filter(runs, lambda x: x.isin([*DICTIONARY, *(words or [])]))
     return {
         "f_length": length.cast("double"),
         "f_digits": _share(c, "[0-9]"),
@@ -89,6 +105,7 @@ def features() -> dict[str, Column]:
         "f_hex": flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "f_known": flag(c.rlike(KNOWN)),
         "f_dictionary": 1 - F.char_length(covered) / length,
+        "f_words": F.aggregate(named, F.lit(0), lambda a, x: a + F.char_length(x)) / length,
         "f_credential": flag(near.rlike(CREDENTIAL)),
         "f_other": flag(near.rlike(OTHER)),
         "f_assigned": flag(before.rlike("[:=]\\s*[\"'`]?$")),
@@ -204,28 +221,54 @@ def tree_column(tree: Tree, names: list[str]) -> Column:
     return F.when(F.col(names[j]) <= threshold, tree_column(left, names)).otherwise(tree_column(right, names))
 
 
-def fit(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> list[Tree]:
-    """Grow the forest from labelled findings (some hundreds, given by the caller, never rows of the corpus)."""
-    findings = findings or labelled_findings()
+def labelled_lines(copies: int = 8, seed: int = SEED) -> list[tuple[str, str, list[str]]]:
+    """The lines written by hand, each drawn some times."""
+    return [x for i in range(copies) for x in by_hand.written(by_hand.LINES, seed + i)]
+
+
+def _given(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows as a literal of the plan, so that no task needs Python."""
+    names = [f.split(":")[0] for f in schema.replace("array<string>", "list").split(",")]
+    return spark.sql(f"SELECT inline(from_json(:given, 'array<struct<{schema}>>'))", args={"given": json.dumps([dict(zip(names, x, strict=True)) for x in rows])})
+
+
+def fit(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None, lines: list[tuple[str, str, list[str]]] | None = None, words: list[str] | None = None) -> list[Tree]:
+    """Grow the forest from labelled findings (candidate, before, after, path, label) and lines (text, path, secrets).
+
+    Some thousands at most, given by the caller, never rows of the corpus.  Those
+    kept here are used where neither is given (None); an empty list is empty.  A
+    line's candidates are labelled by whether they hold one of its secrets.
+    """
+    if findings is None and lines is None:
+        findings, lines = labelled_findings(), labelled_lines()
+    seen = _given(spark, findings or [], "candidate:string,before:string,after:string,path:string,label:bigint")
+    texts = _given(spark, [(t, p, s) for t, p, s in lines or []], "text:string,path:string,secrets:array<string>")
+    found = candidates(texts.withColumn("id", F.struct("path", "secrets")), id_col="id", path_col="path")
+    holds = F.exists("id.secrets", lambda x: F.contains(F.col("candidate"), x)).cast("long")
+    seen = seen.unionByName(found.select("candidate", "before", "after", "path", holds.alias("label")))
     names = list(features())
-    fields = ("candidate", "before", "after", "path", "label")
-    given = json.dumps([dict(zip(fields, x, strict=True)) for x in findings])
-    rows = spark.sql("SELECT inline(from_json(:given, 'array<struct<candidate:string,before:string,after:string,path:string,label:bigint>>'))", args={"given": given})
-    rows = rows.select("label", *[f.alias(n) for n, f in features().items()])
+    rows = seen.select("label", *[f.alias(n) for n, f in features(words).items()])
     data = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 1 + len(names))
+    if not len(data):
+        raise ValueError("a forest needs labelled findings")
     data = data[np.lexsort(data.T[::-1])]
     return grow(data[:, 1:], data[:, 0])
 
 
-def scan(docs: DataFrame, forest: list[Tree], *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, forest: list[Tree], *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", words: list[str] | None = None) -> DataFrame:
     """Every candidate with ``score`` (the trees' mean) and ``is_secret`` (score of 0.5 or more).
 
     Defined cases: a null or empty text has no findings; ids may be null or
     repeat; a candidate that occurs twice is found twice; other columns may have
-    any names; an empty table gives an empty result.
+    any names; an empty table gives an empty result.  ``words`` is the dictionary
+    that the forest was fitted with.
+
+    What is never a candidate, and so never found: a run of fewer than 16
+    characters, or without a digit or a known beginning, that no credential's
+    name stands before (CANDIDATE, ASSIGNED).
     """
     names = list(features())
-    seen = candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col).select("*", *[f.alias(n) for n, f in features().items()])
+    seen = candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col).select("*", *[f.alias(n) for n, f in features(words).items()])
     votes = reduce(lambda a, b: a + b, [tree_column(t, names) for t in forest])
     scored = seen.withColumn("score", F.round(votes / len(forest), 6))
     return scored.select(F.col("id").alias(id_col), "nth", "candidate", "before", "after", "score", (F.col("score") >= 0.5).alias("is_secret"))
@@ -234,5 +277,6 @@ def scan(docs: DataFrame, forest: list[Tree], *, id_col: str = "doc_id", text_co
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in all documents, with the forest's verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = scan(docs, fit(spark))
+    words = dictionary(docs)
+    found = scan(docs, fit(spark, words=words), words=words)
     return found.select("doc_id", "nth", F.char_length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")

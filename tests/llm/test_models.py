@@ -262,7 +262,87 @@ def test_forest_columns_equal_walking_the_trees(spark):
         assert votes == [r[f"t{i}"] for i in range(len(forest))]
         right += (np.mean(votes) >= 0.5) == bool(r["label"])
     assert right / len(rows) > 0.95
-    assert not re.search("Python|Pandas|Arrow", df.select(F.lit(1))._jdf.queryExecution().executedPlan().toString())
+
+
+def test_secrets_run_without_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = secrets.dictionary(docs)
+    for df in (secrets.scan(docs, secrets.fit(spark, words=words), words=words), secrets.candidates(docs)):
+        assert not re.search("Python|Pandas|ArrowEval", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_the_dictionary_holds_the_most_frequent_words(spark):
+    df = table_of(spark, [(1, "Beta gamma beta, BETAS gamma delta abc", "en", "s", 1), (2, "beta delta", "en", "s", 1), (3, None, "en", "s", 1)])
+    assert secrets.dictionary(df, most=3) == ["beta", "delta", "gamma"]
+    assert secrets.dictionary(df.limit(0)) == []
+
+
+def test_a_forest_of_nothing_is_refused(spark):
+    with pytest.raises(ValueError, match="labelled"):
+        secrets.fit(spark, findings=[], lines=[])
+
+
+#: Written by hand, of other shapes than what the forest learns from.
+OTHER_LINES = [
+    ("redis://:<alnum,20>@cache:6379/0 is slow, REDIS_PASSWORD=<alnum,18>", "ops/run.md"),
+    ("curl -u admin -H 'X-Api-Key: <hex,32>' https://host/v2/items", "scripts/load.sh"),
+    ("spring.datasource.password=<alnum,14>", "application.properties"),
+    ('{"client_secret": "<alnum,32>", "scope": "all"}', "oauth.json"),
+    ("machine host login deploy password <alnum,4>", "netrc"),
+    ("os.environ['AUTH_TOKEN'] = '<hex,48>'", "jobs/run.py"),
+    ("Use token: <base64,40> when you call it from the office", "notes/call.txt"),
+    ("AWS_ACCESS_KEY_ID: AKIA<upper,16>", "ci/vars.yml"),
+    ("pwd=<alnum,10>;server=db1", "web.config"),
+    ("encryption secret = '<base64,32>'", "src12"),
+    ("npm config set //registry/:_authToken npm_<alnum,36>", "setup.sh"),
+    ("zwischen den Zeilen stand token = \"<hex,40>\" und sonst nichts", "src5"),
+    ("blob [hex,40] 1042", "git/objects.txt"),
+    ("digest: sha256:[hex,64]", "image.yml"),
+    ("Invoice no. [digit,18] of May", "mail/a.txt"),
+    ("GET /assets/app.[hex,20].js 200", "logs/access.log"),
+    ("https://host/watch?list=PL[alnum,32]", "links.txt"),
+    ("session [hex,8]-[hex,4]-4[hex,3]-9[hex,3]-[hex,12] closed", "logs/app.log"),
+    ("class VeryLongNameOfAnAbstractFactoryBean[digit,1]Test extends Base", "src/A.java"),
+    ("password = input('password: ')", "src/login.py"),
+    ("token = get_token(user)", "src/login.py"),
+    ("api_key: <your key>", "docs/setup.md"),
+    ("secret: {{ vault_secret }}", "roles/main.yml"),
+    ("def check_password_strength_for_level_[digit,2](value):", "src/check.py"),
+    ("the_quick_brown_fox_jumps_over_[digit,3]", "names.txt"),
+    ("ISBN 978-3-16-148410-[digit,1] and account [digit,20]", "books.txt"),
+]
+
+
+def test_secrets_of_other_shapes(spark, sf_dir):
+    """Recall and precision where neither generator nor lines of the forest's own are used."""
+    from tessella.llm import findings
+
+    words = secrets.dictionary(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    forest = secrets.fit(spark, words=words)
+    lines = [x for seed in range(5) for x in findings.written(OTHER_LINES, 100 + seed)]
+    docs = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(lines)], "doc_id long, text string, source string")
+    flagged = [(r["doc_id"], r["candidate"]) for r in secrets.scan(docs, forest, words=words).where("is_secret").collect()]
+    wanted = {(i, s) for i, (_, _, own) in enumerate(lines) for s in own}
+    caught = {(i, s) for i, s in wanted if any(j == i and s in c for j, c in flagged)}
+    right = [any(j == i and s in c for j, s in wanted) for i, c in flagged]
+    print(f"recall {len(caught) / len(wanted):.3f}, precision {np.mean(right):.3f}, {len(wanted)} secrets")
+    assert len(caught) / len(wanted) >= 0.8 and np.mean(right) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_planted_secrets_of_the_tables(spark, sf):
+    import os
+
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the test tables aren't here")
+    docs = spark.read.parquet(path)
+    words = secrets.dictionary(docs)
+    found = secrets.scan(docs, secrets.fit(spark, words=words), words=words).collect()
+    planted = {(d, c) for d, t in docs.select("doc_id", "text").where("text is not null").collect() for c in re.findall(r'token = "([0-9a-f]{40})"', t)}
+    flagged = {(r["doc_id"], r["candidate"]) for r in found if r["is_secret"]}
+    print(f"{len(planted)} planted, {len(planted & flagged)} found, {len(flagged)} flagged of {len(found)}")
+    assert planted and planted <= flagged
 
 
 @pytest.fixture(scope="module")
