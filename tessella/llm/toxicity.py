@@ -6,6 +6,11 @@ earlier categories.  While training, those come from models that didn't see the
 row (out-of-fold), so that later models learn how far to trust them; while
 scoring, they come from the earlier models in turn.
 
+Categories are columns of the labels where these have them.  Where they have a
+single label, rows are marked by seed words instead; a link then doesn't see its
+own seed words, so it learns a category from what stands beside them, and its
+probability tells later links more than that the words are there.
+
 Words and beginnings are 64-bit hashes; those to learn from are chosen by how
 unevenly they fall on the labels, counted by partial aggregation.
 """
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import shipped, staged, table, tidy
+from .support import discard, shipped, staged, table, tidy
 from .textspans import ALNUM, LOWER, buffers, groups, mixed, spans, word_hashes
 
 #: Documented bound: labelled rows that are learnt from, for each label (those with the smallest hashes of their ids); and rows of documents with these ids that differ in what the models see (copies count as often as they stand, the smallest hashes go first).
@@ -31,7 +36,7 @@ MOST_ROWS = 4_000
 CHOSEN, UNEVEN, BEGINNING = 384, 3.5, 5
 FOLDS, RIDGE = 5, 0.3
 
-#: The categories before the last, by words that mark a row labelled toxic as one of them.  The last category is the label itself.
+#: The categories before the last, by words that mark a row labelled toxic as one of them, where the labels have no columns for them.  The last category is the label itself.
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "contempt": ("worthless", "pathetic", "disgusting"),
     "insult": ("idiot", "moron", "stupid", "clown", "loser"),
@@ -122,12 +127,20 @@ def _linear(x: np.ndarray, y: np.ndarray, times: np.ndarray, start: np.ndarray |
     return w
 
 
-def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: np.ndarray, categories: tuple[str, ...], times: np.ndarray | None = None) -> Chain:
-    """Fit the chain; ``y`` has a column for each category, ``fold`` the part that each row is held out with, ``times`` how often each row stands (once if none are given)."""
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: np.ndarray, categories: tuple[str, ...], times: np.ndarray | None = None, hidden: dict[int, list[int]] | None = None, linked: bool = True) -> Chain:
+    """Fit the chain.
+
+    ``y`` has a column for each category, ``fold`` the part that each row is held
+    out with, ``times`` how often each row stands (once if none are given),
+    ``hidden`` the columns of ``x`` that a link doesn't see (their weights are
+    0).  Without ``linked`` no link sees the earlier ones, to tell what these add.
+    """
     times = np.ones(len(x)) if times is None else times
     one, earlier, weights = np.ones((len(x), 1)), np.zeros((len(x), 0)), []
     for k in range(y.shape[1]):
-        seen = np.concatenate([x, earlier, one], axis=1)
+        own = x.copy()
+        own[:, (hidden or {}).get(k, [])] = 0
+        seen = np.concatenate([own, earlier if linked else 0 * earlier, one], axis=1)
         weights.append(_linear(seen, y[:, k], times))
         if k + 1 < y.shape[1]:
             out_of_fold = np.zeros(len(x))
@@ -145,41 +158,56 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", categories: dict[str, tuple[str, ...]] = CATEGORIES, most_rows: int = MOST_ROWS) -> Chain:
-    """Choose words and fit the chain on at most ``most_rows`` labelled rows of each label that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", category_cols: tuple[str, ...] = (), categories: dict[str, tuple[str, ...]] = CATEGORIES, most_rows: int = MOST_ROWS, linked: bool = True) -> Chain:
+    """Choose words and fit the chain on at most ``most_rows`` labelled rows of each label that aren't held out.
+
+    ``category_cols`` are columns of ``labels`` (0 or 1, null counts as 0) for
+    the categories before the last, in the order of the chain; if there are none,
+    ``categories`` has their seed words.
+    """
     spark = shipped(docs.sparkSession)
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
-    some = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most_rows) for k in (0, 1)]
+    marks = {} if category_cols else {c: [_word(w) for w in words] for c, words in categories.items()}
+    names = (*(category_cols or categories), LAST)
+    targets = [f"t{i}" for i in range(len(category_cols))]
+    known = labels.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{label_col}`").cast("long").alias("label"),
+        *[F.when(F.col(f"`{c}`").cast("long") == 1, 1).otherwise(0).cast("long").alias(t) for c, t in zip(category_cols, targets, strict=True)],
+    ).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
+    some = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", *targets).limit(most_rows) for k in (0, 1)]
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = texts.join(F.broadcast(some[0].unionByName(some[1])), "id").select(F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold"), "label", "text")  # broadcast: at most 2 * most_rows rows of two numbers
+    numbers = ["fold", "label", *targets]
+    marked = texts.join(F.broadcast(some[0].unionByName(some[1])), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS))).select(*numbers, "text")  # broadcast: at most 2 * most_rows rows of a few numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f.view(np.int64) for f in text_features(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["fold", "label", "hashes"])
-
-    rows = staged(marked.mapInArrow(tidy(run), "fold long, label long, hashes array<bigint>"), "toxicity")
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    counted = rows.select("label", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    share = (F.col("p") + F.col("n")) / F.lit(max(n0 + n1, 1))
-    error = F.sqrt(share * (1 / max(n0, 1) + 1 / max(n1, 1)))
-    uneven = F.abs(F.col("p") / F.lit(max(n1, 1)) - F.col("n") / F.lit(max(n0, 1))) / error
-    best = counted.where((F.col("p") + F.col("n") >= 3) & (uneven >= UNEVEN)).orderBy(uneven.desc(), "hash").limit(CHOSEN)
-    marks = {c: [_word(w) for w in words] for c, words in categories.items()}
-    wanted = sorted({r["hash"] for r in best.collect()} | {h for own in marks.values() for h in own})
-    some_hashes = rows.select("fold", "label", F.array_intersect("hashes", F.array(*[F.lit(h) for h in wanted]).cast("array<bigint>")).alias("hashes"))
-    alike = staged(some_hashes.groupBy("label", "fold", "hashes").agg(F.count("*").alias("times")), "toxicity")
+            found = [f.view(np.int64) for f in text_features(batch.column(len(numbers)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(numbers)], pa.array(found, pa.list_(pa.int64()))], [*numbers, "hashes"])
+
+    rows = staged(marked.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in numbers) + ", hashes array<bigint>"), "toxicity")
+    sides = ["label", *targets]
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sides]).first()
+    counted = rows.select(*sides, F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sides])
+    counted = staged(counted.where(F.col("n") >= 3), "toxicity")
+    wanted = {h for own in marks.values() for h in own}
+    for c in sides:
+        n1, n0 = max(totals[c], 1), max(totals["n"] - totals[c], 1)
+        error = F.sqrt(F.col("n") / F.lit(max(totals["n"], 1)) * (1 / n0 + 1 / n1))
+        uneven = F.abs(F.col(c) / n1 - (F.col("n") - F.col(c)) / n0) / error
+        wanted |= {r["hash"] for r in counted.where(uneven >= UNEVEN).orderBy(uneven.desc(), "hash").limit(CHOSEN // len(sides)).collect()}
+    some_hashes = rows.select(*numbers, F.array_intersect("hashes", F.array(*[F.lit(h) for h in sorted(wanted)]).cast("array<bigint>")).alias("hashes"))
+    alike = staged(some_hashes.groupBy(*numbers, "hashes").agg(F.count("*").alias("times")), "toxicity")
     # ids repeat in documents: a bound over both labels would cut one of them first
-    data = [r for k in (0, 1) for r in alike.where(F.col("label") == k).orderBy(F.xxhash64("fold", "hashes"), "fold", F.to_json("hashes")).limit(most_rows).collect()]
-    chosen = np.sort(np.array(wanted, np.int64).view(np.uint64))
-    chain = Chain((*categories, LAST), chosen, ())
-    found = [np.array(r["hashes"], np.int64).view(np.uint64) for r in data]
+    order = [F.xxhash64(*numbers, "hashes"), *numbers, F.to_json("hashes")]
+    data = [r for k in (0, 1) for r in alike.where(F.col("label") == k).orderBy(*order).limit(most_rows).collect()]
+    discard(rows, counted, alike)
+    chosen = np.sort(np.array(sorted(wanted), np.int64).view(np.uint64))
+    x = Chain(names, chosen, ()).seen([np.array(r["hashes"], np.int64).view(np.uint64) for r in data])
     toxic = np.array([r["label"] for r in data], float)
-    x = chain.seen(found)
     at = {int(h): i for i, h in enumerate(chosen.view(np.int64))}
-    y = [toxic * (x[:, [at[h] for h in marks[c]]].max(axis=1) if len(x) else 0) for c in categories] + [toxic]
-    return train(x, np.stack(y, axis=1).reshape(len(x), len(y)), np.array([r["fold"] for r in data], int), chosen, chain.categories, np.array([r["times"] for r in data], float))
+    hidden = {k: [at[h] for h in own] for k, own in enumerate(marks.values())}
+    y = [toxic * (x[:, own].max(axis=1) if len(x) else 0) for own in hidden.values()] + [np.array([r[t] for r in data], float) for t in targets] + [toxic]
+    return train(x, np.stack(y, axis=1).reshape(len(x), len(y)), np.array([r["fold"] for r in data], int), chosen, names, np.array([r["times"] for r in data], float), hidden, linked)
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -203,6 +203,68 @@ def test_quality_is_learnt_where_ids_of_the_other_label_repeat(spark):
     assert np.mean([r["kept"] == bool(quality[r["doc_id"]]) for r in got]) > 0.9
 
 
+def labelled_categories(seed, n=1_500):
+    """Messages whose labels have categories: threats and insults show in words, hate where both a group and either of them do."""
+    r = random.Random(seed)
+    rows, marks = [], []
+    for i in range(n):
+        threat, insult, group = r.random() < 0.25, r.random() < 0.25, r.random() < 0.4
+        words = prose(r, r.randint(8, 30)).split()
+        words += [r.choice([f"strike{k}" for k in range(12)]) for _ in range(2 * threat)] + [r.choice([f"fool{k}" for k in range(12)]) for _ in range(2 * insult)] + ["neighbours"] * group
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s", 1))
+        marks.append((i, int(threat), int(insult), int(group and (threat or insult)), int(threat or insult)))
+    return rows, marks
+
+
+def held_out_loss(spark, rows, truth, chain, column):
+    """Mean log loss and accuracy on held-out rows."""
+    got = {r["doc_id"]: r[column] for r in toxicity.score(table_of(spark, rows), chain).collect()}
+    out = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    p = np.clip([got[i] for i in out], 1e-6, 1 - 1e-6)
+    y = np.array([truth[i] for i in out], float)
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), float(np.mean((p >= 0.5) == y))
+
+
+def test_a_chain_of_labelled_categories(spark):
+    rows, marks = labelled_categories(1)
+    known = spark.createDataFrame(marks, "doc_id long, threat int, insult int, hate int, toxic int")
+    names = ("threat", "insult", "hate")
+    chain, alone = (toxicity.fit(table_of(spark, rows), known, category_cols=names, linked=x) for x in (True, False))
+    assert chain.categories == (*names, "toxic")
+    for k, c in enumerate((*names, "toxic")):
+        loss, right = held_out_loss(spark, rows, {m[0]: m[k + 1] for m in marks}, chain, f"p_{c}")
+        apart, _ = held_out_loss(spark, rows, {m[0]: m[k + 1] for m in marks}, alone, f"p_{c}")
+        print(f"{c}: held-out log loss {loss:.4f} in the chain, {apart:.4f} alone; accuracy {right:.3f}")
+        assert right > 0.9 and loss < apart + 0.01
+    truth = {m[0]: m[3] for m in marks}
+    assert held_out_loss(spark, rows, truth, chain, "p_hate")[0] < held_out_loss(spark, rows, truth, alone, "p_hate")[0]
+
+
+def test_links_don_t_see_their_own_seed_words(spark):
+    rows = noisy(5, 600)
+    chain = toxicity.fit(table_of(spark, rows), spark.createDataFrame(labels(rows), LABELS))
+    at = {int(h): i for i, h in enumerate(chain.chosen.view(np.int64))}
+    for k, words in enumerate(toxicity.CATEGORIES.values()):
+        assert all(chain.weights[k][at[toxicity._word(w)]] == 0 for w in words)
+    assert any(chain.weights[-1][at[toxicity._word(w)]] != 0 for w in toxicity.CATEGORIES["insult"])
+
+
+def test_probabilities_equal_the_links_done_one_by_one(spark):
+    rows = noisy(6, 300)
+    chain = toxicity.fit(table_of(spark, rows), spark.createDataFrame(labels(rows), LABELS))
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for r in toxicity.score(table_of(spark, rows[:60]), chain).collect():
+        words = set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", rows[r["doc_id"]][1].lower().translate(fold)))
+        seen = {toxicity._word(w) for w in words}
+        beginnings = {int(toxicity.mixed(np.array([toxicity._word(w[:5])], np.int64).view(np.uint64) ^ toxicity._OF_BEGINNING).view(np.int64)[0]) for w in words if len(w) > 5}
+        x, earlier = [float(int(h) in seen | beginnings) for h in chain.chosen.view(np.int64)], []
+        for c, w in zip(chain.categories, chain.weights, strict=True):
+            z = sum(a * b for a, b in zip([*x, *earlier, 1.0], w, strict=True))
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert abs(r[f"p_{c}"] - earlier[-1]) < 1e-9
+
+
 def test_later_categories_see_earlier_probabilities():
     rng = np.random.default_rng(1)
     x = (rng.random((400, 3)) < 0.4).astype(float)
