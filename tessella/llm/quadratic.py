@@ -2,17 +2,21 @@
 
 Fitting needs only sums: for each class the number of rows, the sums of the
 transformed statistics and of their products.  Executors send these for all
-labelled rows that may be learnt from, so no row is sampled and the driver gets
-a few hundred numbers whatever the input.  Each class covariance is shrunk
-towards the pooled one and then towards its mean variance; its Cholesky factor
-is computed once and cached in the model that is broadcast.  A score is the
-logistic of the difference of the two log-densities.
+labelled rows that may be learnt from, in fixed point, so that they are the same
+in whatever order tasks end.  Each class covariance is shrunk towards the pooled
+one and then towards its mean variance; its Cholesky factor is computed once and
+cached in the model that is broadcast.  A score is the logistic of the difference
+of the two log-densities.
+
+How far to shrink is chosen by folds: sums are kept for each fold, so that models
+without a fold cost no pass, and their log loss is taken on a bounded sample of
+the labelled rows (``TUNED_ROWS``) in the fold left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .docstats import FEATURES, batches_with_counts, features
-from .support import shipped, table, tidy
+from .support import discard, shipped, staged, table, tidy
 
-#: Weight of the pooled covariance, and of its mean variance, in a class covariance.
+#: Weight of the pooled covariance, and of its mean variance, in a class covariance, where there are too few rows to choose.
 POOLED, SPHERICAL = 0.8, 0.1
 #: Log-density differences count by this factor: statistics aren't independent, nor quite normal.
 TEMPER = 0.25
+#: What is chosen from, the strongest first: of equally good ones the first is taken.
+CHOICES = [(pooled, spherical, temper) for temper in (0.25, 0.5, 1.0) for pooled in (0.9, 0.8, 0.5, 0.2) for spherical in (0.3, 0.1, 0.03, 0.01)]
+#: Documented bound: labelled rows that the choice is made on, those with the smallest hashes; and the folds.
+TUNED_ROWS, FOLDS = 5_000, 5
+#: Statistics are summed as whole multiples of one part in so many.
+FIXED = 1024
 
 
 @dataclass(frozen=True)
@@ -38,6 +48,7 @@ class Quadratic:
     means: np.ndarray | None = None
     factors: np.ndarray | None = None  # inverse Cholesky factors, one for each class
     log_scale: np.ndarray | None = None
+    temper: float = TEMPER
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of label 1 for rows of transformed statistics."""
@@ -47,11 +58,14 @@ class Quadratic:
         for mean, factor, scale in zip(self.means, self.factors, self.log_scale, strict=True):
             z = (x - mean) @ factor.T
             density.append(-0.5 * (z * z).sum(axis=1) - scale)
-        odds = TEMPER * (density[1] - density[0]) + math.log(self.share / (1 - self.share))
+        odds = self.temper * (density[1] - density[0]) + math.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
-def from_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Quadratic:
+Sums = dict[int, tuple[float, np.ndarray, np.ndarray]]
+
+
+def from_sums(sums: Sums, pooled_weight: float = POOLED, spherical: float = SPHERICAL, temper: float = TEMPER) -> Quadratic:
     """The model from each class's number of rows, sums and sums of products."""
     n = np.array([sums[k][0] if k in sums else 0.0 for k in (0, 1)])
     share = (n[1] + 1) / (n.sum() + 2)
@@ -63,13 +77,40 @@ def from_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Quadrati
     spread = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
     factors, scales = [], []
     for k in (0, 1):
-        shrunk = ((1 - POOLED) * own[k] + POOLED * pooled) / np.outer(spread, spread)
+        shrunk = ((1 - pooled_weight) * own[k] + pooled_weight * pooled) / np.outer(spread, spread)
         d = len(shrunk)
-        shrunk = (1 - SPHERICAL) * shrunk + SPHERICAL * max(np.trace(shrunk) / d, 1e-6) * np.eye(d)
+        shrunk = (1 - spherical) * shrunk + spherical * max(np.trace(shrunk) / d, 1e-6) * np.eye(d)
         lower = np.linalg.cholesky(shrunk)
         factors.append(np.linalg.solve(lower, np.diag(1 / spread)))
         scales.append(np.log(np.diag(lower)).sum())
-    return Quadratic(share, np.array(means), np.array(factors), np.array(scales))
+    return Quadratic(share, np.array(means), np.array(factors), np.array(scales), temper)
+
+
+def _added(parts: Iterable[Sums]) -> Sums:
+    out: Sums = {}
+    for part in parts:
+        for k, (n, x, xx) in part.items():
+            m, y, yy = out.get(k, (0.0, 0.0, 0.0))
+            out[k] = (m + n, y + x, yy + xx)
+    return out
+
+
+def chosen(by_fold: dict[int, Sums], fold: np.ndarray, x: np.ndarray, y: np.ndarray) -> Quadratic:
+    """The model of all folds with the shrinkage that has the least log loss on rows, each scored without its own fold."""
+    whole = _added(by_fold.values())
+    if len(y) < 2 * FOLDS or y.min() == y.max():
+        return from_sums(whole)
+    best: tuple = (math.inf, (POOLED, SPHERICAL, TEMPER))
+    for choice in CHOICES:
+        p = np.empty(len(y))
+        for f in np.unique(fold):
+            own = fold == f
+            p[own] = from_sums(_added(s for g, s in by_fold.items() if g != f), *choice).score(x[own])
+        p = np.clip(p, 1e-9, 1 - 1e-9)
+        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        if loss < best[0] - 1e-9:
+            best = (loss, choice)
+    return from_sums(whole, *best[1])
 
 
 def held_out(id_col: str) -> Column:
@@ -90,19 +131,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     measured = source.mapInArrow(tidy(measure), T.StructType([source.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(0, 1))
-    marked = measured.join(known, "id").select("label", "x")
+    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold")
+    fixed = F.transform("x", lambda v: F.round(v * FIXED).cast("long")).alias("x")
+    marked = staged(measured.join(known, "id").select(F.xxhash64("id").alias("hash"), "id", fold, F.col("label").cast("int").alias("label"), fixed), "quality")
 
     # the sums are native aggregates: no second Python worker runs in the tasks that measure
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     value = lambda i: F.get("x", F.lit(i))
     sums = [F.sum(value(i)).alias(f"s{i}") for i in range(width)] + [F.sum(value(i) * value(j)).alias(f"p{i}_{j}") for i, j in pairs]
-    found = {}
-    for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums).collect():  # two rows of some hundred numbers, whatever the input
+    found: dict[int, Sums] = {}
+    for r in marked.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), *sums).collect():  # ten rows of some hundred numbers, whatever the input
         products = np.zeros((width, width))
         for i, j in pairs:
-            products[i, j] = products[j, i] = r[f"p{i}_{j}"]
-        found[int(r["label"])] = (float(r["n"]), np.array([r[f"s{i}"] for i in range(width)]), products)
-    return from_sums(found)
+            products[i, j] = products[j, i] = r[f"p{i}_{j}"] / FIXED**2
+        found.setdefault(r["fold"], {})[r["label"]] = (float(r["n"]), np.array([r[f"s{i}"] for i in range(width)], float) / FIXED, products)
+    some = marked.orderBy("hash", "id", "label", "x").limit(TUNED_ROWS).select("fold", "label", "x").collect()
+    discard(marked)
+    x = np.array([r["x"] for r in some], float).reshape(-1, width) / FIXED
+    return chosen(found, np.array([r["fold"] for r in some]), x, np.array([r["label"] for r in some], float))
 
 
 def score(docs: DataFrame, model: Quadratic, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

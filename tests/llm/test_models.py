@@ -94,6 +94,33 @@ def test_discriminant_equals_the_plain_formula():
     assert np.allclose(model.score(probe), 1 / (1 + np.exp(-odds)))
 
 
+def test_shrinkage_is_chosen_by_the_folds_left_out():
+    """The choice and the sums against doing it row by row."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(600) < 0.4).astype(float)
+    x = rng.normal(0, 1, (600, 4)) * np.where(y[:, None] == 1, [1, 2, 1, 0.5], [1, 1, 3, 1]) + y[:, None] * 0.4
+    fold = rng.integers(0, quadratic.FOLDS, 600)
+    sums = lambda rows: {k: (float((y[rows] == k).sum()), x[rows][y[rows] == k].sum(axis=0), x[rows][y[rows] == k].T @ x[rows][y[rows] == k]) for k in (0, 1)}
+    model = quadratic.chosen({f: sums(fold == f) for f in range(quadratic.FOLDS)}, fold, x, y)
+
+    def loss(choice):
+        p = np.empty(600)
+        for f in range(quadratic.FOLDS):
+            p[fold == f] = quadratic.from_sums(sums(fold != f), *choice).score(x[fold == f])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    best = min(quadratic.CHOICES, key=loss)
+    want = quadratic.from_sums(sums(fold >= 0), *best)
+    assert np.allclose(model.factors, want.factors) and model.temper == want.temper and best[0] < 0.9
+
+
+def test_sums_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rows = noisy(4)
+    known = spark.createDataFrame(labels(rows), LABELS)
+    a, b = (quadratic.fit(table_of(spark, r).repartition(n), known) for r, n in ((rows, 1), (rows[::-1], 7)))
+    assert (a.means == b.means).all() and (a.factors == b.factors).all() and a.temper == b.temper
+
+
 @pytest.mark.parametrize("known", [[], [(0, 1, 0), (2, 1, 0)]])
 def test_models_without_a_class(spark, known):
     rows = documents(1, 10)
