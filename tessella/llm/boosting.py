@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .docstats import COUNTS, FEATURES, batches_with_counts, features
-from .support import shipped, table, tidy
+from .support import discard, shipped, smallest, staged, table, tidy
 
 #: Documented bound: labelled rows that the trees are grown from, and rows of documents with their ids that differ in label or statistics.
 MOST_ROWS = 20_000
@@ -120,7 +120,7 @@ def grow(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, times: np.ndarray |
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> Forest:
     """Grow the trees from at most ``most_rows`` labelled rows, those whose id has the smallest hash; ids that are held out by the hash rule of the quality classifier aren't used."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    known = known.where(F.crc32(F.col("id").cast("string")) % 3 != 1).orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
+    known = smallest(known.where(F.crc32(F.col("id").cast("string")) % 3 != 1), F.xxhash64("id"), most_rows, "id", "label")
     shipped(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = texts.join(F.broadcast(known), "id").select("label", "text")  # broadcast: at most ``most_rows`` rows of two numbers
@@ -130,9 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *map(pa.array, features(counts).T)], ["label", *FEATURES])
 
     rows = marked.mapInArrow(tidy(run), "label long, " + ", ".join(f"{f} double" for f in FEATURES))
-    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    alike = staged(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")), "boosting")
     # ids repeat in documents: in the order of label and statistics one class or length would be cut first
-    data = np.array([tuple(r) for r in alike.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(most_rows).collect()], float).reshape(-1, 2 + len(FEATURES))
+    data = np.array([tuple(r) for r in smallest(alike, F.xxhash64(*rows.columns), most_rows, *rows.columns).collect()], float).reshape(-1, 2 + len(FEATURES))
+    discard(alike)
     return grow(data[:, 1:-1], data[:, 0], np.array([MONOTONE.get(f, 0) for f in FEATURES]), data[:, -1])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .docstats import FEATURES, batches_with_counts, features
-from .support import discard, shipped, staged, table, tidy
+from .support import discard, shipped, smallest, staged, table, tidy
 
 #: Weight of the pooled covariance, and of its mean variance, in a class covariance, where there are too few rows to choose.
 POOLED, SPHERICAL = 0.8, 0.1
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for i, j in pairs:
             products[i, j] = products[j, i] = r[f"p{i}_{j}"] / FIXED**2
         found.setdefault(r["fold"], {})[r["label"]] = (float(r["n"]), np.array([r[f"s{i}"] for i in range(width)], float) / FIXED, products)
-    some = marked.orderBy("hash", "id", "label", "x").limit(TUNED_ROWS).select("fold", "label", "x").collect()
+    some = smallest(marked, F.col("hash"), TUNED_ROWS, "id", "label", "x").select("fold", "label", "x").collect()
     discard(marked)
     x = np.array([r["x"] for r in some], float).reshape(-1, width) / FIXED
     return chosen(found, np.array([r["fold"] for r in some]), x, np.array([r["label"] for r in some], float))

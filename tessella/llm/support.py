@@ -15,7 +15,7 @@ from pathlib import Path
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -94,6 +94,20 @@ def staged_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return out
 
 
+def smallest(df: DataFrame, hashed_by: Column, bound: int, *ties: str) -> DataFrame:
+    """The ``bound`` rows with the smallest hashes (64 bits), in their order and that of ``ties``.
+
+    Each task would send as many rows as the bound; so rows with larger hashes
+    than about twice the bound's share are left out before, if enough remain.
+    ``df`` is read more than once.
+    """
+    rows = df.count()
+    if rows > 2 * bound:
+        some = df.where(hashed_by < F.lit(int(-(1 << 63) + (1 << 64) * (2 * bound / rows))))
+        df = some if some.count() >= bound else df
+    return df.orderBy(hashed_by, *ties).limit(bound)
+
+
 #: Bytes of a hashed side that one task may hold.
 HASHED_BYTES = 64 << 20
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import discard, shipped, staged, table, tidy
+from .support import discard, shipped, smallest, staged, table, tidy
 from .textspans import ALNUM, LOWER, buffers, groups, mixed, spans, word_hashes
 
 #: Documented bound: labelled rows that are learnt from, for each label (those with the smallest hashes of their ids); and rows of documents with these ids that differ in what the models see (copies count as often as they stand, the smallest hashes go first).
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         F.col(f"`{label_col}`").cast("long").alias("label"),
         *[F.when(F.col(f"`{c}`").cast("long") == 1, 1).otherwise(0).cast("long").alias(t) for c, t in zip(category_cols, targets, strict=True)],
     ).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
-    some = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", *targets).limit(most_rows) for k in (0, 1)]
+    some = [smallest(known.where(F.col("label") == k), F.xxhash64("id"), most_rows, "id", *targets) for k in (0, 1)]
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     numbers = ["fold", "label", *targets]
     marked = texts.join(F.broadcast(some[0].unionByName(some[1])), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS))).select(*numbers, "text")  # broadcast: at most 2 * most_rows rows of a few numbers
@@ -196,11 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         uneven = F.abs(F.col(c) / n1 - (F.col("n") - F.col(c)) / n0) / error
         wanted |= {r["hash"] for r in counted.where(uneven >= UNEVEN).orderBy(uneven.desc(), "hash").limit(CHOSEN // len(sides)).collect()}
     some_hashes = rows.select(*numbers, F.array_intersect("hashes", F.array(*[F.lit(h) for h in sorted(wanted)]).cast("array<bigint>")).alias("hashes"))
-    alike = staged(some_hashes.groupBy(*numbers, "hashes").agg(F.count("*").alias("times")), "toxicity")
+    shorter = staged(some_hashes.groupBy(*numbers, "hashes").agg(F.count("*").alias("times")), "toxicity")
     # ids repeat in documents: a bound over both labels would cut one of them first
-    order = [F.xxhash64(*numbers, "hashes"), *numbers, F.to_json("hashes")]
-    data = [r for k in (0, 1) for r in alike.where(F.col("label") == k).orderBy(*order).limit(most_rows).collect()]
-    discard(rows, counted, alike)
+    alike = shorter.withColumn("_text", F.to_json("hashes"))
+    data = [r for k in (0, 1) for r in smallest(alike.where(F.col("label") == k), F.xxhash64(*numbers, "hashes"), most_rows, *numbers, "_text").collect()]
+    discard(rows, counted, shorter)
     chosen = np.sort(np.array(sorted(wanted), np.int64).view(np.uint64))
     x = Chain(names, chosen, ()).seen([np.array(r["hashes"], np.int64).view(np.uint64) for r in data])
     toxic = np.array([r["label"] for r in data], float)

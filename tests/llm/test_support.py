@@ -74,3 +74,12 @@ def test_a_batch_size_of_the_session_is_left_alone(spark):
 def test_package_is_shipped_once(spark):
     mark = support.shipped(spark).sparkContext._tessella_shipped
     assert support.shipped(spark).sparkContext._tessella_shipped == mark
+
+
+@pytest.mark.parametrize("rows", [0, 5, 50, 5_000])
+def test_the_smallest_hashes(spark, rows):
+    df = spark.range(rows).select("id", F.xxhash64("id").alias("h"))
+    want = [r["id"] for r in df.orderBy("h", "id").limit(40).collect()]
+    assert [r["id"] for r in support.smallest(df, F.xxhash64("id"), 40, "id").collect()] == want
+    alike = spark.range(rows).select("id", F.lit(1).alias("k"))
+    assert support.smallest(alike, F.xxhash64("k"), 40, "id").count() == min(40, rows)
