@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: what stands for data that is left out.
+PRUNED = "[pruned]"
+
+
 def text_part(text: Column) -> Column:
     return F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("struct<url:string,detail:string>").alias("image_url"))
 
@@ -35,13 +39,17 @@ def with_context(context: Column, query: Column) -> Column:
 
 
 def pruned(m: Column) -> Column:
-    """a message whose parts other than text are marked as pruned."""
-    kept = F.transform(m["content_parts"], lambda p: F.when(p["type"] == "text", p).otherwise(F.struct(p["type"].alias("type"), F.lit("[pruned]").alias("text"), F.lit(None).cast("struct<url:string,detail:string>").alias("image_url"))))
+    """a message whose parts other than text hold a mark under their own key, in place of their data; a kind without a key of its own keeps the kind alone."""
+    mark = F.struct(F.lit(PRUNED).alias("url"), F.lit(None).cast("string").alias("detail"))
+    kept = F.transform(m["content_parts"], lambda p: F.when(p["type"] == "text", p).otherwise(F.struct(p["type"].alias("type"), F.lit(None).cast("string").alias("text"), F.when(p["type"] == "image_url", mark).alias("image_url"))))
     return F.struct(m["role"].alias("role"), m["content_text"].alias("content_text"), kept.alias("content_parts"))
 
 
 def formatted(messages: Column, omit_image_data: bool = True, omit_system_prompt: bool = True) -> Column:
-    """a transcript; each message is its role in brackets, its content and a line feed.  Malformed parts show what is wrong."""
+    """a transcript; each message is its role in brackets, its content and a line feed.  Malformed parts show what is wrong.
+
+    Fixed values: the texts in angle brackets.
+    """
 
     def part(p: Column) -> Column:
         url = p["image_url"]["url"]
@@ -64,9 +72,10 @@ def formatted(messages: Column, omit_image_data: bool = True, omit_system_prompt
 
 def framed(agent: Column, transcript: Column) -> Column:
     """an agent's transcript between its start and its stop line."""
-    #: The rules on both sides of the lines.
-    start, stop = ">" * 19, "<" * 19
-    return F.concat(F.lit(f"{start} "), agent, F.lit(f" messages start {start}\n"), transcript, F.lit(f"{stop} "), agent, F.lit(f" messages stop {stop}<\n"))
+    #: What stands before and after the agent's name in both lines; the last is one longer.
+    before, after = ">>>>>>>>>>>>>>>>>>> ", " messages start >>>>>>>>>>>>>>>>>>>\n"
+    last, end = "<<<<<<<<<<<<<<<<<<< ", " messages stop <<<<<<<<<<<<<<<<<<<<\n"
+    return F.concat(F.lit(before), agent, F.lit(after), transcript, F.lit(last), agent, F.lit(end))
 
 
 def normalised(raw: Column) -> Column:

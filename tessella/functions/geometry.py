@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def rect(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
@@ -68,7 +70,7 @@ def bbox_ratio(box: Column, area: Column) -> Column:
 
 def parse_bbox(text: Column) -> Column:
     """F8: four numbers in brackets or bare, separated by commas, as a box; null for anything else."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
+    bare = strip(text)
     bare = F.when(bare.startswith("[") & bare.endswith("]"), F.substr(bare, F.lit(2), F.char_length(bare) - 2)).otherwise(bare)
     parts = F.filter(F.split(F.replace(bare, F.lit(" "), F.lit("")), ","), lambda p: p != "")
     return bbox_of_array(F.transform(parts, lambda p: p.try_cast("double")))
@@ -144,9 +146,14 @@ def crop_to_area(crop: Column, area: Column) -> Column:
     return F.when(w * h > area, rect(x, y, x + nw, y + nh)).otherwise(crop)
 
 
+def roomy(r: Column, least: int) -> Column:
+    """Whether a rectangle's short side is long enough."""
+    return F.least(r["x1"] - r["x0"], r["y1"] - r["y0"]) >= least
+
+
 def no_slivers(rects: Column, least: int) -> Column:
     """The rectangles whose short side is long enough."""
-    return F.filter(rects, lambda r: F.least(r["x1"] - r["x0"], r["y1"] - r["y0"]) >= least)
+    return F.filter(rects, lambda r: roomy(r, least))
 
 
 def _bound(value: Column, then) -> Column:
@@ -160,25 +167,36 @@ def none_contained(rects: Column) -> Column:
     return _bound(rects, lambda every: F.filter(every, lambda a: F.size(F.filter(every, lambda b: rect_contains(b, a))) == 1))
 
 
+def pieces(f: Column, used: Column) -> list[Column]:
+    """D14 for one free rectangle: above and below a used one in full width, left and right of it between; those without an area are null.  If they don't meet, the first is the whole."""
+    top, bottom = F.greatest(f["y0"], used["y0"]), F.least(f["y1"], used["y1"])
+    cut = [
+        rect(f["x0"], f["y0"], f["x1"], used["y0"]),
+        rect(f["x0"], used["y1"], f["x1"], f["y1"]),
+        rect(f["x0"], top, used["x0"], bottom),
+        rect(used["x1"], top, f["x1"], bottom),
+    ]
+    met = rect_intersect(f, used)
+    return [F.when(met & (rect_area(r) > 0), r) if i else F.when(~met, f).when(rect_area(r) > 0, r) for i, r in enumerate(cut)]
+
+
 def split_free(rects: Column, used: Column) -> Column:
-    """Free rectangles without a used one: above and below it in full width, left and right of it between."""
+    """Free rectangles without a used one."""
 
     def parts(f: Column) -> Column:
-        top, bottom = F.greatest(f["y0"], used["y0"]), F.least(f["y1"], used["y1"])
-        cut = F.array(
-            rect(f["x0"], f["y0"], f["x1"], used["y0"]),
-            rect(f["x0"], used["y1"], f["x1"], f["y1"]),
-            rect(f["x0"], top, used["x0"], bottom),
-            rect(used["x1"], top, f["x1"], bottom),
-        )
-        return F.when(rect_intersect(f, used), cut).otherwise(F.array(f))
+        return F.array_compact(F.array(*pieces(f, used)))
 
     cut = F.filter(F.flatten(F.transform(rects, parts)), lambda r: rect_area(r) > 0)
     # the pieces of one rectangle don't contain each other; only those of several may
     return F.when(F.size(rects) > 1, none_contained(cut)).otherwise(cut)
 
 
+def normal(r: Column, least: int, low: float = 0.4, high: float = 2.5) -> Column:
+    """Whether a rectangle is neither a sliver nor out of the aspect bounds."""
+    ratio = (r["x1"] - r["x0"]) / F.greatest(F.lit(1), r["y1"] - r["y0"])
+    return (F.least(r["x1"] - r["x0"], r["y1"] - r["y0"]) >= least) & (ratio >= low) & (ratio <= high)
+
+
 def all_normal(rects: Column, least: int, low: float = 0.4, high: float = 2.5) -> Column:
-    """Whether no free rectangle is a sliver or out of the aspect bounds."""
-    ratio = lambda r: (r["x1"] - r["x0"]) / F.greatest(F.lit(1), r["y1"] - r["y0"])
-    return F.forall(rects, lambda r: (F.least(r["x1"] - r["x0"], r["y1"] - r["y0"]) >= least) & (ratio(r) >= low) & (ratio(r) <= high))
+    """Whether all free rectangles are normal."""
+    return F.forall(rects, lambda r: normal(r, least, low, high))

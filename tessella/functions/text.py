@@ -30,9 +30,13 @@ Model answer: {model_answer}"""
 THINK_PROMPT = "Think about the question first, between <think> and </think>. Then give the answer between <answer> and </answer>."
 
 
+#: White space.
+WHITE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    """without white space at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    """without white space at both ends, in time linear in the text (``trim`` removes spaces only)."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def last_match(c: Column, pattern: str) -> Column:

@@ -1,8 +1,8 @@
 """Making collages: choosing images, planning and packing rectangles, filling what is left.
 
 The choice and the packing of a collage depend on each other step by step, so a
-chunk of the image table is a pandas group; chunks are bounded, dealt evenly, and
-each makes its share of a round.  A collage's random numbers depend on the seed
+chunk of the image table is a pandas group; chunks are dealt evenly, no larger
+than ``CHUNK_ROWS``, and each makes its share of a round.  A collage's random numbers depend on the seed
 and its index alone, so a retried task makes the same collage again.  Between
 rounds, uses are added to the table with joins, and the table is staged.
 """
@@ -27,6 +27,10 @@ from . import sampling, usage
 Rect = tuple[int, int, int, int]
 
 
+#: Images that a chunk has at most; a larger table makes more chunks than were asked for.
+CHUNK_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Defaults of a run.  Fixed values, as results depend on them."""
@@ -72,6 +76,7 @@ class Item:
     r_out: float = 1.0
     rect: Rect | None = None
     crop: Rect | None = None
+    low: float = 0.0  # the least scale
 
 
 class Pool:
@@ -88,7 +93,7 @@ class Pool:
         low, high = (self.pressure.min(), self.pressure.max()) if len(frame) else (0.0, 0.0)
         self.scaled = (self.pressure - low) / (high - low) if high > low else np.zeros(len(frame))
         self.hardness = self.scaled + 0.2 * np.minimum(2, np.abs(np.log(np.maximum(self.ratio, 1e-9)))) / 2
-        self.image = frame["image"].to_numpy(object)
+        self.same = pd.factorize(frame["image"])[0]  # rows of one image have one number
         self.used = {r: frame[f"{r}_count"].to_numpy(np.int64).copy() for r in usage.ROLES}
 
     def weights(self, rows: np.ndarray, role: str, pressed: bool = False) -> np.ndarray:
@@ -189,47 +194,49 @@ def plan(pool: Pool, items: list[Item], canvas: float, s: Settings, rng: np.rand
     grid = s.min_short_edge
     for i, item in enumerate(items):
         a = lam[i] * eff[i]
-        item.lam, item.r_out = float(lam[i]), float(out[i])
+        item.lam, item.low, item.r_out = float(lam[i]), float(low[i]), float(out[i])
         item.w, item.h = max(grid, down(math.sqrt(a * out[i]), grid)), max(grid, down(math.sqrt(a / out[i]), grid))
     items.sort(key=lambda x: -x.w * x.h)
     return True
 
 
 def place(pool: Pool, items: list[Item], width: int, height: int, s: Settings, rng: np.random.Generator) -> list[Rect] | None:
-    """Put the items on the canvas, boxed and large ones first; the free rectangles left, or none if one doesn't fit."""
-    grid, least = s.min_short_edge, s.min_short_edge
+    """Put the items on the canvas, boxed and large ones first; the free rectangles left, or none if one doesn't fit.
+
+    An item shrinks step by step while it is wider than the canvas or its object
+    takes more than its share; where no free rectangle holds it, it first tries
+    the size that just fits one.  An item without an object never goes below its
+    least scale; one with an object may, as the object's share comes first.
+    """
+    grid, m = s.min_short_edge, s.margin
+    size = lambda w, h: (max(grid, down(w, grid)), max(grid, down(h, grid)))
     free: list[Rect] = [(0, 0, width, height)]
     for item in sorted(items, key=lambda x: (pool.rho[x.row] <= 0, -x.w * x.h)):
-        w, h, placed = float(item.w), float(item.h), False
+        rho, source = pool.rho[item.row], max(1.0, pool.area_eff[item.row])
+        w, h = size(item.w, item.h)
         for _ in range(s.place_max_retry):
-            iw, ih = max(least, down(w, grid)), max(least, down(h, grid))
-            if iw > width or ih > height:
-                w, h = w * s.shrink_step, h * s.shrink_step
-                continue
-            rho = pool.rho[item.row]
-            if rho > 0 and rho * iw * ih / (width * height) > s.rho_max * 1.05 and (iw > least or ih > least):
-                w, h = iw * s.shrink_step, ih * s.shrink_step
+            if w > width or h > height or (rho > 0 and rho * w * h / (width * height) > s.rho_max + 1e-12):
+                w, h = size(w * s.shrink_step, h * s.shrink_step)
                 continue
-            fits = sorted((area(f) - iw * ih, f) for f in free if f[2] - f[0] >= iw and f[3] - f[1] >= ih)
-            if not fits:
-                if iw <= least and ih <= least:
-                    break
-                w, h = max(least, iw * s.shrink_step), max(least, ih * s.shrink_step)
-                if (down(w, grid), down(h, grid)) == (iw, ih):
-                    w, h = max(least, iw - grid), max(least, ih - grid)
-                continue
-            _, f = fits[int(rng.integers(0, min(3, len(fits))))]
-            spots = [(f[0] + int(rng.integers(0, (f[2] - f[0] - iw) // grid + 1)) * grid, f[1] + int(rng.integers(0, (f[3] - f[1] - ih) // grid + 1)) * grid) for _ in range(4)]
-            if rng.random() < 0.3:
-                spots.insert(0, (f[0] + down((f[2] - f[0] - iw) / 2, grid), f[1] + down((f[3] - f[1] - ih) / 2, grid)))
-            x, y = spots[0]
-            item.w, item.h, item.rect = iw, ih, (x, y, x + iw, y + ih)
-            m = s.margin
-            free = [r for r in split_free(free, (max(0, x - m), max(0, y - m), min(width, x + iw + m), min(height, y + ih + m))) if min(r[2] - r[0], r[3] - r[1]) >= least]
-            placed = True
-            break
-        if not placed:
+            if rho <= 0 and w * h / source < item.low - 1e-9:
+                return None  # it only gets smaller
+            fits = sorted((area(f) - w * h, f) for f in free if f[2] - f[0] >= w and f[3] - f[1] >= h)
+            if fits:
+                break
+            best = max((min((f[2] - f[0]) / w, (f[3] - f[1]) / h) for f in free), default=0.0)
+            to = size(w * best * (by := rng.uniform(0.97, 1.0)), h * best * by)
+            w, h = to if 0 < best < 1 and to[0] * to[1] / source >= item.low - 1e-9 else size(w * s.shrink_step, h * s.shrink_step)
+        else:
             return None
+        _, f = fits[int(rng.integers(0, min(3, len(fits))))]
+        across, along = f[2] - f[0] - w, f[3] - f[1] - h
+        if rng.random() < 0.3:
+            x, y = f[0] + down(across / 2, grid), f[1] + down(along / 2, grid)
+        else:
+            x, y = f[0] + int(rng.integers(0, across // grid + 1)) * grid, f[1] + int(rng.integers(0, along // grid + 1)) * grid
+        item.w, item.h, item.rect, item.lam = w, h, (x, y, x + w, y + h), float(w * h / source)
+        used = (max(0, x - m), max(0, y - m), min(width, x + w + m), min(height, y + h + m))
+        free = [r for r in split_free(free, used) if min(r[2] - r[0], r[3] - r[1]) >= grid]
     return free
 
 
@@ -281,10 +288,9 @@ def centre_crop(w: int, h: int, ratio: float) -> Rect:
 
 def fill(pool: Pool, panels: list[Rect], items: list[Item], s: Settings, rng: np.random.Generator) -> list[Rect]:
     """An image for each panel, largest first, none twice on a canvas; the panels that stay empty."""
-    taken, images, empty = {i.row for i in items}, {pool.image[i.row] for i in items}, []
+    free, empty = ~np.isin(pool.same, pool.same[[i.row for i in items]]), []
     for p in sorted(panels, key=lambda r: -area(r)):
         a, ratio = area(p), (p[2] - p[0]) / max(1, p[3] - p[1])
-        free = np.array([i not in taken and pool.image[i] not in images for i in range(len(pool.area))], bool)
         band = free & (pool.area >= a / s.fill_high) & (pool.area <= a / s.fill_low)
         off = np.abs(np.log(pool.ratio / ratio))
         pick, crop = [], None
@@ -316,8 +322,7 @@ def fill(pool: Pool, panels: list[Rect], items: list[Item], s: Settings, rng: np
             empty.append(p)
             continue
         i = pick[0]
-        taken.add(i)
-        images.add(pool.image[i])
+        free &= pool.same != pool.same[i]
         lam = float(np.clip(a / max(pool.area[i], 1), s.fill_low, s.fill_high))
         items.append(Item(i, "fill", p[2] - p[0], p[3] - p[1], lam, ratio, p, crop))
     return empty
@@ -400,13 +405,15 @@ def make_round(images: DataFrame, count: int, chunks: int, start: int = 0, seed:
     Images are dealt by their uses (D25), those alike in the order of a hash of
     uid and round, so chunks are of equal size and use, and mixed anew each
     round.  Counts are fresh within a chunk and merged
-    after the round.
+    after the round.  Chunks that a round has no collage for make none.
     """
     s = settings or Settings()
     shipped(images.sparkSession)
+    pool = prepared(images)
+    chunks = max(chunks, -(-pool.count() // CHUNK_ROWS))
     shares = sampling.quotas(count, chunks, count)
     first = [start + sum(shares[:i]) for i in range(chunks)]
-    rows = sampling.balanced(prepared(images), chunks, F.xxhash64("uid", F.lit(seed), F.lit(round_id)), "uid")
+    rows = sampling.balanced(pool, chunks, F.xxhash64("uid", F.lit(seed), F.lit(round_id)), "uid")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         pool, i = Pool(frame.sort_values("uid", kind="stable"), s), int(key[0])

@@ -112,6 +112,11 @@ def zipped(keys: Column, values: Column) -> Column:
     return F.when(F.size(keys) == F.size(values), F.arrays_zip(keys, values)).otherwise(F.raise_error(F.lit("arrays of different lengths")))
 
 
+def first_success_by(df: DataFrame, key: str, value: str, order: str, success: Column) -> DataFrame:
+    """A16 over rows: of each key, the value of its first row that succeeded (null if none did) and how many rows there are, without collecting them."""
+    return df.groupBy(key).agg(F.min_by(F.when(success, F.col(value)), F.when(success, F.col(order))).alias("first_value"), F.count(F.lit(1)).alias("results"))
+
+
 def first_success(results: Column) -> Column:
     """The first result that succeeded, null if none did."""
     return F.get(F.filter(results, lambda r: F.coalesce(r["success"], F.lit(False))), F.lit(0))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import json
 import logging
+import math
 import os
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schemas import CONVERSATION, EVAL_RESULT, INFERENCE_RESULT, MESSAGE
 from ..sources.checkpoints import shipped, staged
+from ..sources.writers import logged
+from . import rendering
 
 log = logging.getLogger(__name__)
 
@@ -104,25 +108,46 @@ def user_message(query: str, image_url: str | None = None, image_settings: dict
     return {"role": "user", "content": parts}
 
 
-def prepare_image(content: bytes, min_pixels: int | None = None, max_pixels: int | None = None) -> str:
-    """An image as a JPEG data URL, resized if an image library is there; bytes go as they are otherwise."""
-    try:
-        from io import BytesIO
+#: How files of the usual kinds begin, and their types.
+BEGINNINGS = {b"\xff\xd8\xff": "image/jpeg", b"\x89PNG\r\n\x1a\n": "image/png", b"GIF8": "image/gif", b"BM": "image/bmp"}
+
 
-        from PIL import Image
-    except ImportError:
-        return f"data:image/jpeg;base64,{base64.b64encode(content).decode()}"
-    image = Image.open(BytesIO(content)).convert("RGB")
-    w, h = image.size
+def resized_sides(width: int, height: int, min_pixels: int | None, max_pixels: int | None) -> tuple[int, int]:
+    """The sides brought up to ``min_pixels``, then down to ``max_pixels``, which wins."""
+    w, h = width, height
     if min_pixels and w * h < min_pixels:
         s = (min_pixels / (w * h)) ** 0.5
-        w, h = -int(-w * s // 1), -int(-h * s // 1)
+        w, h = math.ceil(w * s), math.ceil(h * s)
     if max_pixels and w * h > max_pixels:
         s = (max_pixels / (w * h)) ** 0.5
-        w, h = int(w * s), int(h * s)
-    out = BytesIO()
-    (image if (w, h) == image.size else image.resize((w, h), Image.LANCZOS)).save(out, "JPEG")
-    return f"data:image/jpeg;base64,{base64.b64encode(out.getvalue()).decode()}"
+        w, h = max(1, int(w * s)), max(1, int(h * s))
+    return w, h
+
+
+def _as_url(content: bytes, mime: str) -> str:
+    return f"data:{mime};base64,{base64.b64encode(content).decode()}"
+
+
+def prepare_pixels(pixels: np.ndarray, min_pixels: int | None = None, max_pixels: int | None = None) -> str:
+    """RGB pixels (rows, columns, 3), resized, as the data URL of a PNG file."""
+    height, width, _ = pixels.shape
+    w, h = resized_sides(width, height, min_pixels, max_pixels)
+    return _as_url(rendering.png(pixels if (w, h) == (width, height) else rendering.resized(pixels, w, h)), "image/png")
+
+
+def prepare_image(content: bytes, min_pixels: int | None = None, max_pixels: int | None = None) -> str:
+    """A file's bytes as a data URL of the type that they begin with.
+
+    Bytes can't be resized here, as decoding them takes an image library; with a
+    bound on pixels this raises.  Spark decodes images itself: pass those
+    (``readers.images(..., decoded=True)``) in a column ``image`` instead.
+    """
+    if min_pixels or max_pixels:
+        raise ValueError("encoded images can't be resized; pass decoded ones in a column image")
+    mime = next((m for start, m in BEGINNINGS.items() if content.startswith(start)), None)
+    if mime is None:
+        raise ValueError("not an image of a known kind")
+    return _as_url(content, mime)
 
 
 def _shown(message: dict) -> dict:
@@ -141,9 +166,32 @@ def error_message(error: Exception, backend: Backend, request: Request, detailed
     return out + "\n  messages: " + json.dumps([_shown(m) for m in request.messages], ensure_ascii=False) if detailed else out
 
 
+def failed(why: str) -> dict:
+    """An inference result that failed."""
+    return {"success": False, "fail_reason": why, "finish_reason": "", "conversations": [], "last_message_content": None}
+
+
+@dataclass(frozen=True)
+class Logged:
+    """A backend that tells a log of each call that was answered."""
+
+    backend: Backend
+    call_log: Callable[[dict], None]
+
+    @property
+    def model(self) -> str:
+        return getattr(self.backend, "model", type(self.backend).__name__)
+
+    @property
+    def base_url(self) -> str | None:
+        return getattr(self.backend, "base_url", None)
+
+    def complete(self, request: Request) -> list[Choice]:
+        return logged(self.backend.complete, self.call_log)(request)
+
+
 def ask(backend: Backend, request: Request) -> list[dict]:
     """The request's choices as inference results; any error makes all of them failed ones."""
-    failed = lambda why: {"success": False, "fail_reason": why, "finish_reason": "", "conversations": [], "last_message_content": None}
     try:
         choices = backend.complete(request)
     except Exception as e:
@@ -166,22 +214,32 @@ def _in_pool(rows: list, call: Callable, concurrency: int) -> list:
         return list(pool.map(call, rows))
 
 
-def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, call_settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None) -> DataFrame:
+def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, call_settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None, min_pixels: int | None = None, call_log: Callable[[dict], None] | None = None) -> DataFrame:
     """A row (sample_index, trial_id, result) for each question and trial.
 
     Choices of one request stand for the trials; with ``separate``, each trial
-    is a request of its own.  ``concurrency`` is for each task.  Images come
-    from a binary column ``image_bytes`` or a string column ``image_url``, if there is one.
+    is a request of its own.  ``concurrency`` is for each task.  Images come from
+    a column ``image_data`` (what Spark's image source decodes; brought to the
+    bounds on pixels), ``image_bytes`` (sent as they are) or ``image_url``, if
+    there is one; a question whose image can't be prepared has a failed result.
+    ``call_log`` is told of each call that was answered (K12), in the tasks.
     """
     shipped(samples.sparkSession)
-    have = [c for c in ("image_bytes", "image_url") if c in samples.columns]
+    have = [c for c in ("image_data", "image_bytes", "image_url") if c in samples.columns]
     asked = samples.select("sample_index", text.prompt(F.col("question"), F.col("options")).alias("prompt"), *have)
+    backend = Logged(backend, call_log) if call_log else backend
     schema = "sample_index bigint, trial_id int, result " + INFERENCE_RESULT.simpleString()
 
     def one(row: dict) -> list[dict]:
-        url = row.get("image_url")
-        if row.get("image_bytes") is not None:
-            url = prepare_image(row["image_bytes"], None, max_pixels)
+        url, data = row.get("image_url"), row.get("image_data")
+        try:
+            if data is not None:
+                url = prepare_pixels(rendering.rgb(data["data"], data["height"], data["width"], data["nChannels"]), min_pixels, max_pixels)
+            elif row.get("image_bytes") is not None:
+                url = prepare_image(row["image_bytes"], min_pixels, max_pixels)
+        except ValueError as e:
+            log.warning("no image for question %s: %s", row["sample_index"], e)
+            return [failed("image_error")] * len(trials)
         messages = [{"role": "system", "content": system_prompt}] if system_prompt else []
         messages.append(user_message(row["prompt"] or "", url, image_settings if image_settings is not None else {"detail": "high"}))
         key = str(row["sample_index"])
@@ -198,13 +256,14 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
     return asked.mapInPandas(run, schema)
 
 
-def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None = None, concurrency: int = 8, strict: bool = False) -> DataFrame:
+def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None = None, concurrency: int = 8, strict: bool = False, call_log: Callable[[dict], None] | None = None) -> DataFrame:
     """What rules couldn't decide: one call for multiple choice, two for open questions.
 
     Takes sample_index, trial_id, question, options, answer and raw; returns the
     first two with extracted_answer, is_correct and fail_reason (null if it worked).
     """
     shipped(rows.sparkSession)
+    backend = Logged(backend, call_log) if call_log else backend
     t = {"choice": text.CHOICE_TEMPLATE, "open": text.OPEN_TEMPLATE, "judge": text.JUDGE_TEMPLATE, **(templates or {})}
     choice = text.has_options(F.col("options"))
     first = F.when(choice, text.filled(t["choice"], question=F.col("question"), options=F.col("options"), model_answer=F.col("raw"))).otherwise(text.filled(t["open"], question=F.col("question"), model_response=F.col("raw")))
@@ -252,7 +311,7 @@ def evaluate(samples: DataFrame, main: Backend, judging: Backend, trials: list[i
     raw = text.rule_answer(F.col("result.last_message_content"))
     ruled = joined.withColumn("raw", F.when(stopped, raw)).withColumn("exact", F.coalesce(F.col("raw") == F.col("answer"), F.lit(False)))
     rest = ruled.where(stopped & ~F.col("exact")).withColumn("raw", text.left_crop(F.col("raw"), max_answer_length))
-    judged = staged(judge(rest, judging, templates, options.get("concurrency", 8), strict), "judged").withColumnRenamed("fail_reason", "judge_reason")
+    judged = staged(judge(rest, judging, templates, options.get("concurrency", 8), strict, options.get("call_log")), "judged").withColumnRenamed("fail_reason", "judge_reason")
     every = ruled.join(judged, ["sample_index", "trial_id"], "left")
     reason = F.when(~F.col("result.success"), "inference_failed").when(~stopped, F.concat(F.lit("finish_reason:"), "result.finish_reason")).otherwise(F.col("judge_reason"))
     outcome = F.struct(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,8 @@ from ..sources.checkpoints import shipped
 #: The colours of the edges of each kind of layout, and of an object's box.
 EDGES = {"core": (255, 0, 0), "alt": (0, 128, 255), "fill": (0, 200, 0)}
 BOX = (255, 0, 0)
+#: What Spark's image source decodes, by path.
+DECODED = "path string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 #: Lobes of the scaling filter.
 LOBES = 3
 
@@ -99,6 +103,31 @@ def render(collages: DataFrame, images: DataFrame, edges: bool = False, boxes: b
     return rows.groupBy("collage_index").applyInPandas(run, schema)
 
 
+def write(files: DataFrame, folder: str) -> int:
+    """K6: write files (path, content) under a folder of any store that Arrow knows; how many there are.
+
+    A file is written under another name and then moved, so it is whole or not
+    there, and a task that runs again writes the same.
+    """
+    shipped(files.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                target = f"{root.rstrip('/')}/{path}"
+                store.create_dir(target.rpartition("/")[0])
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, target)
+            yield pd.DataFrame({"path": frame["path"]})
+
+    return files.select("path", "content").mapInPandas(run, "path string").count()
+
+
 def missing_images(collages: DataFrame, listing: DataFrame) -> DataFrame:
     """Source images that collages name but that aren't there."""
     named = collages.select(F.explode("layouts.src_img").alias("image")).distinct()

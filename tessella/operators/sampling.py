@@ -6,6 +6,8 @@ however they are partitioned, and on a retry.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,17 @@ def with_hardness(df: DataFrame) -> DataFrame:
 
 
 def hard_threshold(df: DataFrame, q: float = 0.66) -> DataFrame:
-    """The quantile of hardness above which an image is hard; the largest value of two rows or fewer."""
-    return df.agg(F.when(F.count(F.lit(1)) <= 2, F.max("hardness")).otherwise(F.percentile("hardness", q)).alias("threshold"))
+    """The quantile of hardness above which an image is hard; the largest value of two rows or fewer.
+
+    The two values beside the quantile's place are found by their numbers in
+    sorted ranges, so no task holds all distinct values.  Null counts as none.
+    """
+    ranked = numbered(df.select("hardness").where(F.col("hardness").isNotNull()), "hardness")
+    rows = ranked.count()
+    place = (rows - 1) * q if rows > 2 else rows - 1
+    low, share = math.floor(place), place - math.floor(place)
+    beside = ranked.where(F.col("ordinal").isin(low, low + 1)).agg(F.min("hardness").alias("a"), F.max("hardness").alias("b"))
+    return beside.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - share) + F.col("b") * share).alias("threshold"))
 
 
 def with_bucket(df: DataFrame) -> DataFrame:

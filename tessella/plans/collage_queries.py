@@ -37,8 +37,23 @@ def collage_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("uid", "core_count", "alt_count", "fill_count")
 
 
-@query("balance_lexi")
+@query(
+    "balance_lexi",
+    """
+    WITH RECURSIVE u AS (SELECT l_partkey AS uid, CAST(bool_or(l_returnflag = 'A') AS INTEGER) AS c, CAST(bool_or(l_returnflag = 'N') AS INTEGER) AS a, CAST(bool_or(l_returnflag = 'R') AS INTEGER) AS f FROM lineitem GROUP BY l_partkey),
+    o AS (SELECT *, row_number() OVER (ORDER BY c + a + f DESC, c DESC, a DESC, f DESC, uid) AS i FROM u),
+    m AS (SELECT sum(c) / 8.0::DOUBLE AS mc, sum(a) / 8.0::DOUBLE AS ma, sum(f) / 8.0::DOUBLE AS mf, count(*) / 8.0::DOUBLE AS mn FROM u),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS uid, CAST(0 AS BIGINT) AS k, [0, 0, 0, 0, 0, 0, 0, 0] AS sc, [0, 0, 0, 0, 0, 0, 0, 0] AS sa, [0, 0, 0, 0, 0, 0, 0, 0] AS sf, [0, 0, 0, 0, 0, 0, 0, 0] AS sn
+          UNION ALL
+          SELECT p.i, p.uid, p.k, [CASE WHEN j = p.k THEN p.sc[j] + p.c ELSE p.sc[j] END FOR j IN [1, 2, 3, 4, 5, 6, 7, 8]], [CASE WHEN j = p.k THEN p.sa[j] + p.a ELSE p.sa[j] END FOR j IN [1, 2, 3, 4, 5, 6, 7, 8]],
+                 [CASE WHEN j = p.k THEN p.sf[j] + p.f ELSE p.sf[j] END FOR j IN [1, 2, 3, 4, 5, 6, 7, 8]], [CASE WHEN j = p.k THEN p.sn[j] + 1 ELSE p.sn[j] END FOR j IN [1, 2, 3, 4, 5, 6, 7, 8]]
+          FROM (SELECT o.i, o.uid, o.c, o.a, o.f, w.sc, w.sa, w.sf, w.sn,
+                       list_sort([{'x': abs(w.sc[j] + o.c - m.mc), 'y': abs(w.sa[j] + o.a - m.ma), 'z': abs(w.sf[j] + o.f - m.mf), 'n': abs(w.sn[j] + 1 - m.mn) * 0.05::DOUBLE, 'k': j} FOR j IN [1, 2, 3, 4, 5, 6, 7, 8]])[1].k AS k
+                FROM w JOIN o ON o.i = w.i + 1, m) p)
+    SELECT uid, CAST(k - 1 AS INTEGER) AS chunk FROM w WHERE i > 0
+    """,
+)
 def balance_lexi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All images dealt to the chunk whose used roles come nearest to the average."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("uid")).agg(*[F.count_if(F.col("l_returnflag") == f).alias(c) for f, c in zip("ANR", sampling.ROLE_COUNTS, strict=True)])
-    return sampling.balanced_lexi(rows, 8, F.xxhash64("uid"), "uid").select("uid", "chunk")
+    return sampling.balanced_lexi(rows, 8, "uid").select("uid", "chunk")

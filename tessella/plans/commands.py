@@ -10,11 +10,11 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import collage, evaluation, inference
+from ..operators import collage, evaluation, inference, rendering
 from ..sources import readers, resume, writers
 from ..sources.checkpoints import staged
 
@@ -79,17 +79,45 @@ def sweep(spark: SparkSession, models: dict[str, inference.Backend], datasets: d
     return gather(spark, output_dir, list(models), list(datasets))
 
 
-def collages(spark: SparkSession, images: DataFrame, folder: str, total: int, per_round: int, chunks: int, seed: int = 42, settings: collage.Settings | None = None, auto_resume: bool = True, checkpoint_each_round: bool = True) -> DataFrame:
-    """Make collages in rounds, write layouts and counts after each, and go on from an earlier run."""
-    start = 0
+def local_path(path: Column) -> Column:
+    """A path as it was given, without the scheme that Spark puts before local ones."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def render(spark: SparkSession, made: DataFrame, folder: str, image_root: str, edges: bool = False, boxes: bool = False) -> int:
+    """K6: the collages' images, written to the folder; the number of files.
+
+    Only source images that the collages name are decoded; their paths, some
+    tens for each collage of a round, pass through the driver.
+    """
+    named = made.select(F.explode("layouts.src_img").alias("src")).where(F.col("src").isNotNull()).distinct().withColumn("path", text.joined_path(F.lit(image_root), F.col("src")))
+    there = readers.images(spark, image_root).select(local_path(F.col("path")).alias("path"))
+    paths = {r["path"]: r["src"] for r in named.join(there, "path", "left_semi").collect()}
+    images = spark.createDataFrame([], rendering.DECODED)
+    if paths:
+        images = spark.read.format("image").load(list(paths)).select(local_path(F.col("image.origin")).alias("path"), "image")
+        images = named.select("src", "path").join(images, "path").select(F.col("src").alias("path"), "image")
+    return rendering.write(rendering.render(made, images, edges, boxes), folder)
+
+
+def collages(spark: SparkSession, images: DataFrame, folder: str, total: int, per_round: int, chunks: int, seed: int = 42, settings: collage.Settings | None = None, auto_resume: bool = True, checkpoint_each_round: bool = True, image_root: str | None = None, edges: bool = False, boxes: bool = False) -> DataFrame:
+    """Make collages in rounds until there are ``total``, write layouts, counts and (with ``image_root``) images after each, and go on from an earlier run.
+
+    An earlier run counts by the collages it made, not by their numbers, which
+    may have gaps.  Layouts whose image a broken run didn't get to are rendered first.
+    """
+    start, done, last = 0, 0, images
     if auto_resume:
         images, start = resume.prepare(images, folder)
-    todo, last = max(0, total - start), images
-    for round_id, made, last in collage.make_all(images, todo, per_round, chunks, seed, settings, start):
+        done, last = resume.made(spark, folder), images
+        if image_root and done:
+            render(spark, resume.unrendered(spark, folder), folder, image_root, edges, boxes)
+    for round_id, made, last in collage.make_all(images, max(0, total - done), per_round, chunks, seed, settings, start):
         writers.write_sidecars(made, folder)
+        if image_root:
+            render(spark, made, folder, image_root, edges, boxes)
         if checkpoint_each_round:
-            at = resume.next_index(spark, folder)
-            resume.checkpoint(last, folder, round_id, at, at)
+            resume.checkpoint(last, folder, round_id, resume.made(spark, folder), resume.next_index(spark, folder))
     writers.write_final_counts(last, folder)
     return last
 
@@ -121,6 +149,7 @@ def main(args: list[str] | None = None) -> None:
     c = sub.add_parser("collages")
     c.add_argument("--csv", nargs="+", required=True)
     c.add_argument("--save_dir", required=True)
+    c.add_argument("--image_root", default=None, help="folder of the source images; collages are rendered if it is given")
     for name, value in (("total_count", 100), ("per_round_per_proc", 5), ("n_proc", 4), ("seed", 42)):
         c.add_argument(f"--{name}", type=int, default=value)
     a = parser.parse_args(args)
@@ -129,12 +158,12 @@ def main(args: list[str] | None = None) -> None:
         writers.report(gather(spark, os.path.abspath(a.output_dir), a.settings, a.datasets), 1000)
     elif a.command == "collages":
         images = readers.image_tables(spark, a.csv)
-        collages(spark, images, os.path.abspath(a.save_dir), a.total_count, a.per_round_per_proc * a.n_proc, a.n_proc, a.seed)
+        collages(spark, images, os.path.abspath(a.save_dir), a.total_count, a.per_round_per_proc * a.n_proc, a.n_proc, a.seed, image_root=a.image_root and os.path.abspath(a.image_root))
     else:
         if "n" in a.chat_completion_kwargs:
             parser.error("the number of choices follows from the trials")
         samples = evaluation.with_aliases(readers.annotations(spark, a.ann_file)).withColumn("path", text.joined_path(F.lit(os.path.abspath(a.img_dir)), F.col("image")))
-        files = readers.images(spark, os.path.abspath(a.img_dir)).select(F.regexp_replace("path", "^file:", "").alias("path"), F.col("content").alias("image_bytes"))
+        files = readers.images(spark, os.path.abspath(a.img_dir), decoded=True).select(local_path(F.col("image.origin")).alias("path"), F.col("image").alias("image_data"))
         samples = samples.join(files, "path", "left")
         slots = max(1, spark.sparkContext.defaultParallelism)
         model = inference.HttpBackend(a.model, a.api_base_url, a.api_key_variable, a.client_timeout or 600.0)

@@ -14,7 +14,7 @@ from .registry import query
 @query(
     "status_rollup",
     """
-    WITH s AS (SELECT lang AS category, CASE WHEN l.doc_id IS NULL THEN 'incomplete' WHEN quality = 1 AND toxic = 1 THEN 'invalid' WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS status
+    WITH s AS (SELECT coalesce(lang, 'unknown') AS category, CASE WHEN l.doc_id IS NULL THEN 'incomplete' WHEN quality = 1 AND toxic = 1 THEN 'invalid' WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS status
                FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
     c AS (SELECT coalesce(category, '__overall__') AS category, count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'wrong') AS wrong,
                  count(*) FILTER (WHERE status = 'incomplete') AS incomplete, count(*) FILTER (WHERE status = 'invalid') AS invalid, count(*) AS total FROM s GROUP BY ROLLUP (category))
@@ -22,9 +22,9 @@ from .registry import query
     """,
 )
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes by language and overall; a label stands for an evaluation."""
+    """Outcomes by language (the subset) and overall; a label stands for an evaluation."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    joined = docs.select("doc_id", F.col("lang").alias("category")).join(labels, "doc_id", "left")
+    joined = evaluation.with_aliases(docs.select("doc_id", F.col("lang").alias("subset"))).select("doc_id", "category").join(labels, "doc_id", "left")
     seen, good, bad = F.col("quality").isNotNull(), F.col("quality") == 1, F.col("toxic") == 1
     outcome = evaluation.status(seen & ~(good & bad), good, F.lit(True), F.when(seen, "stop").otherwise("length"))
     return evaluation.rollup(joined.withColumn("status", outcome))
@@ -133,13 +133,14 @@ def answer_extract_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "boxed_answer",
     r"""
-    WITH a AS (SELECT conv_id, turn, '<answer>first \boxed{' || role || '} or \boxed{ ' || substr(text, 1, 20) || ' }</answer>' AS c FROM conversations)
-    SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_extract_all(regexp_extract_all(c, '<answer>(.*?)</answer>', 1, 's')[-1], '\\boxed\{(.*?)\}', 1, 's')[-1], '^\s+', ''), '\s+$', '') AS answer FROM a
+    WITH a AS (SELECT conv_id, turn, '<answer>first \boxed{' || role || '} or \boxed{ ' || text || ' }</answer>' AS c FROM conversations),
+    t AS (SELECT conv_id, turn, trim(regexp_extract_all(c, '<answer>(.*?)</answer>', 1, 's')[-1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tagged FROM a)
+    SELECT conv_id, turn, trim(regexp_extract_all(tagged, '\\boxed\{(.*?)\}', 1, 's')[-1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer FROM t
     """,
 )
 def boxed_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the last boxed part of the tagged answer."""
-    c = F.concat(F.lit(r"<answer>first \boxed{"), F.col("role"), F.lit(r"} or \boxed{ "), F.left("text", F.lit(20)), F.lit(" }</answer>"))
+    """the last boxed part of the tagged answer, which holds the whole text."""
+    c = F.concat(F.lit(r"<answer>first \boxed{"), F.col("role"), F.lit(r"} or \boxed{ "), F.col("text"), F.lit(" }</answer>"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.rule_answer(c).alias("answer"))
 
 
@@ -207,14 +208,14 @@ def message_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "message_prune",
     """
-    SELECT conv_id, string_agg('[' || CASE WHEN turn % 2 = 0 THEN 'USER' ELSE upper(role) END || ']' || chr(10) || CASE WHEN turn % 2 = 0 THEN '<unexpected content part type: image_url>' ELSE '' END || text || chr(10), '' ORDER BY turn) AS transcript,
+    SELECT conv_id, string_agg('[' || CASE WHEN turn % 2 = 0 THEN 'USER' ELSE upper(role) END || ']' || chr(10) || CASE WHEN turn % 2 = 0 THEN '<image>' ELSE '' END || text || chr(10), '' ORDER BY turn) AS transcript,
            count(*) FILTER (WHERE turn % 2 = 0) AS pruned FROM conversations GROUP BY conv_id
     """,
 )
 def message_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts other than text replaced by a mark."""
+    """Parts other than text hold a mark in place of their data, and are shown as what they are."""
     kept = F.transform("messages", chat.pruned)
-    marks = F.size(F.filter(F.flatten(F.transform(kept, lambda m: F.coalesce(m["content_parts"], F.array()))), lambda p: p["text"] == "[pruned]")).cast("long")
+    marks = F.size(F.filter(F.flatten(F.transform(kept, lambda m: F.coalesce(m["content_parts"], F.array()))), lambda p: p["image_url"]["url"] == chat.PRUNED)).cast("long")
     return _messages(spark, sf_dir).select("conv_id", chat.formatted(kept, omit_system_prompt=False).alias("transcript"), marks.alias("pruned"))
 
 
@@ -225,10 +226,21 @@ def message_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's first success; events stand for results, paired with their numbers by position."""
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") == "purchase").alias("success"), "value"))).alias("results"))
-    paired = evaluation.zipped(F.sequence(F.lit(1), F.size("results")), F.col("results"))
-    return per.select("user_id", evaluation.first_success(F.col("results"))["value"].alias("first_value"), F.size(paired).cast("long").alias("results"))
+    """A user's first success; events stand for results."""
+    return evaluation.first_success_by(table(spark, sf_dir, "events"), "user_id", "value", "event_id", F.col("event_type") == "purchase")
+
+
+@query(
+    "strict_zip",
+    "SELECT vec_id, count(*) AS pairs, CAST(sum(i * CAST(round(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT)) AS BIGINT) AS weighted, min(i) FILTER (WHERE embedding[i] > 0) AS first_positive FROM embeddings, range(1, 65) t(i) GROUP BY vec_id",
+)
+def strict_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and values paired by position, which must be as many; the first pair that succeeded."""
+    pairs = evaluation.zipped(F.sequence(F.lit(1), F.lit(64)).alias("i"), F.col("embedding"))
+    results = F.transform(pairs, lambda p: F.struct(p["i"].cast("long").alias("i"), (p["embedding"] > 0).alias("success"), F.rint(p["embedding"].cast("double") * 1000).cast("long").alias("value")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", results.alias("results"))
+    weighted = F.aggregate("results", F.lit(0).cast("long"), lambda a, r: a + r["i"] * r["value"])
+    return rows.select("vec_id", F.size("results").cast("long").alias("pairs"), weighted.alias("weighted"), evaluation.first_success(F.col("results"))["i"].alias("first_positive"))
 
 
 @query(
@@ -273,9 +285,10 @@ def chat_eval_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with different columns, one under the other."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
-    return relational.union_all([customers, suppliers]).select("name", "nation", "balance", "segment")
+    wanted = ["name", "nation", "balance", "segment"]
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), "s_suppkey")
+    return relational.union_all([relational.pruned(df, wanted) for df in (customers, suppliers)]).select(*wanted)
 
 
 @query("latest_by", "SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type FROM events GROUP BY user_id")
@@ -298,13 +311,13 @@ def model_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     "path_functions",
     r"""
     SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, CASE WHEN url LIKE '/%' THEN url ELSE '/data/' || url END AS joined,
-           CASE WHEN page_id % 2 = 0 THEN page_id END AS stem_number FROM pages
+           CASE WHEN page_id % 2 = 0 THEN page_id END AS stem_number, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]*)$', 1)) AS ext FROM pages
     """,
 )
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths joined and taken apart."""
     name = F.concat(F.lit("images/0/"), F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise("x1"), F.lit(".jpg"))
-    return table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.joined_path(F.lit("/data/"), F.col("url")).alias("joined"), text.integer_stem(name).alias("stem_number"))
+    return table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.joined_path(F.lit("/data/"), F.col("url")).alias("joined"), text.integer_stem(name).alias("stem_number"), text.extension(F.col("url")).alias("ext"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,17 +92,21 @@ def rect_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT rid, canvas, k, 0 AS x0, 0 AS y0, 400 AS x1, uy0 AS y1 FROM u WHERE hit UNION ALL SELECT rid, canvas, k, 0, uy1, 400, 250 FROM u WHERE hit
           UNION ALL SELECT rid, canvas, k, 0, greatest(0, uy0), ux0, least(250, uy1) FROM u WHERE hit UNION ALL SELECT rid, canvas, k, ux1, greatest(0, uy0), 400, least(250, uy1) FROM u WHERE hit
           UNION ALL SELECT rid, canvas, k, 0, 0, 400, 250 FROM u WHERE NOT hit)
-    SELECT canvas, k, count(*) AS pieces, CAST(sum(greatest(0, x1 - x0) * greatest(0, y1 - y0)) AS BIGINT) AS free, bool_and(least(x1 - x0, y1 - y0) >= 8) AS roomy FROM p WHERE x1 > x0 AND y1 > y0 GROUP BY rid, canvas, k
+    SELECT canvas, k, count(*) AS pieces, CAST(sum(greatest(0, x1 - x0) * greatest(0, y1 - y0)) AS BIGINT) AS free, bool_and(least(x1 - x0, y1 - y0) >= 8) AS roomy, bool_and(least(x1 - x0, y1 - y0) >= 8 AND (x1 - x0) / (y1 - y0) BETWEEN 0.4 AND 2.5) AS normal FROM p WHERE x1 > x0 AND y1 > y0 GROUP BY rid, canvas, k
     """,
 )
 def free_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A canvas less a placed rectangle; the pieces, what is free, and whether none is a sliver."""
+    """A canvas less a placed rectangle; the pieces, what is free, and whether none is a sliver, or out of the aspect bounds."""
     used = F.struct(F.greatest("x0", F.lit(0).cast("long")).alias("x0"), F.greatest("y0", F.lit(0).cast("long")).alias("y0"), F.col("x1").alias("x1"), F.col("y1").alias("y1"))
-    whole = F.array(g.rect(*[F.lit(v).cast("long") for v in (0, 0, 400, 250)]))
+    whole = g.rect(*[F.lit(v).cast("long") for v in (0, 0, 400, 250)])
     usable = F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), used).otherwise(g.rect(*[F.lit(v).cast("long") for v in (9000, 9000, 9001, 9001)]))
-    rows = _rects(spark, sf_dir).withColumn("free", g.split_free(whole, usable))
-    total = F.aggregate("free", F.lit(0).cast("long"), lambda s, r: s + g.rect_area(r))
-    return rows.select("canvas", "k", F.size("free").cast("long").alias("pieces"), total.alias("free"), (F.size(g.no_slivers(F.col("free"), 8)) == F.size("free")).alias("roomy")).where("pieces > 0")
+    cut = {f"p{i}": p for i, p in enumerate(g.pieces(whole, usable))}
+    rows = _rects(spark, sf_dir).withColumns(cut)
+    each = [F.col(p) for p in cut]
+    there = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in each), F.lit(0)).cast("long")
+    total = sum((F.coalesce(g.rect_area(p), F.lit(0)) for p in each), F.lit(0)).cast("long")
+    every = lambda good: reduce(lambda a, b: a & b, [p.isNull() | good(p) for p in each])
+    return rows.select("canvas", "k", there.alias("pieces"), total.alias("free"), every(lambda p: g.roomy(p, 8)).alias("roomy"), every(lambda p: g.normal(p, 8)).alias("normal")).where("pieces > 0")
 
 
 @query(
@@ -186,16 +192,19 @@ def bbox_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bbox_parse",
     """
-    WITH a AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 3) AS a, round(CAST(embedding[2] AS DOUBLE), 3) AS b, label FROM embeddings)
-    SELECT vec_id, CASE label % 5 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 7.0 END AS x0, CASE label % 5 WHEN 0 THEN 40.0::DOUBLE WHEN 1 THEN 8.0 END AS y1, CASE label % 5 WHEN 0 THEN (20 - 1.5::DOUBLE) * (40 - 3) / 1000.0 ELSE 0.0 END AS share FROM a
+    WITH a AS (SELECT vec_id, [CAST(round(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) / 1000 FOR i IN [1, 2, 3, 4]] AS v, vec_id % 5 AS kind FROM embeddings),
+    b AS (SELECT vec_id, CASE WHEN kind < 3 THEN v END AS v FROM a)
+    SELECT vec_id, v[1] AS x0, v[2] AS y0, v[3] AS x1, v[4] AS y1, CASE WHEN v[3] > v[1] AND v[4] > v[2] THEN round((v[3] - v[1]) * (v[4] - v[2]) / 1000.0, 12) ELSE 0.0 END AS share FROM b
     """,
 )
 def bbox_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes as text in several forms, three numbers, words and null."""
-    kind = F.col("label") % 5
-    text = F.when(kind == 0, " [1.5, 3, 20,40] ").when(kind == 1, "7,9,,7,8").when(kind == 2, "1,2,3").when(kind == 3, "none, of, these, four")
-    box = g.parse_bbox(text)
-    return table(spark, sf_dir, "embeddings").select("vec_id", box["x0"].alias("x0"), box["y1"].alias("y1"), g.bbox_ratio(box, F.lit(1000.0)).alias("share"))
+    """Boxes of four numbers each, as text in several forms, of three numbers, and of words."""
+    kind = F.col("vec_id") % 5
+    v = [(F.rint(F.get("embedding", F.lit(i)).cast("double") * 1000).cast("long") / 1000).cast("string") for i in range(4)]
+    some = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    text = F.when(kind == 0, some(" [", v[0], ", ", v[1], ", ", v[2], ",", v[3], "]\t ")).when(kind == 1, some(v[0], ",", v[1], ",,", v[2], ",", v[3])).when(kind == 2, some("\n", v[0], " , ", v[1], " , ", v[2], " , ", v[3]))
+    box = g.parse_bbox(text.when(kind == 3, some(v[0], ",", v[1], ",", v[2])).otherwise(some("a, ", v[0], ", b, ", v[1])))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[box[c].alias(c) for c in ("x0", "y0", "x1", "y1")], F.round(g.bbox_ratio(box, F.lit(1000.0)), 12).alias("share"))
 
 
 _BAND = """

@@ -179,7 +179,7 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def weighted_sample_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five of each group, by weight."""
+    """Five of each group, by weight."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
     return sampling.weighted_sample_by(rows, "c_nationkey", F.abs("c_acctbal"), 5, 7, "c_custkey").select("c_nationkey", "c_custkey", "draw_rank")
 

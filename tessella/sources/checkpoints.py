@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """What the cluster names in ``spark.checkpoint.dir``; a temporary folder only where that is unset and all tasks run on this machine."""
     folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = sc._tessella_folder = getattr(sc, "_tessella_folder", None) or tempfile.mkdtemp(prefix="tessella-")
     return folder.rstrip("/")
 

@@ -118,7 +118,7 @@ def sidecars(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
 def output_index(spark: SparkSession, root: str) -> DataFrame:
     """The largest number among the rendered images and how many there are; -1 and 0 if none.  Only paths are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    number = F.when(text.extension(F.col("path")) == ".jpg", text.integer_stem(F.col("path")))
+    number = F.when(text.extension(F.col("path")).isin(".jpg", ".png"), text.integer_stem(F.col("path")))
     return files.agg(F.coalesce(F.max(number), F.lit(-1)).cast("long").alias("max_index"), F.count(number).alias("n"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import usage
+from ..functions import text
+from ..operators import collage, usage
 from . import readers, writers
+from .checkpoints import staged
 
 
 def checkpoint(images: DataFrame, folder: str, round_id: int, produced: int, next_index: int) -> None:
@@ -22,6 +24,30 @@ def _from_sidecars(images: DataFrame, folder: str) -> DataFrame:
     return usage.merge_counts(images, usage.map_legacy_counts(images.select("image", F.col("uid").cast("string").alias("uid")), usage.counts_from_layouts(layouts)))
 
 
+def _layouts(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The collages whose layouts were written, null where none were."""
+    if not writers.exists(spark, f"{folder}/layouts"):
+        return None
+    return spark.read.schema(collage.COLLAGE).option("recursiveFileLookup", True).json(f"{folder}/layouts")
+
+
+def made(spark: SparkSession, folder: str) -> int:
+    """How many collages an earlier run made, whatever their numbers."""
+    layouts = _layouts(spark, folder)
+    return layouts.select("collage_index").distinct().count() if layouts else 0
+
+
+def unrendered(spark: SparkSession, folder: str) -> DataFrame:
+    """The collages that have layouts, but no image yet."""
+    layouts = _layouts(spark, folder)
+    if layouts is None:
+        return spark.createDataFrame([], collage.COLLAGE)
+    if not writers.exists(spark, f"{folder}/images"):
+        return layouts
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/images").select(text.integer_stem(F.col("path")).alias("collage_index"))
+    return staged(layouts.join(files, "collage_index", "left_anti"), "unrendered")
+
+
 def next_index(spark: SparkSession, folder: str) -> int:
     """One more than the largest number among the images, or among the layouts where no images are rendered."""
     found = -1

@@ -44,8 +44,27 @@ def write_metrics(metrics: DataFrame, folder: str) -> None:
 
 
 def write_records(records: DataFrame, folder: str) -> None:
-    """K2: a trial's records in the order of the questions, without their numbers."""
-    records.orderBy("sample_index").drop("sample_index", "trial_id").write.mode("overwrite").json(f"{folder}/eval_records")
+    """K2: a trial's records in the order of the questions, without their numbers: one file of JSON lines."""
+    records.orderBy("sample_index").drop("sample_index", "trial_id").write.mode("overwrite").json(f"{folder}/_eval_records")
+    joined_file(records.sparkSession, f"{folder}/_eval_records", f"{folder}/eval_records.jsonl")
+
+
+def joined_file(spark: SparkSession, parts: str, path: str) -> None:
+    """The files of a folder that Spark wrote, in their order, as one; the folder goes.  The driver passes the bytes on, it never holds a file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    out = store.create(target, True)
+    try:
+        for name in sorted(f.getPath().toString() for f in store.listStatus(source) if f.getPath().getName().startswith("part-")):
+            part = store.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    store.delete(source, True)
 
 
 def mark_done(spark: SparkSession, folder: str) -> None:

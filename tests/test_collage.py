@@ -113,6 +113,12 @@ def check(made, s):
     fills = [x["src_img"] for x in made["layouts"] if x["image_type"] == "fill"]
     assert len(fills) == len(set(fills))
     assert [x["layout_id"] for x in made["layouts"]] == list(range(1, len(rects) + 1))
+    for x in made["layouts"]:
+        if x["image_type"] != "fill":
+            if x["object_bbox_ratio"] > 0:
+                assert x["object_bbox_ratio"] * x["layout_area"] / (w * h) <= s.rho_max + 1e-12
+            else:
+                assert x["scale_ratio"] >= s.lambda_down - 1e-9
     for x in made["layouts"]:
         b, on = x["layout_bbox"], x["canvas_object_bbox"]
         assert b[0] <= on[0] <= on[2] <= b[2] and b[1] <= on[1] <= on[3] <= b[3]
@@ -166,6 +172,48 @@ def test_a_run_that_can_make_nothing_ends(spark):
     assert len(rounds) == 2 and rounds[-1][1].count() == 0
 
 
+def test_objects_keep_to_their_share():
+    s, frame = collage.Settings(), pool_frame(200)
+    frame["rho"] = 3e-4
+    made = [m for i in range(10) if (m := collage.make(collage.Pool(frame, s), i, 5, s))]
+    assert made
+    for m in made:
+        check(m, s)
+
+
+def test_a_large_table_makes_more_chunks(spark, monkeypatch):
+    monkeypatch.setattr(collage, "CHUNK_ROWS", 100)
+    made = collage.make_round(table(spark), 8, 2, seed=1)
+    assert 0 < made.count() <= 8
+
+
+def test_a_broken_run_goes_on_to_exactly_the_total(spark, tmp_path):
+    """Rendered collages; the first run ends early, with a gap in its numbers and a layout without an image."""
+    from tessella.operators import rendering
+    from tessella.sources import resume
+
+    source, out = tmp_path / "src", str(tmp_path / "out")
+    source.mkdir()
+    frame = pool_frame(300)
+    frame["img_width"], frame["img_height"] = frame["img_width"] // 8, frame["img_height"] // 8
+    tile = rendering.png(np.full((24, 24, 3), 90, np.uint8))
+    for name in frame["image"][:100]:
+        (source / name).write_bytes(tile)
+    images = spark.createDataFrame(frame[["uid", "image", "img_width", "img_height", "question", "answer"]])
+    small = collage.small(min_short_edge=28, area_min=3e6 / 64, area_max=1.2e7 / 64, src_max_area=2**14)
+    files = lambda: sorted(int(p.stem) for p in (tmp_path / "out/images").rglob("*.png"))
+    commands.collages(spark, images, out, 4, 2, 2, seed=3, settings=small, image_root=str(source))
+    assert len(files()) == 4
+    (tmp_path / f"out/images/0/{files()[1]}.png").unlink()
+    layouts = spark.read.schema(collage.COLLAGE).option("recursiveFileLookup", True).json(f"{out}/layouts")
+    from tessella.sources import writers
+
+    writers.write_sidecars(layouts.limit(1).withColumn("collage_index", F.lit(5_000).cast("long")), out)
+    assert resume.made(spark, out) == 5 and resume.unrendered(spark, out).count() == 2
+    commands.collages(spark, images, out, 8, 2, 2, seed=3, settings=small, image_root=str(source))
+    assert len(files()) == 8 == resume.made(spark, out) and max(files()) > 5_000 and not list((tmp_path / "out/images").rglob("*.part"))
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_best_fitting(spark, n):
     items = spark.createDataFrame([("c", "i", 2, 2)], "canvas string, item_id string, w long, h long")

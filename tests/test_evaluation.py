@@ -1,13 +1,15 @@
 """Outcomes, rates and whole evaluations with a model that is made up."""
 
+import base64
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import evaluation, inference
+from tessella.operators import bandjoin, evaluation, inference, rendering, sampling
 from tessella.plans import commands
-from tessella.sources import readers, writers
+from tessella.sources import checkpoints, readers, writers
 
 
 @pytest.mark.parametrize(
@@ -129,3 +131,80 @@ def test_errors_name_the_model_but_no_key():
 
 def test_secrets_are_blacked_out():
     assert writers.redacted({"judge_api_key": "x", "api_key": None, "token": "t", "max_tokens": 3}) == {"judge_api_key": "[redacted]", "api_key": None, "token": "[redacted]", "max_tokens": 3}
+
+
+def test_images_are_resized_without_an_image_library(spark, tmp_path):
+    pixels = np.zeros((30, 40, 3), np.uint8)
+    pixels[:, 20:] = 200
+    (tmp_path / "a.png").write_bytes(rendering.png(pixels))
+    url = inference.prepare_pixels(pixels, None, 300)
+    assert url.startswith("data:image/png;base64,")
+    (tmp_path / "small").mkdir()
+    (tmp_path / "small/b.png").write_bytes(base64.b64decode(url.partition(",")[2]))
+    back = readers.images(spark, str(tmp_path / "small"), decoded=True).select("image.*").first()
+    assert (back["width"], back["height"]) == (20, 15) == inference.resized_sides(40, 30, None, 300)
+    assert inference.prepare_image((tmp_path / "a.png").read_bytes()).startswith("data:image/png;base64,")
+    assert inference.prepare_image(b"\xff\xd8\xff\xe0").startswith("data:image/jpeg;base64,")
+    with pytest.raises(ValueError, match="decoded"):
+        inference.prepare_image((tmp_path / "a.png").read_bytes(), None, 300)
+    with pytest.raises(ValueError, match="kind"):
+        inference.prepare_image(b"text")
+
+
+class Seen:
+    """Answers with the kind of image that it was sent."""
+
+    def complete(self, request):
+        return [inference.Choice(next(p["image_url"]["url"][:22] for p in request.messages[-1]["content"] if p["type"] == "image_url"))]
+
+
+def test_decoded_images_reach_the_model_and_bad_ones_fail_their_row(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(rendering.png(np.zeros((30, 40, 3), np.uint8)))
+    decoded = readers.images(spark, str(tmp_path), decoded=True).select(F.lit(0).cast("long").alias("sample_index"), F.col("image").alias("image_data"))
+    rows = samples(spark).where("sample_index = 0").join(decoded, "sample_index")
+    assert inference.infer(rows, Seen(), [0], max_pixels=100).first()["result"]["last_message_content"] == "data:image/png;base64,"
+    bad = samples(spark).where("sample_index < 2").withColumn("image_bytes", F.when(F.col("sample_index") == 0, F.lit(b"text")).otherwise(F.lit(b"\xff\xd8\xff")))
+    got = {r["sample_index"]: r["result"] for r in inference.infer(bad, Seen(), [0]).collect()}
+    assert got[0]["fail_reason"] == "image_error" and got[1]["last_message_content"] == "data:image/jpeg;base64"
+
+
+class Noted:
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self, entry):
+        with open(self.path, "a") as f:
+            f.write(json.dumps(entry) + "\n")
+
+
+def test_calls_are_told_to_a_log(spark, tmp_path):
+    inference.evaluate(samples(spark), inference.ArithmeticBackend(), inference.ArithmeticJudge(), [0], call_log=Noted(str(tmp_path / "log"))).count()
+    keys = [json.loads(x)["key"] for x in (tmp_path / "log").read_text().splitlines()]
+    assert sum("/" not in k for k in keys) == sum(expected(i) != "invalid" for i in range(60)) and any(k.endswith("/judge") for k in keys)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 3, 250])
+def test_the_hard_threshold_is_the_exact_quantile(spark, rows):
+    h = np.random.default_rng(rows).normal(size=rows)
+    got = sampling.hard_threshold(spark.createDataFrame([(float(x),) for x in h] + [(None,)], "hardness double")).first()["threshold"]
+    want = None if not rows else h.max() if rows <= 2 else np.quantile(h, 0.66)
+    assert got == want or abs(got - want) < 1e-12
+
+
+def test_nearest_in_small_blocks_equals_one_block(spark):
+    panels = spark.range(50).select(F.col("id").alias("panel_id"), (F.lit(0.4) + F.col("id") % 22 * 0.1).alias("panel_ratio"))
+    images = spark.range(300).select(F.col("id").alias("uid"), (F.lit(0.3) + F.col("id") % 37 * 0.07).alias("ratio"), (F.col("id") % 3).alias("used"))
+    a, b = (sorted(map(tuple, bandjoin.nearest_by_score(panels, images, 5, block=n).collect())) for n in (7, 4096))
+    assert a == b and len(a) == 250
+
+
+def test_an_unset_folder_on_a_cluster_is_an_error():
+    class Unset:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf, sparkContext = Unset(), type("Context", (), {"master": "yarn"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints.shared_folder(Session)

@@ -161,7 +161,8 @@ def test_transcript_and_pruning(spark):
     assert one(spark, chat.formatted(said), c=1) == "[USER]\n<image>what?\n[ASSISTANT]\n<content missing>\n"
     assert one(spark, chat.formatted(said, omit_image_data=False, omit_system_prompt=False), c=1).startswith("[SYSTEM]\ns\n[USER]\n[image_url](http://x/a.jpg)what?")
     kept = one(spark, chat.pruned(asked)["content_parts"], c=1)
-    assert [p["text"] for p in kept] == ["[pruned]", "what?"]
+    assert [(p["text"], p["image_url"] and p["image_url"]["url"]) for p in kept] == [(None, "[pruned]"), ("what?", None)]
+    assert one(spark, chat.formatted(F.array(chat.pruned(asked)), omit_image_data=False), c=1) == "[USER]\n[image_url]([pruned])what?\n"
 
 
 def test_messages_of_any_form(spark):
@@ -174,3 +175,25 @@ def test_messages_of_any_form(spark):
 
 def test_framing(spark):
     assert re.match(r">+ m messages start >+\nx<+ m messages stop <+\n$", one(spark, chat.framed(F.lit("m"), F.lit("x")), c=1))
+
+
+def test_white_space_of_a_megabyte_is_stripped_in_linear_time(spark):
+    """A run of white space inside a text once took time that grew with its square."""
+    import time
+
+    gap = " \t" * 500_000
+    df = spark.createDataFrame([(f"{gap}a{gap}b{gap}",), (f"[1,{gap}2, 3, 4]{gap}x",)], "t string").cache()
+    df.count()
+    spark.range(1).select(text.strip(F.lit(" x ")), geometry.parse_bbox(F.lit("1,2,3,4"))).collect()
+    begun = time.monotonic()
+    got = df.select(F.char_length(text.strip(F.col("t"))).alias("n"), geometry.parse_bbox(F.col("t")).isNull().alias("bad")).collect()
+    assert time.monotonic() - begun < 3
+    assert got[0]["n"] == 1_000_002 and all(r["bad"] for r in got)
+
+
+def test_pieces_equal_the_split_of_an_array(spark):
+    rows = [(x, y, x + w, y + h) for x in (-5, 0, 3, 9) for y in (-5, 0, 4, 9) for w in (1, 5, 30) for h in (2, 30)]
+    df = spark.createDataFrame(rows, "x0 long, y0 long, x1 long, y1 long").select(F.struct("*").alias("u"))
+    whole = geometry.rect(*[F.lit(v).cast("long") for v in (0, 0, 10, 10)])
+    got = df.select(F.array_compact(F.array(*geometry.pieces(whole, F.col("u")))).alias("a"), geometry.split_free(F.array(whole), F.col("u")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and any(len(r["a"]) > 2 for r in got)

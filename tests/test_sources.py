@@ -48,7 +48,7 @@ def test_output_index(spark, tmp_path):
     for name in ("0/3.jpg", "0/x.jpg", "1/1000.JPG", "1/7.png"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
-    assert tuple(readers.output_index(spark, str(tmp_path)).first()) == (1000, 2)
+    assert tuple(readers.output_index(spark, str(tmp_path)).first()) == (1000, 3)
     (tmp_path / "none").mkdir()
     assert tuple(readers.output_index(spark, str(tmp_path / "none")).first()) == (-1, 0)
 
@@ -92,5 +92,8 @@ def test_records_round_trip(spark, tmp_path):
     folder = writers.trial_folder(str(tmp_path), "a/b", "d", 0)
     rows = spark.createDataFrame([(1, "q1", 0), (0, "q0", 0)], "sample_index long, question string, trial_id int")
     writers.write_records(rows, folder)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "a/b/d/trial_0/eval_records").glob("part-*")))
+    text = (tmp_path / "a/b/d/trial_0/eval_records.jsonl").read_text()
     assert [json.loads(x) for x in text.splitlines()] == [{"question": "q0"}, {"question": "q1"}]
+    assert not (tmp_path / "a/b/d/trial_0/_eval_records").exists()
+    back = readers.eval_records(spark, str(tmp_path)).collect()
+    assert [(r["question"], r["setting"], r["dataset"], r["trial_id"]) for r in back] == [("q0", "a/b", "d", 0), ("q1", "a/b", "d", 0)]
