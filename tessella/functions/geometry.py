@@ -167,8 +167,8 @@ def none_contained(rects: Column) -> Column:
     return _bound(rects, lambda every: F.filter(every, lambda a: F.size(F.filter(every, lambda b: rect_contains(b, a))) == 1))
 
 
-def pieces(f: Column, used: Column) -> list[Column]:
-    """D14 for one free rectangle: above and below a used one in full width, left and right of it between; those without an area are null.  If they don't meet, the first is the whole."""
+def pieces(f: Column, used: Column) -> list[tuple[Column, Column]]:
+    """D14 for one free rectangle: the whole if a used one doesn't meet it, and what is above and below that one in full width, left and right of it between, each with whether it is there.  Plain expressions of the sides, which compile."""
     top, bottom = F.greatest(f["y0"], used["y0"]), F.least(f["y1"], used["y1"])
     cut = [
         rect(f["x0"], f["y0"], f["x1"], used["y0"]),
@@ -177,14 +177,14 @@ def pieces(f: Column, used: Column) -> list[Column]:
         rect(used["x1"], top, f["x1"], bottom),
     ]
     met = rect_intersect(f, used)
-    return [F.when(met & (rect_area(r) > 0), r) if i else F.when(~met, f).when(rect_area(r) > 0, r) for i, r in enumerate(cut)]
+    return [(~met, f), *[(met & (rect_area(r) > 0), r) for r in cut]]
 
 
 def split_free(rects: Column, used: Column) -> Column:
     """Free rectangles without a used one."""
 
     def parts(f: Column) -> Column:
-        return F.array_compact(F.array(*pieces(f, used)))
+        return F.array_compact(F.array(*[F.when(there, r) for there, r in pieces(f, used)]))
 
     cut = F.filter(F.flatten(F.transform(rects, parts)), lambda r: rect_area(r) > 0)
     # the pieces of one rectangle don't contain each other; only those of several may

@@ -97,16 +97,17 @@ def rect_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def free_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A canvas less a placed rectangle; the pieces, what is free, and whether none is a sliver, or out of the aspect bounds."""
-    used = F.struct(F.greatest("x0", F.lit(0).cast("long")).alias("x0"), F.greatest("y0", F.lit(0).cast("long")).alias("y0"), F.col("x1").alias("x1"), F.col("y1").alias("y1"))
     whole = g.rect(*[F.lit(v).cast("long") for v in (0, 0, 400, 250)])
-    usable = F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), used).otherwise(g.rect(*[F.lit(v).cast("long") for v in (9000, 9000, 9001, 9001)]))
-    cut = {f"p{i}": p for i, p in enumerate(g.pieces(whole, usable))}
-    rows = _rects(spark, sf_dir).withColumns(cut)
-    each = [F.col(p) for p in cut]
-    there = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in each), F.lit(0)).cast("long")
-    total = sum((F.coalesce(g.rect_area(p), F.lit(0)) for p in each), F.lit(0)).cast("long")
-    every = lambda good: reduce(lambda a, b: a & b, [p.isNull() | good(p) for p in each])
-    return rows.select("canvas", "k", there.alias("pieces"), total.alias("free"), every(lambda p: g.roomy(p, 8)).alias("roomy"), every(lambda p: g.normal(p, 8)).alias("normal")).where("pieces > 0")
+    sound = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    side = lambda c, far: F.when(sound, F.greatest(c, F.lit(0).cast("long"))).otherwise(F.lit(far).cast("long"))
+    rows = _rects(spark, sf_dir).withColumns({"u0": side("x0", 9000), "u1": side("y0", 9000), "u2": side("x1", 9001), "u3": side("y1", 9001)})
+    used = g.rect(*[F.col(f"u{i}") for i in range(4)])
+    # something is left unless the used one covers the whole; a filter on the pieces would be worked out twice
+    rows, cut = rows.where(~g.rect_contains(used, whole)), g.pieces(whole, used)
+    there = sum((F.when(p, 1).otherwise(0) for p, _ in cut), F.lit(0)).cast("long")
+    total = sum((F.when(p, g.rect_area(r)).otherwise(F.lit(0)) for p, r in cut), F.lit(0)).cast("long")
+    every = lambda good: reduce(lambda a, b: a & b, [~p | good(r) for p, r in cut])
+    return rows.select("canvas", "k", there.alias("pieces"), total.alias("free"), every(lambda r: g.roomy(r, 8)).alias("roomy"), every(lambda r: g.normal(r, 8)).alias("normal"))
 
 
 @query(
@@ -203,8 +204,10 @@ def bbox_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = [(F.rint(F.get("embedding", F.lit(i)).cast("double") * 1000).cast("long") / 1000).cast("string") for i in range(4)]
     some = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     text = F.when(kind == 0, some(" [", v[0], ", ", v[1], ", ", v[2], ",", v[3], "]\t ")).when(kind == 1, some(v[0], ",", v[1], ",,", v[2], ",", v[3])).when(kind == 2, some("\n", v[0], " , ", v[1], " , ", v[2], " , ", v[3]))
-    box = g.parse_bbox(text.when(kind == 3, some(v[0], ",", v[1], ",", v[2])).otherwise(some("a, ", v[0], ", b, ", v[1])))
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[box[c].alias(c) for c in ("x0", "y0", "x1", "y1")], F.round(g.bbox_ratio(box, F.lit(1000.0)), 12).alias("share"))
+    text = text.when(kind == 3, some(v[0], ",", v[1], ",", v[2])).otherwise(some("a, ", v[0], ", b, ", v[1]))
+    box = F.col("box")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", text.alias("text")).select("vec_id", g.parse_bbox(F.col("text")).alias("box"))
+    return rows.select("vec_id", *[box[c].alias(c) for c in ("x0", "y0", "x1", "y1")], F.round(g.bbox_ratio(box, F.lit(1000.0)), 12).alias("share"))
 
 
 _BAND = """
