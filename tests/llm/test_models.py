@@ -446,6 +446,19 @@ def test_extraction_of_held_out_layouts(model):
     assert np.mean([a == b for a, b in zip(got, want, strict=True)]) > 0.95
 
 
+def test_pages_of_other_makes(model):
+    """Words found and wanted on pages written by hand: a blog, news, a manual, and a page laid out in tables (the worst: its menus are taken along)."""
+    from .pages_by_hand import PAGES
+
+    scores = {}
+    for name, (html, blocks) in PAGES.items():
+        got, want = (Counter(t.split()) for t in (extraction.extract_many([html], model)[0], "\n".join(blocks)))
+        both = sum((got & want).values())
+        scores[name] = 2 * both / (sum(got.values()) + sum(want.values()))
+    print({k: round(v, 3) for k, v in scores.items()})
+    assert scores["news"] == scores["docs"] == 1 and scores["blog"] > 0.97 and scores["table"] > 0.8
+
+
 def test_marginals_equal_enumeration(model):
     """Sum-product against the sum over all labellings of a small tree."""
     from itertools import product

@@ -51,6 +51,31 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted((x["doc_id"], ids(bytes(x["ids"]))) for x in got) == want
 
 
+@pytest.mark.parametrize("rows", ["none", "hard"])
+def test_hard_tables_go_through(spark, tmp_path, rows):
+    """No documents, labels or items at all; then nulls, repeats, ties and empty and long texts, without any label."""
+    pytest.importorskip("public_tokenizers")
+    from .fixtures import SCHEMA, documents
+
+    docs = documents(3, 20) if rows == "hard" else []
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, "alpha " * 12), (1, None), (1, "")] if docs else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # without labels the score is one half, so all documents stay; one of each group of equal texts remains
+    assert (len(got) > 10 and {r["doc_id"] for r in got} <= {r[0] for r in docs}) if docs else not got
+
+
+def test_a_run_leaves_its_result_alone_behind(spark, sf_dir):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(glob.glob(f"{folder}/tessella/*"))
+    corpus_pipeline.run(spark, sf_dir)
+    left = set(glob.glob(f"{folder}/tessella/*")) - before
+    assert len(left) == 1 and "pipeline-bpe" in left.pop()
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
