@@ -17,7 +17,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quadratic discriminant scores 0.5 or more."""
+    """Documents that the quadratic discriminant scores 0.5 or more; each row is scored on its own text, a null one as empty, whether its id is null or repeats."""
     model = quadratic.fit(docs, table(spark, sf_dir, "labels"))
     return quadratic.score(docs, model).where(F.col("score") >= 0.5).select("row.*")
 
@@ -36,12 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; each row is looked up by its own text, and a null one has no words, so it stays."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, with digests of them and of their decoding."""
+    """Each document's token ids, with digests of them and of their decoding; one row for each row, a null text has no ids."""
     import public_tokenizers
 
     rows = bpe.encode_texts(docs, bpe.load_vocabulary(public_tokenizers.path(TOKENIZER)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import collage, sampling
+from ..sources.checkpoints import staged
 from ..sources.readers import table
 from .registry import query
 
@@ -19,10 +21,45 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _images(spark, sf_dir)
+    return staged(collage.make_round(images, max(16, images.count() // 100), 8, seed=42), "round")
+
+
+@query(
+    "collage_rules",
+    "SELECT CAST(0 AS BIGINT) AS overlapping, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS narrow, CAST(0 AS BIGINT) AS over_share, CAST(0 AS BIGINT) AS under_scale, CAST(0 AS BIGINT) AS repeated_fills, CAST(0 AS BIGINT) AS wrong_counts, true AS some",
+)
+def collage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts of all collages that break a rule, of which there are none.
+
+    Disjoint and on the canvas, as wide as the least short edge, objects within
+    their share, others not below the least scale, no image twice as a fill, and
+    the counts of the canvas.
+    """
+    s, made = collage.Settings(), _round(spark, sf_dir)
+    rows = made.select("collage_index", "canvas", F.explode("layouts").alias("x")).select(
+        "collage_index", F.col("canvas.width").alias("w"), F.col("canvas.height").alias("h"), F.col("x.layout_id").alias("n"), F.col("x.layout_area").alias("area"), F.col("x.image_type").alias("kind"),
+        F.col("x.object_bbox_ratio").alias("rho"), F.col("x.scale_ratio").alias("scale"), F.col("x.src_img").alias("image"), geometry.rect(*[F.get("x.layout_bbox", F.lit(i)) for i in range(4)]).alias("r"),
+    )
+    pairs = rows.alias("a").join(rows.alias("b"), "collage_index").where(F.col("a.n") < F.col("b.n"))  # the layouts of one canvas, some tens at most
+    met = pairs.agg(F.count_if(geometry.rect_intersect(F.col("a.r"), F.col("b.r"))).alias("overlapping"))
+    fill, boxed = F.col("kind") == "fill", F.col("rho") > 0
+    short = F.least(F.col("r")["x1"] - F.col("r")["x0"], F.col("r")["y1"] - F.col("r")["y0"])
+    inside = geometry.rect_contains(geometry.rect(F.lit(0), F.lit(0), F.col("w"), F.col("h")), F.col("r"))
+    each = rows.agg(
+        F.count_if(~inside).alias("outside"), F.count_if(short < s.min_short_edge).alias("narrow"), F.count_if(~fill & boxed & (F.col("rho") * F.col("area") / (F.col("w") * F.col("h")) > s.rho_max + 1e-12)).alias("over_share"),
+        F.count_if(~fill & ~boxed & (F.col("scale") < s.lambda_down - 1e-9)).alias("under_scale"),
+    )
+    fills = rows.where(fill).groupBy("collage_index", "image").count().agg(F.count_if(F.col("count") > 1).alias("repeated_fills"))
+    counted = made.agg(F.count_if(F.col("canvas.layout_count") != F.size("layouts")).alias("wrong_counts"), (F.count(F.lit(1)) > 0).alias("some"))
+    return met.crossJoin(each).crossJoin(fills).crossJoin(counted)  # four tables of one row
+
+
 @query("collage_pack")
 def collage_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collages from all parts as images, with their layouts."""
-    made = collage.make_round(_images(spark, sf_dir), 16, 4, seed=42)
+    """Collages from all parts as images, with their layouts; one for each hundred images."""
+    made = _round(spark, sf_dir)
     return made.select("collage_index", F.col("canvas.width").alias("width"), F.col("canvas.height").alias("height"), F.col("canvas.layout_count").alias("layout_count"), F.explode("layouts").alias("x")).select(
         "collage_index", "width", "height", "layout_count", "x.layout_id", "x.src_idx", "x.image_type", "x.layout_area"
     )
