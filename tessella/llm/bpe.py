@@ -53,8 +53,8 @@ UNLETTERED = 0x40000
 BASIC = 0xFFFF
 BEYOND_BASIC = re.compile("[\U00010000-\U0010ffff]")
 #: A worker forgets its words beyond this many; memory stays bounded, results are the same.
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 300_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 100_000
 LONG_WORD = 100
 NEVER = 1 << 40
 
@@ -230,14 +230,24 @@ class PrefixEncoder:
 
 
 class Words(dict):
-    """The ids of each word as bytes, filled as words turn up; long words are forgotten after the text that they stand in."""
+    """The ids of each word as bytes, filled as words turn up.
+
+    When half as many words as may be kept are there, they become the older half
+    and the half before them goes, so words that turn up again and again stay.
+    Long words are forgotten after the text that they stand in.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.encoder = PrefixEncoder(vocabulary)
+        self.older: dict[str, bytes] = {}
         self.long: list[str] = []
 
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is not None:
+            self[word] = out
+            return out
         b = word.encode("utf-8", "surrogatepass")
         if len(b) > LONG_WORD:
             self.long.append(word)
@@ -246,11 +256,12 @@ class Words(dict):
         return out
 
     def trim(self) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
         for word in self.long:
             self.pop(word, None)
         self.long.clear()
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
 
 
 class Codec:
