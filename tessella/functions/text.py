@@ -39,15 +39,21 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
-def last_match(c: Column, pattern: str) -> Column:
-    """The last match's group 1, stripped; null where nothing matches."""
-    return strip(F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(-1)))
+def last_match(c: Column, pattern: str, close: str) -> Column:
+    """The last match's group 1, stripped; null where nothing matches.
+
+    What follows the last ``close`` matches nothing and is cut off first: each
+    opening before it then finds an end, so many unclosed ones don't each search
+    the rest of the text.
+    """
+    open_end = F.substring_index(c, close, -1)
+    return strip(F.try_element_at(F.regexp_extract_all(F.left(c, F.char_length(c) - F.char_length(open_end)), F.lit(pattern), F.lit(1)), F.lit(-1)))
 
 
 def rule_answer(response: Column) -> Column:
     """the last tagged answer, else the whole response; then the last boxed part of that, else all of it."""
-    tagged = F.coalesce(last_match(response, ANSWER_TAG), response)
-    return F.coalesce(last_match(tagged, BOXED), tagged)
+    tagged = F.coalesce(last_match(response, ANSWER_TAG, "</answer>"), response)
+    return F.coalesce(last_match(tagged, BOXED, "}"), tagged)
 
 
 def left_crop(c: Column, most: int = 1000) -> Column:

@@ -197,3 +197,15 @@ def test_pieces_equal_the_split_of_an_array(spark):
     whole = geometry.rect(*[F.lit(v).cast("long") for v in (0, 0, 10, 10)])
     got = df.select(F.array_compact(F.array(*[F.when(there, r) for there, r in geometry.pieces(whole, F.col("u"))])).alias("a"), geometry.split_free(F.array(whole), F.col("u")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and any(len(r["a"]) > 2 for r in got)
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    import time
+
+    many = "<answer>" * 100_000
+    df = spark.createDataFrame([(f"<answer>a</answer>{many}",), (many,), ("\\boxed{" * 100_000,), ("x</answer> <answer> b </answer> }",)], "t string").cache()
+    df.count()
+    begun = time.monotonic()
+    got = [r[0] for r in df.select(text.rule_answer(F.col("t"))).collect()]
+    assert time.monotonic() - begun < 5
+    assert got == ["a", many, "\\boxed{" * 100_000, "b"]
