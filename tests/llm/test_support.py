@@ -83,3 +83,14 @@ def test_the_smallest_hashes(spark, rows):
     assert [r["id"] for r in support.smallest(df, F.xxhash64("id"), 40, "id").collect()] == want
     alike = spark.range(rows).select("id", F.lit(1).alias("k"))
     assert support.smallest(alike, F.xxhash64("k"), 40, "id").count() == min(40, rows)
+
+
+@pytest.mark.parametrize("lacking", ["xxhash", "ahocorasick", "numpy"])
+def test_what_the_subpackage_lacks_is_an_error_and_not_its_absence(lacking):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(support.__file__).parents[2]
+    run = subprocess.run([sys.executable, "-c", f"import sys; sys.modules['{lacking}'] = None; import __spark_entry__"], cwd=root, capture_output=True, text=True, timeout=60)
+    assert run.returncode != 0 and lacking in run.stderr
