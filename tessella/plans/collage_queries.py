@@ -67,9 +67,10 @@ def collage_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("collage_rounds")
 def collage_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds, with the uses of the first counted in the second."""
+    """Rounds until there is one collage for each hundred images, half of them a round, with the uses of earlier rounds counted in later ones."""
     images = _images(spark, sf_dir)
-    for _, _, images in collage.make_all(images, 16, 8, 4, seed=7):
+    total = max(16, images.count() // 100)
+    for _, _, images in collage.make_all(images, total, -(-total // 2), 8, seed=7):
         pass
     return images.select("uid", "core_count", "alt_count", "fill_count")
 
