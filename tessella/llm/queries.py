@@ -7,6 +7,7 @@ from .bpe import op8_bpe_prefix_dp
 from .decontamination import OP7_SQL, op7_suffix_decontamination
 from .extraction import op9_dom_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .periodic import op12_periodic_runs
 from .quadratic import op2_qda_quality
 from .quotations import OP1_SQL, op1_quote_links
 from .secrets import op4_secret_forest
@@ -24,6 +25,7 @@ QUERIES = {
     "op7_suffix_decontamination": op7_suffix_decontamination,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
     "op10_line_dedup": op10_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
