@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .boosting import op5_boosted_quality_rules
 from .bpe import op8_bpe_prefix_dp
+from .collocations import OP13_SQL, op13_collocations
 from .decontamination import OP7_SQL, op7_suffix_decontamination
 from .extraction import op9_dom_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -13,6 +14,7 @@ from .quotations import OP1_SQL, op1_quote_links
 from .secrets import op4_secret_forest
 from .simhash import op6_simhash_golay
 from .toxicity import op3_toxicity_chain
+from .warc import OP11_SQL, op11_warc_bundles
 
 QUERIES = {
     "op4_secret_forest": op4_secret_forest,
@@ -25,7 +27,9 @@ QUERIES = {
     "op7_suffix_decontamination": op7_suffix_decontamination,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
     "op10_line_dedup": op10_line_dedup,
+    "op11_warc_bundles": op11_warc_bundles,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
@@ -33,4 +37,6 @@ ORACLES = {
     "op1_quote_links": OP1_SQL,
     "op7_suffix_decontamination": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_warc_bundles": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
