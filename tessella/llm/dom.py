@@ -5,12 +5,14 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
-#: Elements without content, elements whose content isn't markup, and elements that start a block of text.
+#: Elements without content, elements whose content isn't markup, elements that hold what isn't text of the page, and elements that start a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+EMBEDDED = frozenset("noscript template svg math object canvas audio video select".split())
 BLOCK = frozenset(
     "html body head title article aside address blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
@@ -35,13 +37,10 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+|\d+")
 
-#: Elements nested deeper than this are read as if they stood beside each other.
-DEEPEST = 512
-
 #: Groups of elements, and of words in an element's class, id or role.
 GROUPS = (
     "article main", "section", "div center", "p", "h1 h2 h3 h4 h5 h6 hgroup", "li dd dt", "ul ol dl menu", "a", "span b i em strong u small font mark code sub sup q cite abbr time br wbr",
-    "nav", "header", "footer", "aside", "form input button label textarea fieldset legend option", "script style noscript iframe template svg math object canvas audio video select xmp noembed noframes",
+    "nav", "header", "footer", "aside", "form input button label textarea fieldset legend option optgroup datalist", "script style noscript iframe template svg math object canvas audio video select xmp noembed noframes",
     "table tbody thead tfoot tr td th caption", "blockquote pre", "figure figcaption img", "head title meta link base", "html body",
 )
 WORDS = (
@@ -72,62 +71,106 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)  # node, block, text
 
 
+class _Open:
+    """The open elements, and where each name stands among them; every step costs what it closes."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], [""]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.nodes))
+        if name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def last(self, names) -> int:
+        """The innermost place of any of the names; 0 if none is open."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            name = self.names.pop()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+
+class _Tags:
+    """Whether an element that may hold anything is closed: the next tag of its name is an end tag.  Each part of a page is searched once for each name."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.next, self.search = source, {}, {}
+
+    def closed(self, name: str, at: int) -> bool:
+        place, ends = self.next.get(name, (-1, False))
+        if place < at:
+            find = self.search.setdefault(name, re.compile(rf"<(/?){name}(?=[\s/>])", re.I))
+            m = find.search(self.source, at)
+            place, ends = (m.start(), bool(m[1])) if m else (len(self.source), False)
+            self.next[name] = place, ends
+        return ends
+
+
 def parse(source: str) -> Page:
-    """Read a page as it comes: tags may be unclosed, crossed or cut off.  Text in the root (node 0) has no element around it."""
-    page = Page()
-    stack, block, at = [0], 0, 0
+    """Read a page as it comes: tags may be unclosed, crossed or cut off, and nested as deep as they like.  Text in the root (node 0) has no element around it.
+
+    An embedded element that nothing closes is taken to be empty, so that it
+    doesn't swallow what follows.
+    """
+    page, still, tags = Page(), _Open(), _Tags(source)
+    block, at = 0, 0
     end, find = len(source), TAG.search
+    nodes = still.nodes
     tag, parent, depth, attributes, runs = page.tag, page.parent, page.depth, page.attributes, page.runs
     while at < end:
         m = find(source, at)
         stop = m.start() if m else end
         if stop > at:
-            runs.append((stack[-1], block, html.unescape(source[at:stop])))
+            runs.append((nodes[-1], block, html.unescape(source[at:stop])))
         if not m:
             break
         at = m.end()
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                runs.append((stack[-1], block, m[0][9:].removesuffix("]]>")))
+                runs.append((nodes[-1], block, m[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
         if m[1]:
             if name in BLOCK:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and tag[stack[k]] in BLOCK:
-                    break  # a stray inline end tag closes no block
+            place = still.last((name,))
+            if place and (name in BLOCK or not still.blocks or place > still.blocks[-1]):  # a stray inline end tag closes no block
+                still.close(place)
             continue
         if name in CLOSES:
             closed, bounds = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                t = tag[stack[k]]
-                if t in closed:
-                    del stack[k:]
-                    break
-                if t in bounds:
-                    break
+            place = still.last(closed)
+            if place and place > still.last(bounds):
+                still.close(place)
         if name in BLOCK:
             block += 1
         tag.append(name)
-        parent.append(stack[-1])
-        depth.append(len(stack))
+        parent.append(nodes[-1])
+        depth.append(len(nodes))
         attributes.append(m[3] or "")
+        ended = (m[3] or "").endswith("/")
         if name in VOID:
             if name == "br":
-                runs.append((stack[-1], block, " "))
-        elif name in RAW and not (m[3] or "").endswith("/"):
+                runs.append((nodes[-1], block, " "))
+        elif name in RAW and not ended:
             close = re.compile(f"</{re.escape(name)}(?=[\\s/>]|$)[^>]*>?", re.I).search(source, at)
             stop = close.start() if close else end
             if stop > at:
                 runs.append((len(tag) - 1, block, html.unescape(source[at:stop]) if name in ("title", "textarea") else source[at:stop]))
             at = close.end() if close else end
-        elif (not (m[3] or "").endswith("/") or name in BLOCK) and len(stack) < DEEPEST:
-            stack.append(len(tag) - 1)
+        elif (not ended or name in BLOCK) and (name not in EMBEDDED or tags.closed(name, at)):
+            still.push(len(tag) - 1, name)
     return page
 
 
@@ -172,6 +215,16 @@ class Trees:
     features: np.ndarray
     first: list[int]  # of each page
 
+    @cached_property
+    def levels(self) -> list[np.ndarray]:
+        """The nodes of each depth from 1 on, in order."""
+        return by_depth(self.depth)
+
+
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))[1:]
+
 
 def trees(pages: list[Page]) -> Trees:
     """The nodes' features, for all pages at once."""
@@ -199,7 +252,7 @@ def trees(pages: list[Page]) -> Trees:
     a = _GROUP_OF["a"]
     linked[kind == a] = size[kind == a]
     own_size = size.copy()
-    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    levels = by_depth(depth)
     for nodes in levels[::-1]:
         for x in (size, linked, stops, words):
             np.add.at(x, parent[nodes], x[nodes])

@@ -38,12 +38,11 @@ class TreeModel:
         n = len(t.parent)
         inside, upward, pair = np.zeros((n, 2)), np.zeros((n, 2)), self.potentials[t.kind]
         inside[:, 1] = t.features @ self.weights
-        levels = [np.flatnonzero(t.depth == d) for d in range(1, int(t.depth.max(initial=0)) + 1)]
-        for nodes in levels[::-1]:
+        for nodes in t.levels[::-1]:
             upward[nodes] = np.logaddexp(pair[nodes, :, 0] + inside[nodes, :1], pair[nodes, :, 1] + inside[nodes, 1:])
             np.add.at(inside, t.parent[nodes], upward[nodes])
         belief, joint = inside, np.zeros((n, 2, 2))
-        for nodes in levels:
+        for nodes in t.levels:
             rest = belief[t.parent[nodes]] - upward[nodes]  # what the parent knows from all but this child
             joint[nodes] = pair[nodes] + rest[:, :, None] + belief[nodes][:, None, :]
             belief[nodes] += np.logaddexp(pair[nodes, 0, :] + rest[:, :1], pair[nodes, 1, :] + rest[:, 1:])
@@ -116,11 +115,11 @@ def extract(pages: DataFrame, model: TreeModel | None = None, *, html_col: str =
     """Add ``text`` to the columns ``keep`` (all but the html by default), without a shuffle.
 
     Defined cases: null or empty html gives an empty text; cut-off, unclosed or
-    crossed markup is read as far as it goes; beyond 512 open elements (DEEPEST)
-    no more are opened, so their text is kept or dropped with that of the 512th
-    and an end tag may close an outer element of its name; pages may repeat; a column named
-    ``text`` among those kept gives way to the extracted text; an empty table
-    gives an empty result.
+    crossed markup is read as far as it goes, however deep elements are nested;
+    an embedded element (video, svg, select and the like) that is never closed is
+    empty; an unclosed script, style, textarea, title or frame lasts to the end,
+    as in browsers; pages may repeat; a column named ``text`` among those kept
+    gives way to the extracted text; an empty table gives an empty result.
     """
     spark = shipped(pages.sparkSession)
     shared = spark.sparkContext.broadcast(model or fit(labelled_pages()))

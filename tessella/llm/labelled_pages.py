@@ -2,14 +2,14 @@
 
 Layouts are drawn with a fixed seed.  A node is content if it belongs to the
 article; what an article carries besides (sharing bars, adverts, related links,
-reader comments, forms) is not.
+reader comments, forms, embedded elements) is not.
 """
 
 from __future__ import annotations
 
 import random
 
-from .dom import VOID
+from .dom import EMBEDDED, VOID
 
 Node = tuple[str, str, int, list]  # tag, attributes, label, children (nodes or strings)
 
@@ -61,6 +61,9 @@ class _Layout:
             return ("div", self.attributes("cookie", "consent", "notice", "newsletter", "popup", "alert"), 0, [("p", "", 0, [self.sentences(1, 3)]), ("button", "", 0, [self.words(1, 2)])])
         if kind == "form":
             return ("form", "", 0, [("label", "", 0, [self.words(1, 3)]), ("input", ' type="text"', 0, []), ("button", "", 0, [self.words(1, 2)])] + ([("p", "", 0, [self.sentences(1, 1)])] if r.random() < 0.4 else []))
+        if kind == "embedded":
+            tag = r.choice(sorted(EMBEDDED))
+            return (tag, "", 0, [r.choice([("b", "", 0, [self.words(1, 4)]), ("p", "", 0, [self.sentences(1, 2)]), ("option" if tag == "select" else "text", "", 0, [self.words(1, 3)]), self.words(1, 6)]) for _ in range(r.randint(1, 3))])
         if kind == "share":
             return ("div", self.attributes("share", "social", "tags", "toolbar"), 0, [("a", "", 0, [self.words(1, 1)]) for _ in range(r.randint(2, 5))])
         one = lambda: (r.choice(["div", "li", "article"]) if r.random() < 0.8 else "p", self.attributes("comment", "reply"), 0, [("b", "", 0, [self.words(1, 2)]), ("p", "", 0, [self.sentences(1, 4)])])
@@ -83,8 +86,8 @@ class _Layout:
                 body.append(("table", "", 1, [("tr", "", 1, [("td", "", 1, [self.words(1, 6)]) for _ in range(3)]) for _ in range(r.randint(2, 4))]))
             else:
                 body.append(("div", "", 1, [self.sentences(1, 3)]))
-            if r.random() < 0.12:
-                body.append(self.chrome(r.choice(["ad", "share", "aside", "form", "notice"])))
+            if r.random() < 0.15:
+                body.append(self.chrome(r.choice(["ad", "share", "aside", "form", "notice", "embedded"])))
         if r.random() < 0.25:
             body.append(self.chrome(r.choice(["comments", "share", "aside", "nav"])))
         return body

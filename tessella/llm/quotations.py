@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .line_dedup import STRIPPED, line_hash
 from .support import discard, numbered, split_join, staged, staged_alone, table
 
-#: Quote marks at the start of a line, and lines that introduce a quotation.
-MARKS = r"^(?:[ \t]{0,3}>)+"
+#: Quote marks at the start of a line (nothing is tried twice, so any number of them needs no stack), and lines that introduce a quotation.
+MARKS = r"^(?:[ \t]{0,3}+>)++"
 INTRODUCES = r"(?i)^[ \t>]{0,20}(?:on .{0,200} wrote|.{0,100} (?:wrote|writes|schrieb|escribió|a écrit)|le .{0,200} a écrit|am .{0,200} schrieb.{0,80}|el .{0,200} escribió) ?:[ \t]*$|^-{2,} ?original message ?-{2,}$"
 #: Code points of a normalised passage that is linked to another conversation, at least; within a conversation any will do.
 LEAST = 8
@@ -182,12 +182,21 @@ def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col:
 def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """Reply-ordered conversations without quotations: the messages with the columns they came with, their text bare, and ``thread``, ``depth`` and ``position``, in ranges sorted by conversation and position.
 
-    Defined cases are those of ``link_quotations``; messages without a position come first.
+    Defined cases are those of ``link_quotations``; messages without a position
+    come first.  The messages' own columns stay as they are: where one has the
+    name of a new column, in whatever case, the new one gets ``reply_`` before
+    its name, as often as that takes.
     """
     found = link_quotations(messages, conv_col=conv_col, turn_col=turn_col, text_col=text_col)
-    columns = [(F.col("body") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in messages.columns if c not in ("thread", "depth", "position")]
-    order = [f"`{conv_col}`", "position"]
-    return found.select(*columns, "thread", "depth", "position").repartitionByRange(*order).sortWithinPartitions(*order)
+    columns = [(F.col("body") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in messages.columns]
+    taken, names = {c.lower() for c in messages.columns}, {}
+    for new in ("thread", "depth", "position"):
+        name = new
+        while name in taken:
+            name = f"reply_{name}"
+        names[new] = name
+    order = [f"`{conv_col}`", names["position"]]
+    return found.select(*columns, *[F.col(c).alias(n) for c, n in names.items()]).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -493,4 +493,4 @@ def test_parser_nests_as_browsers_do():
 
 
 def test_every_operator_is_registered_with_its_number():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))

@@ -182,3 +182,26 @@ def test_sql_of_line_dedup_agrees_on_digests(spark, tmp_path):
     assert rows_of(got) == rows_of(db.execute(queries.ORACLES["op10_line_dedup"]).df())
     kept = {r[0]: hashlib.sha256(r[3].encode()).hexdigest() for r in brute_lines(rows)}
     assert dict(zip(got["doc_id"], got["kept_sha256"], strict=True)) == kept
+
+
+def test_any_number_of_quote_marks(spark):
+    """A megabyte of marks in a line needs no deep stack; levels and bodies are those of SQL."""
+    import duckdb
+
+    rows = [(1, 1, "user", "hello there, all of you"), (1, 2, "user", ">" * 1_000_000 + " hello there, all of you"), (1, 3, "user", " > " * 350_000 + "hello there, all of you"), (1, 4, "user", "\t>" * 2_000 + "\n> hello there, all of you\nyes")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = quotations.link_quotations(messages)
+    got = {r["turn"]: r for r in found.select("row.turn", "body", "n_quoted", "max_level", "reply_to").collect()}
+    assert [(got[t]["n_quoted"], got[t]["max_level"], got[t]["reply_to"]) for t in (2, 3)] == [(1, 1_000_000, 1), (1, 350_000, 1)]
+    assert got[4]["body"] == "yes" and got[4]["max_level"] == 2_000
+    conversations = messages.toPandas()  # noqa: F841  read by the SQL
+    want = duckdb.sql(quotations.OP1_SQL).df().sort_values("turn")
+    assert want["max_level"].tolist() == [got[t]["max_level"] for t in (1, 2, 3, 4)] and want["n_quoted"].tolist() == [got[t]["n_quoted"] for t in (1, 2, 3, 4)]
+
+
+def test_conversations_keep_columns_of_the_same_names(spark):
+    rows = [(1, 1, "first message of all", 7, "x", 5), (1, 2, "> first message of all\nanswer", 8, "y", 6)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, text string, Position long, thread string, reply_position long")
+    found = quotations.conversations(messages)
+    assert found.columns == [*messages.columns, "reply_thread", "depth", "reply_reply_position"]
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "first message of all", 7, "x", 5, 1, 0, 0), (1, 2, "answer", 8, "y", 6, 1, 1, 1)]
