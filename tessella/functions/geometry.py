@@ -191,6 +191,14 @@ def split_free(rects: Column, used: Column) -> Column:
     return F.when(F.size(rects) > 1, none_contained(cut)).otherwise(cut)
 
 
+def free_after(whole: Column, placed: Column, least: int = 1) -> Column:
+    """The free rectangles of a canvas after all of an array of placed ones, in its order; those narrower than ``least`` are dropped at each step.
+
+    A fold in the JVM: the set of free rectangles goes from one to the next.
+    """
+    return F.aggregate(placed, F.array(whole), lambda free, used: _bound(used, lambda u: no_slivers(split_free(free, u), least)))
+
+
 def normal(r: Column, least: int, low: float = 0.4, high: float = 2.5) -> Column:
     """Whether a rectangle is neither a sliver nor out of the aspect bounds."""
     ratio = (r["x1"] - r["x0"]) / F.greatest(F.lit(1), r["y1"] - r["y0"])

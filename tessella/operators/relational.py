@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import numbered
+
 log = logging.getLogger(__name__)
 
 
@@ -61,6 +63,45 @@ def every_nth(df: DataFrame, ordinal: str, n: int = 10) -> DataFrame:
     return df.where(F.col(ordinal) % n == 0)
 
 
-def mixed(sources: DataFrame, fractions: dict[str, float], seed: int = 42, column: str = "data_source") -> DataFrame:
-    """Rows of several sources in given shares."""
-    return sources.sampleBy(column, fractions, seed)
+def shares_of(available: dict[str, int], weights: dict[str, int], total: int | None = None) -> dict[str, int]:
+    """How many rows each source gives: whole shares of ``total`` by weight, what is left to the largest remainders (of equal ones, to the first named).
+
+    Without a total it is the largest of which no source's exact share is more
+    than it has.  A source that has fewer rows than its share is an error.
+    """
+    every = sum(weights.values())
+    if total is None:
+        total = min((available.get(s, 0) * every // w for s, w in weights.items() if w), default=0)
+    out = {s: total * w // every for s, w in weights.items()}
+    order = sorted(weights, key=lambda s: -(total * weights[s] % every))  # stable, so the first named stays first
+    for s in order[: total - sum(out.values())]:
+        out[s] += 1
+    short = {s: n for s, n in out.items() if n > available.get(s, 0)}
+    if short:
+        raise ValueError(f"sources have fewer rows than their shares: {short}")
+    return out
+
+
+def mixed(sources: DataFrame, weights: dict[str, int], order: Column, total: int | None = None, column: str = "data_source") -> DataFrame:
+    """Rows of several sources in exact shares, interleaved evenly; ``position`` numbers them from 0.
+
+    ``order`` says which rows of a source are taken, and in which order: a hash of
+    their key, or any other value that tells them apart.  Rows are numbered over
+    the whole table in ranges, so the result doesn't depend on partitions, and
+    neither a source nor the mixture is ever in one task.  Row i of a source that
+    gives n has its place at (i + 1/2) / n; of equal places the source named first
+    comes first.  Sources that aren't named give nothing.
+    """
+    named = list(weights)
+    there = sources.withColumn("_source", F.array_position(F.array(*[F.lit(s) for s in named]), F.col(column))).where(F.col("_source") > 0)
+    placed = numbered(there.withColumn("_order", order), "_source", "_order")
+    counts = {r["_source"]: r["n"] for r in placed.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each named source
+    quota = shares_of({s: counts.get(i, 0) for i, s in enumerate(named, 1)}, weights, total)
+    before, starts = 0, []
+    for i in range(1, len(named) + 1):
+        starts.append(before)
+        before += counts.get(i, 0)
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), (F.col("_source") - 1).cast("int"))
+    number, n = F.col("ordinal") - of(starts), of(quota.values())
+    taken = placed.withColumns({"_number": number, "_n": n}).where(F.col("_number") < F.col("_n")).drop("ordinal")
+    return numbered(taken.withColumn("_place", (F.col("_number") + 0.5) / F.col("_n")), "_place", "_source").withColumnRenamed("ordinal", "position").drop("_source", "_order", "_number", "_n", "_place")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import bandjoin, sampling
+from ..operators import bandjoin, matching, panels, sampling
 from ..sources.readers import table
 from .registry import query
 
@@ -273,3 +273,79 @@ def fit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layouts numbered by row and column on each canvas."""
     return sampling.layout_ids(_rects(spark, sf_dir), "canvas", "y0", "x0", "k").select("canvas", "k", "layout_id")
+
+
+@query(
+    "panel_matching",
+    _BAND.replace("WITH p", "WITH RECURSIVE p", 1)
+    + """
+    , s AS (SELECT panel_id, panel_area, uid, (1.0 / (1 + 4 * (uid % 3))) / (1 + 0.8 * abs(ln(ratio / panel_ratio))) AS score FROM p, i
+            WHERE area >= panel_area / 1.8 AND area <= panel_area / 0.45 AND ratio >= panel_ratio * exp(-0.5) AND ratio <= panel_ratio * exp(0.5)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY score DESC, uid) AS place FROM s QUALIFY place <= 8),
+    o AS (SELECT panel_id, list(uid ORDER BY place) AS uids, row_number() OVER (ORDER BY any_value(panel_area) DESC, panel_id) AS i FROM c GROUP BY panel_id),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS panel_id, CAST(NULL AS BIGINT) AS uid, CAST([] AS BIGINT[]) AS taken
+          UNION ALL
+          SELECT i, panel_id, uid, CASE WHEN uid IS NULL THEN taken ELSE list_append(taken, uid) END
+          FROM (SELECT o.i, o.panel_id, list_filter(o.uids, lambda x: NOT list_contains(w.taken, x))[1] AS uid, w.taken FROM w JOIN o ON o.i = w.i + 1))
+    SELECT w.panel_id, w.uid, CAST(place AS INTEGER) AS place FROM w JOIN c ON c.panel_id = w.panel_id AND c.uid = w.uid
+    """,
+)
+def panel_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels matched with the images that suit them best, the largest panel first, each image once."""
+    found = matching.ranked_candidates(*_band(spark, sf_dir), F.lit(1.0) / (1 + 4 * (F.col("uid") % 3)), 8)
+    return matching.matched(found).select("panel_id", "uid", "place")
+
+
+#: SQL for D14: the free rectangles of ``free`` less a used one ``u``, by steps.
+_SPLIT = """list_filter(flatten(list_transform({free}, lambda f: CASE WHEN f.x0 < {u}.x1 AND {u}.x0 < f.x1 AND f.y0 < {u}.y1 AND {u}.y0 < f.y1 THEN
+    [{{'x0': f.x0, 'y0': f.y0, 'x1': f.x1, 'y1': {u}.y0}}, {{'x0': f.x0, 'y0': {u}.y1, 'x1': f.x1, 'y1': f.y1}},
+     {{'x0': f.x0, 'y0': greatest(f.y0, {u}.y0), 'x1': {u}.x0, 'y1': least(f.y1, {u}.y1)}}, {{'x0': {u}.x1, 'y0': greatest(f.y0, {u}.y0), 'x1': f.x1, 'y1': least(f.y1, {u}.y1)}}]
+    ELSE [f] END)), lambda r: r.x1 > r.x0 AND r.y1 > r.y0)"""
+_ALONE = "list_filter(list_filter({cut}, lambda a: len(list_filter({cut}, lambda b: b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1)) = 1), lambda r: least(r.x1 - r.x0, r.y1 - r.y0) >= 20)"
+_FREE = (
+    "WITH RECURSIVE "
+    + _RECTS
+    + f"""
+    , l AS (SELECT canvas, list({{'x0': greatest(x0, 0), 'y0': greatest(y0, 0), 'x1': least(x1, 400), 'y1': least(y1, 250)}} ORDER BY k, x0, y0, x1, y1) FILTER (WHERE x1 > x0 AND y1 > y0 AND x1 > 0 AND y1 > 0 AND x0 < 400 AND y0 < 250) AS placed FROM r GROUP BY canvas),
+    w AS (SELECT canvas, 0 AS i, coalesce(placed, []) AS placed, [{{'x0': 0::BIGINT, 'y0': 0::BIGINT, 'x1': 400::BIGINT, 'y1': 250::BIGINT}}] AS free FROM l
+          UNION ALL SELECT canvas, i + 1, placed, {_ALONE.format(cut="cut")} FROM (SELECT canvas, i, placed, {_SPLIT.format(free="free", u="u")} AS cut FROM (SELECT *, placed[i + 1] AS u FROM w WHERE i < len(placed)))),
+    free AS (SELECT canvas, free FROM w WHERE i = len(placed))
+    """
+)
+_LISTED = "array_to_string(list_transform(list_sort({0}), lambda r: concat_ws(',', r.x0, r.y0, r.x1, r.y1)), ';')"
+
+
+def _listed(rects: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(rects), lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("x0", "y0", "x1", "y1")])), ";")
+
+
+def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.free_space(_rects(spark, sf_dir), "canvas", 400, 250, ["k", "x0", "y0", "x1", "y1"], least=20)
+
+
+@query("free_fold", _FREE + f" SELECT canvas, len(free) AS n, {_LISTED.format('free')} AS rects FROM free")
+def free_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal free rectangles of each canvas after all that are placed on it, one after another."""
+    return _free(spark, sf_dir).select("canvas", F.size("free").cast("long").alias("n"), _listed(F.col("free")).alias("rects"))
+
+
+@query(
+    "panel_cut",
+    _FREE
+    + f"""
+    , s AS (SELECT canvas, free AS waiting, free[1:0] AS done FROM free
+            UNION ALL
+            SELECT canvas, rest || parts, CASE WHEN len(parts) = 0 THEN list_append(done, u) ELSE done END
+            FROM (SELECT canvas, u, done, {_ALONE.format(cut="cut")} AS rest, CASE WHEN (u.x1 - u.x0) / (u.y1 - u.y0) BETWEEN 0.4 AND 2.5 OR len(list_filter(two, lambda p: (p.x1 - p.x0) * (p.y1 - p.y0) >= 800 AND least(p.x1 - p.x0, p.y1 - p.y0) >= 20)) < 2 THEN two[1:0] ELSE two END AS parts
+                  FROM (SELECT canvas, u, done, {_SPLIT.format(free="others", u="u")} AS cut,
+                               CASE WHEN u.x1 - u.x0 >= u.y1 - u.y0 THEN [{{'x0': u.x0, 'y0': u.y0, 'x1': u.x0 + (u.x1 - u.x0) // 40 * 20, 'y1': u.y1}}, {{'x0': u.x0 + (u.x1 - u.x0) // 40 * 20, 'y0': u.y0, 'x1': u.x1, 'y1': u.y1}}]
+                                    ELSE [{{'x0': u.x0, 'y0': u.y0, 'x1': u.x1, 'y1': u.y0 + (u.y1 - u.y0) // 40 * 20}}, {{'x0': u.x0, 'y0': u.y0 + (u.y1 - u.y0) // 40 * 20, 'x1': u.x1, 'y1': u.y1}}] END AS two
+                        FROM (SELECT *, list_filter(waiting, lambda x: x <> u) AS others
+                              FROM (SELECT *, list_transform(list_sort(list_transform(waiting, lambda r: {{'a': -(r.x1 - r.x0) * (r.y1 - r.y0), 'r': r}})), lambda m: m.r)[1] AS u FROM s WHERE len(waiting) > 0)))))
+    SELECT canvas, len(done) AS n, {_LISTED.format('done')} AS rects FROM s WHERE len(waiting) = 0
+    """,
+)
+def panel_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free space of each canvas as disjoint panels within the bounds of aspect ratio, cut in the middle on a grid of 20."""
+    found = panels.cut_panels(_free(spark, sf_dir), "free", 20)
+    return found.select("canvas", F.size("panels").cast("long").alias("n"), _listed(F.col("panels")).alias("rects"))

@@ -200,7 +200,7 @@ def sample_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("round_robin_split", "SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) % 8 AS INTEGER) AS chunk FROM part")
 def round_robin_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows dealt to eight chunks in the order of their weight."""
+    """Rows dealt to eight chunks in the order of their weight."""
     return sampling.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), 8, F.desc("p_retailprice"), F.asc("p_partkey")).select("p_partkey", "chunk")
 
 
@@ -243,3 +243,34 @@ def composite_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("l_orderkey").orderBy(F.desc(F.col("l_returnflag") == "R"), F.desc("l_extendedprice"), "l_linenumber")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("place"))
+
+
+@query(
+    "balance_weighted",
+    """
+    WITH u AS (SELECT l_partkey AS uid, count(*) FILTER (WHERE l_returnflag = 'A') AS c, count(*) FILTER (WHERE l_returnflag = 'N') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS f FROM lineitem GROUP BY l_partkey)
+    SELECT uid, CAST((row_number() OVER (ORDER BY (CASE WHEN c > 0 THEN 10000000 ELSE 0 END) + (CASE WHEN a > 0 THEN 10000 ELSE 0 END) + (CASE WHEN f > 0 THEN 10 ELSE 0 END) - (c + a + f) DESC, uid) - 1) % 8 AS INTEGER) AS chunk FROM u
+    """,
+)
+def balance_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All images dealt to eight chunks in turn, in the order of the roles they were used in and of all their uses."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("uid")).agg(*[F.count_if(F.col("l_returnflag") == f).alias(c) for f, c in zip("ANR", sampling.COUNTS, strict=True)])
+    return sampling.balanced(rows, 8, "uid").select("uid", "chunk")
+
+
+@query(
+    "source_mixing",
+    """
+    WITH s(lang, w, i) AS (VALUES ('en', 5, 1), ('de', 3, 2), ('fr', 2, 3)),
+    d AS (SELECT doc_id, lang, w, i, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number, count(*) OVER (PARTITION BY lang) AS have FROM documents JOIN s USING (lang)),
+    t AS (SELECT min(have * 10 // w) AS total FROM d),
+    q0 AS (SELECT lang, w, i, total, total * w // 10 AS whole, row_number() OVER (ORDER BY total * w % 10 DESC, i) AS place FROM s, t),
+    q AS (SELECT lang, whole + CASE WHEN place <= total - (SELECT sum(whole) FROM q0) THEN 1 ELSE 0 END AS n FROM q0)
+    SELECT doc_id, lang AS data_source, row_number() OVER (ORDER BY (number + 0.5::DOUBLE) / n, i) - 1 AS position FROM d JOIN q USING (lang) WHERE number < n
+    """,
+)
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources in shares of 5, 3 and 2, as many rows as these allow, interleaved evenly."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("data_source"))
+    order = F.struct(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    return relational.mixed(rows, {"en": 5, "de": 3, "fr": 2}, order).select("doc_id", "data_source", "position")
