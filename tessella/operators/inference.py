@@ -12,7 +12,10 @@ import json
 import logging
 import math
 import os
+import struct
+import time
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -22,12 +25,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..schemas import CONVERSATION, EVAL_RESULT, INFERENCE_RESULT, MESSAGE
 from ..sources.checkpoints import shipped, staged
 from ..sources.writers import logged
-from . import rendering
+from . import journals, rendering
 
 log = logging.getLogger(__name__)
 
@@ -150,6 +154,54 @@ def prepare_image(content: bytes, min_pixels: int | None = None, max_pixels: int
     return _as_url(content, mime)
 
 
+def image_sides(head: bytes) -> tuple[int, int] | None:
+    """Width and height from the beginning of a PNG, GIF, BMP or JPEG file; None if it doesn't say."""
+    if head.startswith(b"\x89PNG") and len(head) >= 24:
+        return struct.unpack(">II", head[16:24])
+    if head.startswith(b"GIF8") and len(head) >= 10:
+        return struct.unpack("<HH", head[6:10])
+    if head.startswith(b"BM") and len(head) >= 26:
+        w, h = struct.unpack("<ii", head[18:26])
+        return w, abs(h)
+    at = 2
+    while head.startswith(b"\xff\xd8") and at + 9 <= len(head) and head[at] == 0xFF:
+        kind, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header
+            return int.from_bytes(head[at + 7 : at + 9], "big"), int.from_bytes(head[at + 5 : at + 7], "big")
+        at += 2 + size
+    return None
+
+
+def opened(path: str) -> bytes:
+    """A file's bytes, from any store that Arrow knows; of a path without a scheme, from a folder that all machines see."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    with store.open_input_file(name) as f:
+        return f.read()
+
+
+def image_url_of(path: str, min_pixels: int | None = None, max_pixels: int | None = None) -> str:
+    """The data URL of an image file, read where it is sent from.
+
+    A file within the bounds goes as it is.  One that has to be resized is decoded
+    with Pillow, if the workers have it; without it this raises.
+    """
+    content = opened(path)
+    if not (min_pixels or max_pixels):
+        return prepare_image(content)
+    sides = image_sides(content)
+    if sides and resized_sides(*sides, min_pixels, max_pixels) == tuple(sides):
+        return prepare_image(content)
+    try:
+        from PIL import Image
+    except ImportError as e:
+        raise ValueError(f"{path} has to be resized, which takes Pillow, or an image that Spark decoded") from e
+    import io
+
+    return prepare_pixels(np.asarray(Image.open(io.BytesIO(content)).convert("RGB")), min_pixels, max_pixels)
+
+
 def _shown(message: dict) -> dict:
     """A message with the content split by its kind, image data left out."""
     content = message.get("content")
@@ -209,24 +261,64 @@ def ask(backend: Backend, request: Request) -> list[dict]:
     return out
 
 
+@dataclass(frozen=True)
+class Retrying:
+    """A backend whose failed calls are tried again, after pauses that double; which errors pass is for ``transient`` to say."""
+
+    backend: Backend
+    attempts: int = 4
+    pause: float = 1.0
+    transient: Callable[[Exception], bool] = lambda e: isinstance(e, (OSError, TimeoutError))
+
+    @property
+    def model(self) -> str:
+        return getattr(self.backend, "model", type(self.backend).__name__)
+
+    @property
+    def base_url(self) -> str | None:
+        return getattr(self.backend, "base_url", None)
+
+    def complete(self, request: Request) -> list[Choice]:
+        for n in range(self.attempts):
+            try:
+                return self.backend.complete(request)
+            except Exception as e:
+                if n + 1 == self.attempts or not self.transient(e):
+                    raise
+                # requests that failed together don't come back together
+                time.sleep(self.pause * 2**n * (0.5 + zlib.crc32(f"{request.key}/{n}".encode()) / 2**33))
+        raise AssertionError("no attempt was made")
+
+
 def _in_pool(rows: list, call: Callable, concurrency: int) -> list:
     with ThreadPoolExecutor(max(1, min(concurrency, len(rows) or 1))) as pool:
         return list(pool.map(call, rows))
 
 
-def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, call_settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None, min_pixels: int | None = None, call_log: Callable[[dict], None] | None = None) -> DataFrame:
+def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, call_settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None, min_pixels: int | None = None, call_log: Callable[[dict], None] | None = None, journal: str | None = None, in_flight: int | None = None) -> DataFrame:
     """A row (sample_index, trial_id, result) for each question and trial.
 
     Choices of one request stand for the trials; with ``separate``, each trial
-    is a request of its own.  ``concurrency`` is for each task.  Images come from
-    a column ``image_data`` (what Spark's image source decodes; brought to the
-    bounds on pixels), ``image_bytes`` (sent as they are) or ``image_url``, if
-    there is one; a question whose image can't be prepared has a failed result.
+    is a request of its own.  ``concurrency`` is for each task; ``in_flight``, if
+    given, bounds the calls of all tasks together: questions are dealt to no more
+    tasks than that, and each makes its share at a time.
+
+    Images come from a column ``image_data`` (what Spark's image source decodes;
+    brought to the bounds on pixels), ``image_bytes`` (sent as they are),
+    ``image_path`` (opened in the thread that sends it, so that only named files
+    are read and a task holds one for each call) or ``image_url``, if there is
+    one; a question whose image can't be prepared has a failed result.
     ``call_log`` is told of each call that was answered (K12), in the tasks.
+
+    With ``journal``, a folder that all tasks reach, each answer is written there
+    as it comes, under a key made of all that was asked.  What the journal has
+    isn't asked again, by a task that runs twice or by a later run; failed calls
+    are.
     """
-    shipped(samples.sparkSession)
-    have = [c for c in ("image_data", "image_bytes", "image_url") if c in samples.columns]
+    spark = shipped(samples.sparkSession)
+    have = [c for c in ("image_data", "image_bytes", "image_path", "image_url") if c in samples.columns]
     asked = samples.select("sample_index", text.prompt(F.col("question"), F.col("options")).alias("prompt"), *have)
+    model = getattr(backend, "model", type(backend).__name__)
     backend = Logged(backend, call_log) if call_log else backend
     schema = "sample_index bigint, trial_id int, result " + INFERENCE_RESULT.simpleString()
 
@@ -237,7 +329,9 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
                 url = prepare_pixels(rendering.rgb(data["data"], data["height"], data["width"], data["nChannels"]), min_pixels, max_pixels)
             elif row.get("image_bytes") is not None:
                 url = prepare_image(row["image_bytes"], min_pixels, max_pixels)
-        except ValueError as e:
+            elif row.get("image_path") is not None:
+                url = image_url_of(row["image_path"], min_pixels, max_pixels)
+        except (ValueError, OSError) as e:
             log.warning("no image for question %s: %s", row["sample_index"], e)
             return [failed("image_error")] * len(trials)
         messages = [{"role": "system", "content": system_prompt}] if system_prompt else []
@@ -247,16 +341,36 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
             return [r for t in trials for r in ask(backend, Request(f"{key}/{t}", messages, 1, call_settings or {}))]
         return ask(backend, Request(key, messages, len(trials), call_settings or {}))
 
+    tasks = min(in_flight, spark.sparkContext.defaultParallelism) if in_flight else None
+    at_a_time = max(1, in_flight // tasks) if in_flight else concurrency
+
+    def results(rows: list[dict]) -> pd.DataFrame:
+        found = _in_pool(rows, one, at_a_time)
+        return pd.DataFrame([{"sample_index": r["sample_index"], "trial_id": t, "result": x} for r, each in zip(rows, found, strict=True) for t, x in zip(trials, each, strict=True)], columns=["sample_index", "trial_id", "result"])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = frame.to_dict("records")
-            results = _in_pool(rows, one, concurrency)
-            yield pd.DataFrame([{"sample_index": r["sample_index"], "trial_id": t, "result": x} for r, found in zip(rows, results, strict=True) for t, x in zip(trials, found, strict=True)], columns=["sample_index", "trial_id", "result"])
+            yield results(frame.to_dict("records"))
+
+    if journal is None:
+        return (asked.repartition(tasks) if tasks else asked).mapInPandas(run, schema)
+    fixed = json.dumps([model, trials, system_prompt, call_settings, image_settings, separate, min_pixels, max_pixels], sort_keys=True, default=str)
+    shown = [F.sha2(F.col("image_bytes"), 256) if c == "image_bytes" else F.sha2(F.to_json(F.struct("image_data")), 256) if c == "image_data" else F.col(c) for c in have]
+    keyed = asked.withColumn("key", F.sha2(F.to_json(F.struct(F.lit(fixed).alias("fixed"), F.col("sample_index"), F.col("prompt"), *[c.alias(f"i{n}") for n, c in enumerate(shown)])), 256))
+    left = keyed.join(journals.answered(spark, journal).where("final").select("key"), "key", "left_anti")
+
+    def answer(rows: list[dict]) -> list[tuple[str, list[dict], bool]]:
+        found = _in_pool(rows, one, at_a_time)
+        return [(r["key"], each, all(x["success"] for x in each)) for r, each in zip(rows, found, strict=True)]
 
-    return asked.mapInPandas(run, schema)
+    journals.fill(left.repartition(tasks) if tasks else left, answer, journal, at_a_time)
+    known = journals.answered(spark, journal).groupBy("key").agg(F.max_by("results", "final").alias("results"))  # answered twice: any answer
+    each = F.posexplode(F.from_json("results", T.ArrayType(INFERENCE_RESULT)))
+    trial = F.get(F.array(*[F.lit(t) for t in trials]), F.col("n"))
+    return keyed.select("sample_index", "key").join(known, "key").select("sample_index", each.alias("n", "result")).select("sample_index", trial.cast("int").alias("trial_id"), "result")
 
 
-def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None = None, concurrency: int = 8, strict: bool = False, call_log: Callable[[dict], None] | None = None) -> DataFrame:
+def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None = None, concurrency: int = 8, strict: bool = False, call_log: Callable[[dict], None] | None = None, in_flight: int | None = None) -> DataFrame:
     """What rules couldn't decide: one call for multiple choice, two for open questions.
 
     Takes sample_index, trial_id, question, options, answer and raw; returns the
@@ -270,6 +384,8 @@ def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None =
     marker = "\x00extracted\x00"
     second = text.filled(t["judge"], question=F.col("question"), gt_answer=F.col("answer"), model_answer=F.lit(marker))
     asked = rows.select("sample_index", "trial_id", "answer", choice.alias("choice"), first.alias("first"), second.alias("second"))
+    tasks = min(in_flight, rows.sparkSession.sparkContext.defaultParallelism) if in_flight else None
+    at_a_time = max(1, in_flight // tasks) if in_flight else concurrency
 
     def call(row: dict, step: str, query: str) -> str:
         got = backend.complete(Request(f"{row['sample_index']}/{row['trial_id']}/{step}", [user_message(query)], 1, {"max_completion_tokens": JUDGE_TOKENS}))[0].content
@@ -292,9 +408,10 @@ def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            results = _in_pool(frame.to_dict("records"), one, concurrency)
+            results = _in_pool(frame.to_dict("records"), one, at_a_time)
             yield pd.DataFrame({"sample_index": frame["sample_index"], "trial_id": frame["trial_id"], "extracted_answer": [r[0] for r in results], "is_correct": [r[1] for r in results], "fail_reason": [r[2] for r in results]})
 
+    asked = asked.repartition(tasks) if tasks else asked
     return asked.mapInPandas(run, "sample_index bigint, trial_id int, extracted_answer string, is_correct boolean, fail_reason string")
 
 
@@ -311,7 +428,7 @@ def evaluate(samples: DataFrame, main: Backend, judging: Backend, trials: list[i
     raw = text.rule_answer(F.col("result.last_message_content"))
     ruled = joined.withColumn("raw", F.when(stopped, raw)).withColumn("exact", F.coalesce(F.col("raw") == F.col("answer"), F.lit(False)))
     rest = ruled.where(stopped & ~F.col("exact")).withColumn("raw", text.left_crop(F.col("raw"), max_answer_length))
-    judged = staged(judge(rest, judging, templates, options.get("concurrency", 8), strict, options.get("call_log")), "judged").withColumnRenamed("fail_reason", "judge_reason")
+    judged = staged(judge(rest, judging, templates, options.get("concurrency", 8), strict, options.get("call_log"), options.get("in_flight")), "judged").withColumnRenamed("fail_reason", "judge_reason")
     every = ruled.join(judged, ["sample_index", "trial_id"], "left")
     reason = F.when(~F.col("result.success"), "inference_failed").when(~stopped, F.concat(F.lit("finish_reason:"), "result.finish_reason")).otherwise(F.col("judge_reason"))
     outcome = F.struct(

@@ -6,24 +6,28 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import collage, evaluation, inference, rendering
-from ..sources import readers, resume, writers
-from ..sources.checkpoints import staged
+from ..sources import readers, resume, sink, writers
+from ..sources.checkpoints import shipped, staged
 
 
 def evaluate(spark: SparkSession, samples: DataFrame, main: inference.Backend, judge: inference.Backend, output_dir: str, setting: str, dataset: str, num_trials: int = 1, settings: dict | None = None, **options) -> DataFrame:
     """Evaluate the trials that aren't done, write each, then summarise all of them.
 
-    A trial's mark is written last, so a trial that was broken off runs again.
-    The summary is made anew even if all trials were done before.
+    A trial's mark is written last, so a trial that was broken off runs again;
+    what the model had answered by then is in the journal ``_calls`` and isn't
+    asked again (``journal=None`` keeps none).  Counts come with the write of the
+    records.  The summary is made anew even if all trials were done before.
     """
     if num_trials <= 0:
         raise ValueError("the number of trials must be positive")
@@ -33,6 +37,7 @@ def evaluate(spark: SparkSession, samples: DataFrame, main: inference.Backend, j
     if settings is not None:
         writers.write_settings(spark, settings, root)
     named = evaluation.with_aliases(samples)
+    options.setdefault("journal", f"{root}/_calls")
     if left:
         records = staged(inference.evaluate(named, main, judge, left, **options), "records")
         counted = evaluation.rollup(records.withColumn("status", evaluation.record_status(F.col("eval_result"))), "trial_id")
@@ -84,8 +89,51 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+#: Images that are decoded by Spark in one go; their paths are all that the driver holds.
+BLOCK = 256
+
+
+def with_images(samples: DataFrame, path: Column, max_pixels: int | None, block: int = BLOCK) -> DataFrame:
+    """Where each question's image comes from; only files that are named are opened.
+
+    Images are read in the tasks that send them (``image_path``).  Those above the
+    bound on pixels have to be decoded to be resized; where Pillow is missing,
+    Spark does it (``image_data``), ``block`` files at a time, whose questions are
+    broadcast, so no pixels are shuffled.
+    """
+    spark = shipped(samples.sparkSession)
+    named = samples.withColumn("image_path", path)
+    if not max_pixels or importlib.util.find_spec("PIL"):
+        return named
+
+    def large(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for p in frame["image_path"]:
+                try:
+                    sides = inference.image_sides(inference.opened(p))
+                except OSError:
+                    sides = None
+                if sides and sides[0] * sides[1] > max_pixels:
+                    found.append(p)
+            yield pd.DataFrame({"image_path": found})
+
+    paths = staged(named.select("image_path").where(F.col("image_path").isNotNull()).distinct().mapInPandas(large, "image_path string"), "large")
+    out = named.join(paths, "image_path", "left_anti")
+    waiting = [r["image_path"] for r in paths.limit(block).collect()]
+    while waiting:
+        now = spark.createDataFrame([(p,) for p in waiting], "image_path string")
+        asked = named.join(F.broadcast(now), "image_path", "left_semi")
+        pixels = spark.read.format("image").load(waiting).select(local_path(F.col("image.origin")).alias("_origin"), F.col("image").alias("image_data"))
+        decoded = pixels.join(F.broadcast(asked.withColumn("_origin", local_path(F.col("image_path")))), "_origin").drop("_origin", "image_path")
+        out = out.unionByName(decoded, allowMissingColumns=True)
+        paths = paths.join(F.broadcast(now), "image_path", "left_anti")
+        waiting = [r["image_path"] for r in paths.limit(block).collect()]
+    return out
+
+
 def render(spark: SparkSession, made: DataFrame, folder: str, image_root: str, edges: bool = False, boxes: bool = False) -> int:
-    """K6: the collages' images, written to the folder; the number of files.
+    """K6, K7: the collages' images, each with its sidecar, written to the folder together or not at all; the number of images.
 
     Only source images that the collages name are decoded; their paths, some
     tens for each collage of a round, pass through the driver.
@@ -97,7 +145,9 @@ def render(spark: SparkSession, made: DataFrame, folder: str, image_root: str, e
     if paths:
         images = spark.read.format("image").load(list(paths)).select(local_path(F.col("image.origin")).alias("path"), "image")
         images = named.select("src", "path").join(images, "path").select(F.col("src").alias("path"), "image")
-    return rendering.write(rendering.render(made, images, edges, boxes), folder)
+    files, seen = rendering.render(made, images, edges, boxes).select("path", "content"), Observation()
+    sink.write_files(files.unionByName(sink.sidecar_files(made)).observe(seen, F.count_if(F.col("path").endswith(".png")).alias("n")), folder)
+    return seen.get["n"]
 
 
 def collages(spark: SparkSession, images: DataFrame, folder: str, total: int, per_round: int, chunks: int, seed: int = 42, settings: collage.Settings | None = None, auto_resume: bool = True, checkpoint_each_round: bool = True, image_root: str | None = None, edges: bool = False, boxes: bool = False) -> DataFrame:
@@ -162,14 +212,12 @@ def main(args: list[str] | None = None) -> None:
     else:
         if "n" in a.chat_completion_kwargs:
             parser.error("the number of choices follows from the trials")
-        samples = evaluation.with_aliases(readers.annotations(spark, a.ann_file)).withColumn("path", text.joined_path(F.lit(os.path.abspath(a.img_dir)), F.col("image")))
-        files = readers.images(spark, os.path.abspath(a.img_dir), decoded=True).select(local_path(F.col("image.origin")).alias("path"), F.col("image").alias("image_data"))
-        samples = samples.join(files, "path", "left")
-        slots = max(1, spark.sparkContext.defaultParallelism)
-        model = inference.HttpBackend(a.model, a.api_base_url, a.api_key_variable, a.client_timeout or 600.0)
-        judge = inference.HttpBackend(a.judge_model, a.judge_api_base_url, a.judge_api_key_variable)
+        samples = evaluation.with_aliases(readers.annotations(spark, a.ann_file))
+        samples = with_images(samples, text.joined_path(F.lit(os.path.abspath(a.img_dir)), F.col("image")), a.img_max_pixels or None)
+        model = inference.Retrying(inference.HttpBackend(a.model, a.api_base_url, a.api_key_variable, a.client_timeout or 600.0))
+        judge = inference.Retrying(inference.HttpBackend(a.judge_model, a.judge_api_base_url, a.judge_api_key_variable))
         options = {"system_prompt": text.THINK_PROMPT if a.sys_prompt == "think" else None, "call_settings": a.chat_completion_kwargs, "image_settings": a.image_url_extra_settings, "max_pixels": a.img_max_pixels or None}
-        options |= {"max_answer_length": a.max_answer_length, "separate": a.separate_trial_requests, "concurrency": max(1, a.concurrency // slots)}
+        options |= {"max_answer_length": a.max_answer_length, "separate": a.separate_trial_requests, "concurrency": a.concurrency, "in_flight": a.concurrency}
         evaluate(spark, samples, model, judge, os.path.abspath(a.output_dir), a.setting or a.model, a.eval_name, a.num_trials, vars(a), **options)
 
 

@@ -44,7 +44,7 @@ def unrendered(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], collage.COLLAGE)
     if not writers.exists(spark, f"{folder}/images"):
         return layouts
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/images").select(text.integer_stem(F.col("path")).alias("collage_index"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg}").load(f"{folder}/images").select(text.integer_stem(F.col("path")).alias("collage_index"))
     return staged(layouts.join(files, "collage_index", "left_anti"), "unrendered")
 
 
