@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import importlib.util
 import json
+import logging
 import os
 from collections.abc import Iterator, Sequence
 
@@ -20,6 +21,8 @@ from ..operators import collage, evaluation, inference, rendering
 from ..sources import readers, resume, sink, writers
 from ..sources.checkpoints import shipped, staged
 
+log = logging.getLogger(__name__)
+
 
 def evaluate(spark: SparkSession, samples: DataFrame, main: inference.Backend, judge: inference.Backend, output_dir: str, setting: str, dataset: str, num_trials: int = 1, settings: dict | None = None, **options) -> DataFrame:
     """Evaluate the trials that aren't done, write each, then summarise all of them.
@@ -44,7 +47,9 @@ def evaluate(spark: SparkSession, samples: DataFrame, main: inference.Backend, j
         documents = staged(evaluation.metrics_document(counted, "trial_id"), "metrics")
         for t in left:
             writers.write_metrics(documents.where(F.col("trial_id") == t), folders[t])
-            writers.write_records(records.where(F.col("trial_id") == t), folders[t])
+            outcome = evaluation.record_status(F.col("eval_result"))
+            seen = writers.write_records(records.where(F.col("trial_id") == t), folders[t], {k: F.count_if(outcome == k) for k in evaluation.OUTCOMES})
+            log.info("trial %s of %s on %s: %s", t, setting, dataset, ", ".join(f"{v} {k}" for k, v in seen.items()))
             writers.mark_done(spark, folders[t])
     summary = summarise(spark, output_dir).where((F.col("setting") == setting) & (F.col("dataset") == dataset))
     writers.write_summary(summary, root)
@@ -163,11 +168,11 @@ def collages(spark: SparkSession, images: DataFrame, folder: str, total: int, pe
         if image_root and done:
             render(spark, resume.unrendered(spark, folder), folder, image_root, edges, boxes)
     for round_id, made, last in collage.make_all(images, max(0, total - done), per_round, chunks, seed, settings, start):
-        writers.write_sidecars(made, folder)
+        done += writers.write_sidecars(made, folder)
         if image_root:
             render(spark, made, folder, image_root, edges, boxes)
         if checkpoint_each_round:
-            resume.checkpoint(last, folder, round_id, resume.made(spark, folder), resume.next_index(spark, folder))
+            resume.checkpoint(last, folder, round_id, done, resume.next_index(spark, folder))
     writers.write_final_counts(last, folder)
     return last
 

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import collage_queries, evaluation_queries, geometry_queries, source_queries, usage_queries  # noqa: F401
+    from . import collage_queries, evaluation_queries, geometry_queries, source_queries, sql_queries, usage_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts of a setting's name that mark it as secret.
@@ -43,10 +43,19 @@ def write_metrics(metrics: DataFrame, folder: str) -> None:
     write_text(metrics.sparkSession, f"{folder}/eval_metrics.json", document(metrics, "setting", "dataset", "trial_id"))
 
 
-def write_records(records: DataFrame, folder: str) -> None:
-    """K2: a trial's records in the order of the questions, without their numbers: one file of JSON lines."""
-    records.orderBy("sample_index").drop("sample_index", "trial_id").write.mode("overwrite").json(f"{folder}/_eval_records")
+def observed(df: DataFrame, counts: Mapping[str, Column] | None = None) -> tuple[DataFrame, Observation]:
+    """A table that counts its rows (``n``, and what else is asked) while the next job runs over it."""
+    seen = Observation()
+    wanted = {"n": F.count(F.lit(1)), **(counts or {})}
+    return df.observe(seen, *[c.alias(k) for k, c in wanted.items()]), seen
+
+
+def write_records(records: DataFrame, folder: str, counts: Mapping[str, Column] | None = None) -> dict[str, int]:
+    """K2: a trial's records in the order of the questions, without their numbers: one file of JSON lines.  Returns how many there are, and other counts, that came with the write."""
+    rows, seen = observed(records.orderBy("sample_index"), counts)  # above the sort, which reads what is below it twice
+    rows.drop("sample_index", "trial_id").write.mode("overwrite").json(f"{folder}/_eval_records")
     joined_file(records.sparkSession, f"{folder}/_eval_records", f"{folder}/eval_records.jsonl")
+    return seen.get
 
 
 def joined_file(spark: SparkSession, parts: str, path: str) -> None:
@@ -87,9 +96,11 @@ def write_settings(spark: SparkSession, settings: Mapping[str, object], folder:
     write_text(spark, f"{folder}/args.json", json.dumps(redacted(settings), ensure_ascii=False, indent=4, default=str))
 
 
-def write_sidecars(collages: DataFrame, folder: str) -> None:
-    """K7: a JSON document for each collage, in shards of a thousand."""
-    collages.select((F.col("collage_index") / 1000).cast("int").alias("shard"), "collage_index", "canvas", "layouts").write.mode("append").partitionBy("shard").json(f"{folder}/layouts")
+def write_sidecars(collages: DataFrame, folder: str) -> int:
+    """A JSON document for each collage, in shards of a thousand; how many were written."""
+    rows, seen = observed(collages.select((F.col("collage_index") / 1000).cast("int").alias("shard"), "collage_index", "canvas", "layouts"))
+    rows.write.mode("append").partitionBy("shard").json(f"{folder}/layouts")
+    return seen.get["n"]
 
 
 def write_counts(counts: DataFrame, folder: str, round_id: int) -> None:
