@@ -17,10 +17,10 @@ A key has 29 bits at least, so that a pair of unlike fingerprints meets with a
 probability of about 1e-7.
 
 Buckets of equal keys are not expanded into pairs.  Each bucket first links its
-members to its smallest one where they are within four bits; components of these
-links absorb dense groups.  Only members outside of the largest component of a
-bucket are then compared with the rest of the bucket, and the comparison is the
-join's own condition.
+members to three of it (the smallest, the largest, and one that a hash chooses)
+where they are within four bits; components of these links absorb dense groups.
+Only members outside of the largest component of a bucket are then compared with
+the rest of the bucket, and the comparison is the join's own condition.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .support import discard, hashed, shipped, staged, staged_alone, table, tidy
+from .support import discard, hashed, shipped, split_join, staged, staged_alone, table, tidy
 
 #: Words of a shingle, the seed of its hash, and the bits in which linked fingerprints may differ.
 WORDS, SEED, BITS = 4, 42, 4
@@ -185,10 +185,11 @@ def linked(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-distinct.count() // KEYED_ROWS))
     keyed = staged(_keyed(distinct.repartition(tasks, "fp")), "keyed")
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where(F.col("first") != F.col("last"))
-    shared = staged(keyed.join(buckets.select("key", "first"), "key"), "shared")
+    buckets = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.min_by("fp", F.xxhash64("fp")).alias("some")).where(F.col("first") != F.col("last"))
+    shared = staged(keyed.join(buckets, "key"), "shared")
     discard(keyed)
-    close = shared.where((F.col("fp") != F.col("first")) & _within("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    near = F.explode(F.filter(F.array_distinct(F.array("first", "last", "some")), lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= BITS)))
+    close = shared.select(F.col("fp").alias("a"), near.alias("b"))
     roots = staged(components(close, "dense"), "roots")
     named = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "named")
@@ -204,14 +205,18 @@ def _bridges(named: DataFrame) -> DataFrame:
     """Pairs (a, b) of roots that close members of one bucket join; each pair of roots comes once from a task.
 
     Only members outside of a bucket's largest component are compared with the
-    others.  A large bucket is cut into parts of about ``BUCKET_ROWS`` members,
-    and those outside go to each part, so that no task has a whole bucket.
+    others.  Both sides of a large bucket are cut into parts of about
+    ``BUCKET_ROWS``, and each part of one side meets each of the other, so a task
+    holds two parts at a time, however large the bucket and its components are.
     """
-    main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BUCKET_ROWS).cast("int").alias("parts")).where("roots > 1")
-    met = staged(named.join(main.select("key", "main", "parts"), "key"), "met")
-    members = met.select("key", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp", "root")
-    others = met.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    close = members.join(others, ["key", "part"]).where((F.col("root") != F.col("root2")) & _within("fp", "fp2"))
+    count = lambda rows: F.ceil(F.col(rows) / BUCKET_ROWS).cast("int")
+    main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside")).where("roots > 1")
+    met = staged(named.join(main.select("key", "main", count("all").alias("parts"), count("outside").alias("parts2")), "key"), "met")
+    own = lambda parts: F.pmod(F.xxhash64("fp"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    members = met.select("key", own("parts").alias("part"), each("parts2").alias("part2"), "fp", "root")
+    others = met.where(F.col("root") != F.col("main")).select("key", each("parts").alias("part"), own("parts2").alias("part2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    close = members.join(others, ["key", "part", "part2"]).where((F.col("root") != F.col("root2")) & _within("fp", "fp2"))
     return close.select(F.greatest("root", "root2").alias("a"), F.least("root", "root2").alias("b")).distinct()
 
 
@@ -232,9 +237,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         every = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
         distinct = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
         roots = staged(linked(distinct.select("fp")), "links")
-        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        groups = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-        return every.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        rooted = staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+        # a component, or a fingerprint, that a large share has doesn't meet in one task
+        groups = split_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select("fp", "component_id")
+        return split_join(every, groups, ["fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
     return staged_alone(found, "groups")
 

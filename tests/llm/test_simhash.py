@@ -131,3 +131,28 @@ def test_components(spark, edges):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert got == {i: find(i) for i in root}
+
+
+def test_a_large_bucket_without_a_large_component(spark, monkeypatch):
+    """Thousands that share a key, in small groups: both sides are cut, links are those of brute force, and no part has more than its share."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 150)
+    rng = np.random.default_rng(3)
+    base = 0x123456789 << 23  # the segments B and C, that all share
+    centres = rng.choice(1 << 23, 700, replace=False)
+    fps = np.unique(np.concatenate([centres, *[centres ^ (1 << rng.integers(0, 23, 700)) ^ (1 << rng.integers(0, 23, 700)) for _ in range(3)]])) | base
+    frame = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.linked(frame).collect()}
+    group = {int(f): int(f) for f in fps}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, f in enumerate(fps):
+        close = fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ f) <= 4]
+        for g in close.tolist():
+            a, b = top(int(f)), top(g)
+            group[max(a, b)] = min(a, b)
+    want = {f: top(f) for f in map(int, fps)}
+    assert {f: got.get(f, f) for f in want} == want and len(set(want.values())) > 1
