@@ -2,13 +2,14 @@
 
 The choice and the packing of a collage depend on each other step by step, so a
 chunk of the image table is a pandas group; chunks are dealt evenly, no larger
-than ``CHUNK_ROWS``, and each makes its share of a round.  A collage's random numbers depend on the seed
+than ``chunk_rows``, and each makes its share of a round.  A collage's random numbers depend on the seed
 and its index alone, so a retried task makes the same collage again.  Between
 rounds, uses are added to the table with joins, and the table is staged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -24,10 +25,12 @@ from ..functions import geometry
 from ..sources.checkpoints import shipped, staged
 from . import sampling, usage
 
+log = logging.getLogger(__name__)
+
 Rect = tuple[int, int, int, int]
 
 
-#: Images that a chunk has at most; a larger table makes more chunks than were asked for.
+#: Images that a chunk has at most, unless a run says otherwise; a larger table makes more chunks than were asked for, and says so.
 CHUNK_ROWS = 200_000
 
 
@@ -399,18 +402,24 @@ def prepared(images: DataFrame) -> DataFrame:
     return rows.withColumns({"uid": F.col("uid").cast("string"), "rho": rho, **{f"b{k}": box[k] for k in ("x0", "y0", "x1", "y1")}, "question": have("question"), "answer": have("answer")}).select(*_POOL_COLUMNS)
 
 
-def make_round(images: DataFrame, count: int, chunks: int, start: int = 0, seed: int = 42, settings: Settings | None = None, round_id: int = 0) -> DataFrame:
+def make_round(images: DataFrame, count: int, chunks: int, start: int = 0, seed: int = 42, settings: Settings | None = None, round_id: int = 0, chunk_rows: int | None = None) -> DataFrame:
     """One round: images dealt to chunks, indices to chunks in turn, collages of all chunks.
 
     Images are dealt by their uses (D25), those alike in the order of a hash of
     uid and round, so chunks are of equal size and use, and mixed anew each
     round.  Counts are fresh within a chunk and merged
-    after the round.  Chunks that a round has no collage for make none.
+    after the round.  Chunks that a round has no collage for make none.  A chunk
+    is held by one task: where ``chunks`` of ``chunk_rows`` (``CHUNK_ROWS``) don't
+    hold the table there are more, with a warning, as other chunks make other
+    collages.
     """
     s = settings or Settings()
     shipped(images.sparkSession)
     pool = prepared(images)
-    chunks = max(chunks, -(-pool.count() // CHUNK_ROWS))
+    needed = -(-pool.count() // (chunk_rows or CHUNK_ROWS))
+    if needed > chunks:
+        log.warning("%s chunks instead of %s, as one holds %s images at most", needed, chunks, chunk_rows or CHUNK_ROWS)
+    chunks = max(chunks, needed)
     shares = sampling.quotas(count, chunks, count)
     first = [start + sum(shares[:i]) for i in range(chunks)]
     rows = sampling.balanced(pool, chunks, F.xxhash64("uid", F.lit(seed), F.lit(round_id)), "uid")
@@ -429,7 +438,7 @@ def used_in(collages: DataFrame) -> DataFrame:
     return placed.groupBy("uid").agg(*[F.count_if(F.col("role") == r).alias(f"{r}_count") for r in usage.ROLES])
 
 
-def make_all(images: DataFrame, total: int, per_round: int, chunks: int, seed: int = 42, settings: Settings | None = None, start: int = 0, empty_rounds: int = 3, on_round=None) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+def make_all(images: DataFrame, total: int, per_round: int, chunks: int, seed: int = 42, settings: Settings | None = None, start: int = 0, empty_rounds: int = 3, on_round=None, chunk_rows: int | None = None) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """Rounds until ``total`` collages are made; yields the round, its collages and the table with its uses.
 
     An index that gave no collage stays a gap.  After ``empty_rounds`` rounds
@@ -438,7 +447,7 @@ def make_all(images: DataFrame, total: int, per_round: int, chunks: int, seed: i
     made, index, idle, round_id = 0, start, 0, 0
     while made < total and idle < empty_rounds:
         want = min(total - made, per_round)
-        collages = staged(make_round(images, want, chunks, index, seed, settings, round_id), "collages")
+        collages = staged(make_round(images, want, chunks, index, seed, settings, round_id, chunk_rows), "collages")
         n = collages.count()
         images = staged(usage.add_usage(images.withColumn("uid", F.col("uid").cast("string")), used_in(collages)), "images")
         made, index, idle = made + n, index + want, 0 if n else idle + 1

@@ -360,3 +360,31 @@ def layout_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def every_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that are displayed."""
     return relational.every_nth(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+
+
+@query(
+    "transcript_frames",
+    """
+    SELECT conv_id, turn, '>>>>>>>>>>>>>>>>>>> ' || role || ' messages start >>>>>>>>>>>>>>>>>>>' || chr(10) || text || '<<<<<<<<<<<<<<<<<<< ' || role || ' messages stop <<<<<<<<<<<<<<<<<<<<' || chr(10) AS framed FROM conversations
+    """,
+)
+def transcript_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """transcripts between their start and stop lines."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.framed(F.col("role"), F.col("text")).alias("framed"))
+
+
+@query(
+    "wrapped_lines",
+    """
+    WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS t FROM documents)
+    SELECT doc_id, length(t) > 0 AS some, regexp_replace(t, '[ ]+', '', 'g') AS words FROM d
+    """,
+)
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """texts broken into lines; all words are there, in order, and no line that has a space is too long (a null otherwise)."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
+    rows = table(spark, sf_dir, "documents").select("doc_id", plain.alias("t"), text.wrapped(plain, 60).alias("w"))
+    lines = F.split("w", "\n")
+    fits = F.forall(lines, lambda x: (F.char_length(x) <= 60) | ~F.contains(F.trim(x), F.lit(" ")))
+    words = F.when(text.strip(F.col("t")) == "", F.replace("t", F.lit(" "), F.lit(""))).otherwise(F.regexp_replace("w", "[ \n]+", ""))
+    return rows.select("doc_id", (F.char_length("t") > 0).alias("some"), F.when(fits, words).alias("words"))

@@ -274,3 +274,16 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("data_source"))
     order = F.struct(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     return relational.mixed(rows, {"en": 5, "de": 3, "fr": 2}, order).select("doc_id", "data_source", "position")
+
+
+@query(
+    "pressure_weights",
+    """
+    WITH a AS (SELECT p_partkey, p_size % 4 AS used, CAST(p_size AS DOUBLE) AS pressure FROM part), b AS (SELECT *, (pressure - (SELECT min(pressure) FROM a)) / ((SELECT max(pressure) FROM a) - (SELECT min(pressure) FROM a)) AS scaled FROM a)
+    SELECT p_partkey, round(1.0::DOUBLE / (1 + 4 * used) * (1 - 0.4::DOUBLE * scaled), 12) AS weight FROM b
+    """,
+)
+def pressure_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by use, with up to two fifths off for heavy images."""
+    rows = sampling.with_hardness(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("used"), F.col("p_size").cast("double").alias("pressure"), F.lit(1.0).alias("ratio")))
+    return rows.select("p_partkey", F.round(sampling.pressure_discount(F.lit(1.0) / (1 + 4 * F.col("used")), F.col("hardness")), 12).alias("weight"))  # of square images, the scaled pressure

@@ -22,10 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/tessella/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(target)  # only what is there can be marked
+    store.deleteOnExit(target)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage ends here, and nothing above runs twice."""
-    path = f"{shared_folder(df.sparkSession)}/tessella/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it back: its lineage ends here, and nothing above runs twice.  It goes when the driver ends."""
+    path = scratch(df.sparkSession, label)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
