@@ -10,7 +10,7 @@ small.  Nothing is shuffled: documents keep their place, and a passage that a
 third of them share costs no more than its own length.
 
 The test side is broadcast only up to ``block_bytes`` of text; a larger one is
-looked up block by block, with the result of each pass staged.  Blocks are dealt
+looked up block by block, and only what a block finds is staged.  Blocks are dealt
 by a hash of item and text, and made smaller until the largest is within the
 bound, or is a single item.
 """
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .support import discard, shipped, staged, table, tidy
+from .support import shipped, staged, table, tidy
 from .textspans import ALNUM, LOWER, buffers, groups, spans, word_hashes
 
 #: Words of a window; an item with fewer words is one window.
@@ -168,6 +169,7 @@ class Found:
     covered: np.ndarray
     items: set[int]
     matches: list[tuple[int, int, int, int]]  # item, first word in the document, in the item, words
+    longest: tuple[int, int, int] | None = None  # words, first word in the document, item
 
 
 def search(side: TestSide, raw: np.ndarray, offsets: np.ndarray, matches: bool = True) -> list[Found]:
@@ -210,25 +212,52 @@ def search(side: TestSide, raw: np.ndarray, offsets: np.ndarray, matches: bool =
     which, of = _spread(edges[pairs[:, 1]], edges[pairs[:, 1] + 1])
     for d, i in np.unique(np.stack([pairs[of, 0], side.item_of[order[which]]], 1), axis=0).tolist():
         out[d].items.add(i)
-    if not matches:
-        return out
+    first_token = np.searchsorted(side.item_of, np.arange(len(side.items)))
+    rank = np.argsort(np.argsort(np.array(side.items, dtype=object), kind="stable"), kind="stable")
+    for some in _portions(edges[window + 1] - edges[window]):
+        suffix, place, size = _extended(side, tokens, hit[some], window[some], order, edges)
+        word, item = word_of[place], side.item_of[suffix]
+        doc = doc_of_word[word]
+        best = np.lexsort((rank[item], word, -size, doc))
+        for k in best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])[: len(best)]].tolist():
+            d, now = int(doc[k]), (int(size[k]), int(word[k] - first_word[doc[k]]), int(item[k]))
+            old = out[d].longest
+            if old is None or (-now[0], now[1], rank[now[2]]) < (-old[0], old[1], rank[old[2]]):
+                out[d].longest = now
+        if matches:
+            for d, s, h, n in zip(doc.tolist(), suffix.tolist(), place.tolist(), size.tolist(), strict=True):
+                i = int(side.item_of[s])
+                out[d].matches.append((i, int(word_of[h] - first_word[d]), int(side.starts[s] - side.starts[first_token[i]]), n))
+    return out
+
+
+#: Pairs of an occurrence and a test suffix that are extended together, about.
+EXTENDED = 1 << 20
+
+
+def _portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of what expands to so many each; ``EXTENDED`` in all, but for a single larger one."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + EXTENDED, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _extended(side: TestSide, tokens: np.ndarray, hit: np.ndarray, window: np.ndarray, order: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where verbatim matches begin (test suffix, place in the shard), and how many words both sides agree on from there."""
     which, of = _spread(edges[window], edges[window + 1])
     suffix, hit = order[which], hit[of]
     here, there = hit, side.starts[suffix]
     longest = (here == 0) | (there == 0) | (tokens[here - 1] == 0) | (tokens[here - 1] != side.tokens[there - 1])
-    doc = doc_of_word[word_of[hit]]
-    suffix, hit, doc = suffix[longest], hit[longest], doc[longest]
+    suffix, hit = suffix[longest], hit[longest]
     size = side.length[suffix].astype(np.int64)
     growing = np.arange(len(suffix))
     while len(growing):
         mine, theirs = tokens[hit[growing] + size[growing]], side.tokens[side.starts[suffix[growing]] + size[growing]]
         growing = growing[(mine == theirs) & (mine > 0)]
         size[growing] += 1
-    first_token = np.searchsorted(side.item_of, np.arange(len(side.items)))
-    for d, s, h, n in zip(doc.tolist(), suffix.tolist(), hit.tolist(), size.tolist(), strict=True):
-        i = int(side.item_of[s])
-        out[d].matches.append((i, int(word_of[h] - first_word[d]), int(side.starts[s] - side.starts[first_token[i]]), n))
-    return out
+    return suffix, hit, size
 
 
 def _by(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -240,6 +269,14 @@ def _by(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("words", T.LongType())])
+LONGEST = T.StructType([T.StructField("words", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("item_id", T.StringType())])
+_FOUND = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("covered", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("matches", T.ArrayType(MATCH)),
+    T.StructField("longest", LONGEST),
+]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, matches: bool = True) -> DataFrame:
@@ -247,9 +284,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     Returns ``row`` (a struct of the columns ``keep`` of ``docs``, else of all), ``n_words``,
     ``covered`` (the places of the words inside occurring windows), ``items``
-    (sorted item ids) and ``matches`` (the longest verbatim matches: item, first
-    word in the document and in the item, words; empty without ``matches``, as a
-    repeated passage gives many), one row for each row.
+    (sorted item ids), ``longest`` (the longest verbatim match: words, its first
+    word in the document, item; of equal ones the first, then the smallest item
+    id; null if there is none) and ``matches`` (all that can't be made longer:
+    item, first word in the document and in the item, words; empty without
+    ``matches``, as a repeated passage gives many), one row for each row.
+
+    A benchmark of more than ``block_bytes`` is looked up block by block: the
+    documents are written once, with a number; each block reads their texts and
+    leaves only what it found, by number, and the last step joins it to them.
 
     Defined cases: a null or empty text has no words; an item without words is
     never found; rows that repeat an item id are that item's texts, each with
@@ -261,35 +304,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     total, largest = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-total // block_bytes))
     of = lambda n: F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    if blocks > 1:
-        texts = staged(texts, "items")
-        most = max(block_bytes, largest)
-        while texts.groupBy(of(blocks)).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] > most:
-            blocks += -(-blocks // 4)
-    out = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<bigint>").alias("covered"),
-        F.array().cast("array<string>").alias("items"),
-        F.array().cast(T.ArrayType(MATCH)).alias("matches"),
-    )
+    items = lambda block: [tuple(x) for x in block.orderBy("id", "text").collect()]  # noqa: E731  of bounded size
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if blocks == 1:
+        return _pass(spark, docs.select(whole), items(texts), window, text_col, keep or docs.columns, matches)
+    texts = staged(texts, "items")
+    most = max(block_bytes, largest)
+    while texts.groupBy(of(blocks)).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] > most:
+        blocks += -(-blocks // 4)
+    rows = staged(docs.select(whole, F.monotonically_increasing_id().alias("number")), "rows")
+    read = rows.select(F.struct("number", F.col(f"row.`{text_col}`").alias("text")).alias("row"))
+    found = []
     for b in range(blocks):
-        block = texts if blocks == 1 else texts.where(of(blocks) == b)
-        items = [tuple(x) for x in block.orderBy("id", "text").collect()]
-        before = out
-        out = _pass(spark, out, items, window, text_col, keep if keep and b == blocks - 1 else docs.columns, matches)
-        if blocks > 1:
-            out = staged(out, "leaks")
-            discard(before)
-    return out
+        here = _pass(spark, read, items(texts.where(of(blocks) == b)), window, "text", ["number"], matches)
+        found.append(staged(here.where((F.size("covered") > 0) | F.lit(b == 0)).select("row.number", F.lit(b).alias("block"), *[f.name for f in _FOUND]), "found"))
+    # a row has an entry for each block that it has a window of
+    every = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", c))), lambda x: x[c]))
+    better = F.struct(-F.col("longest.words"), F.col("longest.doc_word"), F.col("longest.item_id"))
+    merged = reduce(DataFrame.unionAll, found).groupBy("number").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(every("covered"))).alias("covered"),
+        F.array_sort(F.array_distinct(every("items"))).alias("items"),
+        every("matches").alias("matches"),
+        F.min_by("longest", F.when(F.col("longest").isNotNull(), better)).alias("longest"),
+    )
+    return rows.join(merged, "number").select(F.struct(*[F.col(f"row.`{c}`") for c in keep or docs.columns]).alias("row"), *[f.name for f in _FOUND])
 
 
 def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str | None]], window: int, text_col: str, keep: list[str], extended: bool) -> DataFrame:
-    """Look a block of items up and add what is found to the columns that hold it; ``row`` keeps the columns ``keep``."""
+    """Look a block of items up in the texts of ``row``, of which the columns ``keep`` stay."""
     side = spark.sparkContext.broadcast(test_side(items, window))
     names = rows.schema["row"].dataType.names
     text, kept = names.index(text_col), [names.index(c) for c in keep]
-    schema = T.StructType([T.StructField("row", T.StructType([rows.schema["row"].dataType.fields[i] for i in kept])), *rows.schema.fields[1:]])
+    schema = T.StructType([T.StructField("row", T.StructType([rows.schema["row"].dataType.fields[i] for i in kept])), *_FOUND])
+    arrow = [to_arrow_type(f.dataType) for f in _FOUND]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = side.value
@@ -297,18 +345,16 @@ def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[object, str |
             row = batch.column(0)
             data, offsets = buffers(row.field(text))
             row = pa.StructArray.from_arrays([row.field(i) for i in kept], fields=[row.type.field(i) for i in kept])
-            earlier = pa.compute.any(pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0)).as_py()
-            before = [c.to_pylist() for c in batch.columns[2:]] if earlier else None
             for a, b in groups(offsets):
                 found = search(own, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], extended)
-                covered, items = [f.covered.tolist() for f in found], [sorted({own.items[i] for i in f.items}) for f in found]
-                matches = [[dict(zip(MATCH.names, (own.items[i], *m), strict=True)) for i, *m in f.matches] for f in found]
-                if before:
-                    covered = [sorted({*x, *y}) for x, y in zip(covered, before[0][a:b], strict=True)]
-                    items = [sorted({*x, *y}) for x, y in zip(items, before[1][a:b], strict=True)]
-                    matches = [y + x for x, y in zip(matches, before[2][a:b], strict=True)]
-                columns = [pa.array(x, batch.schema.field(2 + i).type) for i, x in enumerate((covered, items, matches))]
-                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array([f.n_words for f in found], pa.int64()), *columns], batch.schema.names)
+                columns = (
+                    [f.n_words for f in found],
+                    [f.covered.tolist() for f in found],
+                    [sorted({own.items[i] for i in f.items}) for f in found],
+                    [[dict(zip(MATCH.names, (own.items[i], *m), strict=True)) for i, *m in f.matches] for f in found],
+                    [f.longest and {"words": f.longest[0], "doc_word": f.longest[1], "item_id": own.items[f.longest[2]]} for f in found],
+                )
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), *[pa.array(x, kind) for x, kind in zip(columns, arrow, strict=True)]], schema.names)
 
     return rows.mapInArrow(tidy(run), schema)
 
@@ -319,7 +365,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words inside occurring test windows, and the items that occur in it."""
+    """Every document's words inside occurring test windows, the items that occur in it, and the longest verbatim match."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = find_leaks(docs, items, keep=["doc_id"], matches=False)
     return found.select(
@@ -329,19 +375,26 @@ def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("covered") > 0).alias("contaminated"),
+        F.col("longest.words").alias("longest_words"),
+        F.col("longest.doc_word").alias("longest_at"),
+        F.col("longest.item_id").alias("longest_item"),
     )
 
 
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest([array_to_string(w[p:p + least(10, len(w)) - 1], ' ') FOR p IN range(1, len(w) - least(10, len(w)) + 2)]) AS s FROM b WHERE len(w) > 0),
+bq AS (SELECT t, item_id, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS q, unnest([array_to_string(w[p:p + least(10, len(w)) - 1], ' ') FOR p IN range(1, len(w) - least(10, len(w)) + 2)]) AS s FROM (SELECT *, row_number() OVER () AS t FROM b) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, s FROM bq),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, unnest([array_to_string(w[p:p + n - 1], ' ') FOR p IN range(1, len(w) - n + 2)]) AS s FROM d, sizes WHERE len(w) >= n),
 hits AS (SELECT r, p, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
 words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS place FROM hits) GROUP BY r),
+runs AS (SELECT r, t, item_id, n, p, q, p - row_number() OVER (PARTITION BY r, t, n, p - q ORDER BY p) AS run FROM dw JOIN bq USING (n, s)),
+longest AS (SELECT r, count(*) + n - 1 AS longest_words, min(p) - 1 AS longest_at, coalesce(CAST(item_id AS VARCHAR), 'None') AS longest_item FROM runs GROUP BY r, t, item_id, n, p - q, run
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY longest_words DESC, longest_at, longest_item) = 1),
 found AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, coalesce(CAST(item_id AS VARCHAR), 'None') AS i FROM hits) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN found ON d.r = found.r
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(longest_words AS BIGINT) AS longest_words, CAST(longest_at AS BIGINT) AS longest_at, longest_item
+FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN found ON d.r = found.r LEFT JOIN longest ON d.r = longest.r
 """

@@ -109,3 +109,41 @@ def test_sql_agrees(spark, tmp_path):
     for name in ("documents", "benchmark"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     assert rows_of(got) == rows_of(db.execute(queries.ORACLES["op7_suffix_decontamination"]).df())
+
+
+def brute_longest(text, items):
+    """The longest common stretch of words with any item, if it holds a window of it."""
+    words = [w for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
+    best = None
+    for item, body in items:
+        theirs = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (body or "").encode().lower())
+        least = min(10, len(theirs))
+        for p in range(len(words)):
+            for q in range(len(theirs)):
+                k = 0
+                while p + k < len(words) and q + k < len(theirs) and words[p + k] == theirs[q + k]:
+                    k += 1
+                if least and k >= least:
+                    found = (-k, p, str(item))
+                    best = min(best, found) if best else found
+    return best and (-best[0], best[1], best[2])
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_longest_matches_equal_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(d, "EXTENDED", 7)
+    rng = random.Random(block_bytes)
+    word = lambda: rng.choice("ab cd ef gh ij".split())
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 3, 12, 25])))) for i in range(8)]
+    texts = []
+    for i in range(40):
+        parts = [word() for _ in range(rng.randrange(25))]
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items)[1].split()
+            at = rng.randrange(len(own) + 1)
+            parts[rng.randrange(len(parts) + 1) : 0] = own[at:]
+        texts.append((i, " ".join(parts)))
+    docs, bench = spark.createDataFrame([*texts, (99, None)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r["row"]["doc_id"]: r["longest"] and tuple(r["longest"]) for r in d.find_leaks(docs, bench, block_bytes=block_bytes, matches=False).collect()}
+    want = {i: brute_longest(t, items) for i, t in [*texts, (99, None)]}
+    assert found == want and sum(v is not None for v in want.values()) > 4
