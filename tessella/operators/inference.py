@@ -261,6 +261,12 @@ def ask(backend: Backend, request: Request) -> list[dict]:
     return out
 
 
+def may_pass(error: Exception) -> bool:
+    """Whether an error may be gone at the next attempt: of the network, of a busy service, or of the service itself."""
+    code = getattr(error, "code", None)
+    return isinstance(error, OSError) and (not isinstance(code, int) or code in (408, 409, 425, 429) or code >= 500)
+
+
 @dataclass(frozen=True)
 class Retrying:
     """A backend whose failed calls are tried again, after pauses that double; which errors pass is for ``transient`` to say."""
@@ -268,7 +274,7 @@ class Retrying:
     backend: Backend
     attempts: int = 4
     pause: float = 1.0
-    transient: Callable[[Exception], bool] = lambda e: isinstance(e, (OSError, TimeoutError))
+    transient: Callable[[Exception], bool] = may_pass
 
     @property
     def model(self) -> str:

@@ -119,6 +119,9 @@ def test_calls_are_tried_again_if_that_may_help():
         with pytest.raises((OSError, ValueError)):
             inference.Retrying(backend, 3, 0.001).complete(request)
         assert backend.calls == n
+    from urllib.error import HTTPError
+
+    assert [inference.may_pass(HTTPError("u", code, "", {}, None)) for code in (401, 404, 429, 503)] == [False, False, True, True]
 
 
 def test_only_named_images_are_opened_and_large_ones_are_resized(spark, tmp_path):
