@@ -223,3 +223,13 @@ def training_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(own).write.parquet(f"{folder}/{name}")
     found = readers.training_rows(spark, [f"{folder}/{name}" for name, _ in sources])
     return found.select("data_source", F.get("prompt", F.lit(0))["content"].alias("question"), "reward_model.ground_truth", F.get(F.get("extra_info.bboxes", F.lit(0)), F.lit(2)).alias("x1"))
+
+
+@query("records_order", "SELECT row_number() OVER (ORDER BY page_id) - 1 AS sample_index, CAST(page_id AS VARCHAR) AS answer, length(html) AS size FROM pages")
+def records_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that come in any order, written in that of the questions and read line by line."""
+    folder = writers.trial_folder(_folder(spark, "order"), "m", "d", 0)
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("sample_index"), F.lit(0).alias("trial_id"), F.col("html").alias("question"), F.col("page_id").cast("string").alias("answer"))
+    writers.write_records(rows.repartition(7, "answer"), folder)
+    found = readers.annotations(spark, f"{folder}/eval_records.jsonl")
+    return found.select("sample_index", "answer", F.char_length("question").cast("long").alias("size"))
