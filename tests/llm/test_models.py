@@ -270,11 +270,48 @@ def test_a_chain_of_labelled_categories(spark):
 
 def test_links_don_t_see_their_own_seed_words(spark):
     rows = noisy(5, 600)
-    chain = toxicity.fit(table_of(spark, rows), spark.createDataFrame(labels(rows), LABELS))
+    seeds = {"contempt": ("worthless", "pathetic"), "insult": ("idiot", "moron", "stupid")}
+    chain = toxicity.fit(table_of(spark, rows), spark.createDataFrame(labels(rows), LABELS), categories=seeds)
+    assert chain.categories == (*seeds, "toxic")
     at = {int(h): i for i, h in enumerate(chain.chosen.view(np.int64))}
-    for k, words in enumerate(toxicity.CATEGORIES.values()):
+    for k, words in enumerate(seeds.values()):
         assert all(chain.weights[k][at[toxicity._word(w)]] == 0 for w in words)
-    assert any(chain.weights[-1][at[toxicity._word(w)]] != 0 for w in toxicity.CATEGORIES["insult"])
+    assert any(chain.weights[-1][at[toxicity._word(w)]] != 0 for w in seeds["insult"])
+
+
+def of(kind, unit, number):
+    """The hash of a word's beginning, or of a hash that makes up much of a text, as a signed number."""
+    return int(kind(np.array([toxicity._word(unit) if isinstance(unit, str) else unit], np.int64).view(np.uint64), number).view(np.int64)[0])
+
+
+def test_kinds_are_what_goes_together():
+    rng = np.random.default_rng(2)
+    kind = rng.integers(0, 5, 600)  # the last is not toxic
+    x = (rng.random((600, 40)) < 0.05).astype(float)
+    for k in range(4):
+        x[kind == k, 10 * k : 10 * k + 10] = rng.random(((kind == k).sum(), 10)) < 0.5
+    toxic = (kind < 4).astype(float)
+    got = toxicity.kinds(x, toxic, np.ones(600))
+    assert (got[kind == 4] == 0).all() and got.sum(axis=1).max() == 1
+    own = [np.bincount(kind[got[:, j] == 1], minlength=5) for j in range(4)]
+    assert sorted(int(o.argmax()) for o in own) == [0, 1, 2, 3] and all(o.max() / o.sum() > 0.9 for o in own)
+    assert toxicity.kinds(x[:0], toxic[:0], np.ones(0)).shape == (0, 4) and not toxicity.kinds(x, 0 * toxic, np.ones(600)).any()
+
+
+def test_the_chain_on_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r[0]: r[1] for r in marks.where("toxic is not null").select("doc_id", "toxic").collect() if zlib.crc32(str(r[0]).encode()) % 3 == 1}
+    losses = []
+    for linked in (True, False):
+        got = {r["doc_id"]: r["p_toxic"] for r in toxicity.score(docs, toxicity.fit(docs, marks, linked=linked)).collect()}
+        p, y = np.array([got[i] for i in truth]), np.array(list(truth.values()), float)
+        recall, wrong = float((p[y == 1] >= 0.5).mean()), int((p[y == 0] >= 0.5).sum())
+        sure = np.clip(p, 1e-6, 1 - 1e-6)
+        losses.append(float(-np.mean(y * np.log(sure) + (1 - y) * np.log(1 - sure))))
+        print(f"linked {linked}: recall {recall:.3f}, {wrong} false positives, log loss {losses[-1]:.4f}")
+        assert recall > 0.9 and wrong <= 2
+    assert losses[0] < losses[1]
 
 
 def test_probabilities_equal_the_links_done_one_by_one(spark):
@@ -282,10 +319,12 @@ def test_probabilities_equal_the_links_done_one_by_one(spark):
     chain = toxicity.fit(table_of(spark, rows), spark.createDataFrame(labels(rows), LABELS))
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     for r in toxicity.score(table_of(spark, rows[:60]), chain).collect():
-        words = set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", rows[r["doc_id"]][1].lower().translate(fold)))
-        seen = {toxicity._word(w) for w in words}
-        beginnings = {int(toxicity.mixed(np.array([toxicity._word(w[:5])], np.int64).view(np.uint64) ^ toxicity._OF_BEGINNING).view(np.int64)[0]) for w in words if len(w) > 5}
-        x, earlier = [float(int(h) in seen | beginnings) for h in chain.chosen.view(np.int64)], []
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", rows[r["doc_id"]][1].lower().translate(fold))
+        units = Counter(toxicity._word(w) for w in words)
+        for length in toxicity.BEGINNINGS:
+            units += Counter(of(toxicity._beginning, w[:length], length) for w in words if len(w) > length)
+        much = {of(toxicity._much, u, m) for u, n in units.items() for m in toxicity.MUCH if n * m >= len(words)}
+        x, earlier = [float(int(h) in units.keys() | much) for h in chain.chosen.view(np.int64)], []
         for c, w in zip(chain.categories, chain.weights, strict=True):
             z = sum(a * b for a, b in zip([*x, *earlier, 1.0], w, strict=True))
             earlier.append(1 / (1 + np.exp(-z)))
