@@ -340,8 +340,9 @@ def test_later_categories_see_earlier_probabilities():
 
 
 def test_text_features_of_hard_texts():
-    got = toxicity.text_features(pa.array(["Idiot idiot, IDIOT", None, "", "ñandúes Ñandúe", "a"]))
-    assert [len(g) for g in got] == [1, 0, 0, 4 - 1, 1]  # both of the fourth share a beginning
+    got = toxicity.text_features(pa.array(["Idiot idiot, IDIOT", None, "", "ñandúes Ñandúe", "a", "bb " + "aa " * 199, "bb " + "aa " * 200]))
+    # a unit once, and once more for each share that it makes up: a word and a beginning; two words and two beginnings that they share; one word; one word in 200, and in 201
+    assert [len(g) for g in got] == [2 * 4, 0, 0, 4 * 4, 4, 4 + 2, 4 + 1]
 
 
 def brute_candidates(text):
