@@ -35,3 +35,12 @@ def test_a_band_join_of_few_buckets_is_spread_over_tasks(spark, monkeypatch):
     assert got.columns == ["panel_id", "panel_area", "panel_ratio", "uid", "area", "ratio"]
     pairs = lambda df: sorted((r["panel_id"], r["uid"]) for r in df.select("panel_id", "uid").collect())
     assert pairs(got) == pairs(nested(panels, images)) and got.count() > 10_000
+
+
+def test_images_of_one_size_are_counted_without_their_pairs(spark, monkeypatch):
+    panels, images = tables(spark, 200, 4_000)
+    met, fitting = [], bandjoin.fitting
+    monkeypatch.setattr(bandjoin, "fitting", lambda *a: met.append(fitting(*a)) or met[-1])
+    got = {r["panel_id"]: r["n"] for r in bandjoin.band_counts(panels, images, 0.8).collect()}
+    want = {r["panel_id"]: r["count"] for r in nested(panels, images, 0.8).groupBy("panel_id").count().collect()}
+    assert got == want and met[0].count() * 5 < sum(want.values())
