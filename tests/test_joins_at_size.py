@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessella.operators import bandjoin
@@ -44,3 +46,15 @@ def test_images_of_one_size_are_counted_without_their_pairs(spark, monkeypatch):
     got = {r["panel_id"]: r["n"] for r in bandjoin.band_counts(panels, images, 0.8).collect()}
     want = {r["panel_id"]: r["count"] for r in nested(panels, images, 0.8).groupBy("panel_id").count().collect()}
     assert got == want and met[0].count() * 5 < sum(want.values())
+
+
+def test_overlaps_in_few_cells_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bandjoin, "SIDE", 50)
+    monkeypatch.setattr(bandjoin, "ALIKE", 3)
+    rects = lambda n, p, wide: spark.range(n).select(F.col("id").alias(f"{p}_id"), (F.col("id") * 37 % 400).alias(f"{p}x0"), (F.col("id") * 53 % 300).alias(f"{p}y0"), (F.col("id") * 37 % 400 + wide).alias(f"{p}x1"), (F.col("id") * 53 % 300 + F.col("id") % 5 * 20).alias(f"{p}y1"))
+    a, b = rects(300, "a", 60), rects(4_000, "b", 30)
+    got = bandjoin.overlapping(a, b)
+    assert largest_share(got) < 0.4 and got.columns == [*a.columns, *b.columns]
+    met = reduce(lambda x, y: x & y, [F.col(f"{p}{d}0") < F.col(f"{q}{d}1") for d in "xy" for p, q in ("ab", "ba", "aa", "bb")])
+    pairs = lambda df: sorted((r["a_id"], r["b_id"]) for r in df.select("a_id", "b_id").collect())
+    assert pairs(got) == pairs(a.crossJoin(b).where(met)) and got.count() > 10_000
