@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import bandjoin
@@ -58,3 +59,17 @@ def test_overlaps_in_few_cells_are_spread_over_tasks(spark, monkeypatch):
     met = reduce(lambda x, y: x & y, [F.col(f"{p}{d}0") < F.col(f"{q}{d}1") for d in "xy" for p, q in ("ab", "ba", "aa", "bb")])
     pairs = lambda df: sorted((r["a_id"], r["b_id"]) for r in df.select("a_id", "b_id").collect())
     assert pairs(got) == pairs(a.crossJoin(b).where(met)) and got.count() > 10_000
+
+
+def test_panels_of_one_ratio_ask_once(spark, monkeypatch):
+    panels, images = tables(spark, 60, 3_000)
+    images = images.withColumn("used", F.when(F.col("uid") % 5 > 0, F.col("uid") % 3))
+    labels, staged = [], bandjoin.staged
+    monkeypatch.setattr(bandjoin, "staged", lambda df, label: labels.append(label) or staged(df, label))
+    got = sorted((r["panel_id"], r["rank"], r["uid"]) for r in bandjoin.nearest_by_score(panels, images, 6, block=7).collect())
+    assert labels.count("nearest") == 1  # 60 panels of 7 ratios
+    table, want = images.toPandas(), []
+    for p in panels.collect():
+        score = 1 / (1 + 4 * table["used"].fillna(0)) / (1 + 0.8 * np.abs(np.log(table["ratio"]) - np.log(p["panel_ratio"])))
+        want += [(p["panel_id"], n, int(table["uid"][i])) for n, i in enumerate(np.lexsort((table["uid"], -score))[:6], 1)]
+    assert got == sorted(want)
