@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import bandjoin
+from tessella.operators import bandjoin, matching
 
 
 def largest_share(df) -> float:
@@ -73,3 +73,17 @@ def test_panels_of_one_ratio_ask_once(spark, monkeypatch):
         score = 1 / (1 + 4 * table["used"].fillna(0)) / (1 + 0.8 * np.abs(np.log(table["ratio"]) - np.log(p["panel_ratio"])))
         want += [(p["panel_id"], n, int(table["uid"][i])) for n, i in enumerate(np.lexsort((table["uid"], -score))[:6], 1)]
     assert got == sorted(want)
+
+
+def test_the_best_of_many_alike_are_found_without_all_pairs(spark, monkeypatch):
+    panels, images = tables(spark, 150, 6_000)
+    met, fitting = [], matching.fitting
+    monkeypatch.setattr(matching, "fitting", lambda *a: met.append(fitting(*a)) or met[-1])
+    weight = F.lit(1.0) / (1 + 4 * (F.col("uid") % 3))
+    got = matching.ranked_candidates(panels, images, weight, 3)
+    order = F.row_number().over(matching.Window.partitionBy("panel_id").orderBy(F.desc("score"), "uid"))
+    all_ = nested(panels, images)
+    want = all_.withColumn("score", matching.band_weight(F.col("ratio"), F.col("panel_ratio"), weight)).withColumn("place", order).where("place <= 3")
+    rows = lambda df: sorted((r["panel_id"], r["place"], r["uid"], r["score"], r["area"]) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() > 300
+    assert sum(x.count() for x in met) * 5 < all_.count()
