@@ -12,6 +12,7 @@ import json
 import logging
 import math
 import os
+import re
 import struct
 import time
 import urllib.request
@@ -23,7 +24,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +82,10 @@ class HttpBackend:
         return [Choice(c["message"].get("content"), c.get("finish_reason") or "", c["message"].get("role", "")) for c in found]
 
 
+#: Options at the end of what is asked; a question's own text may hold lines like theirs.
+OFFERED = re.compile(r"\nA\. [^\n]*(\n[B-Z]\. [^\n]*)+\Z")
+
+
 class ArithmeticBackend:
     """A deterministic model for tests: what it does follows from the number in the key."""
 
@@ -89,7 +94,7 @@ class ArithmeticBackend:
         if i % 11 == 0:
             raise RuntimeError("refused")
         asked = "".join(p.get("text") or "" for p in request.messages[-1]["content"])
-        said = ("A" if i % 3 == 0 else "B") if "\nA. " in asked else f"gt{i % 5}"
+        said = ("A" if i % 3 == 0 else "B") if OFFERED.search(asked) else f"gt{i % 5}"
         return [Choice(f"<answer>{said}</answer>", "length" if i % 7 == 0 else "stop") for _ in range(request.n)]
 
 
@@ -304,6 +309,9 @@ def _in_pool(rows: list, call: Callable, concurrency: int) -> list:
 def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt: str | None = None, call_settings: dict | None = None, image_settings: dict | None = None, concurrency: int = 8, separate: bool = False, max_pixels: int | None = None, min_pixels: int | None = None, call_log: Callable[[dict], None] | None = None, journal: str | None = None, in_flight: int | None = None) -> DataFrame:
     """A row (sample_index, trial_id, result) for each question and trial.
 
+    Where questions share a sample_index, a column ``nth`` that tells them apart
+    goes with the results.
+
     Choices of one request stand for the trials; with ``separate``, each trial
     is a request of its own.  ``concurrency`` is for each task; ``in_flight``, if
     given, bounds the calls of all tasks together: questions are dealt to no more
@@ -323,10 +331,12 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
     """
     spark = shipped(samples.sparkSession)
     have = [c for c in ("image_data", "image_bytes", "image_path", "image_url") if c in samples.columns]
-    asked = samples.select("sample_index", text.prompt(F.col("question"), F.col("options")).alias("prompt"), *have)
+    number = [c for c in ("nth",) if c in samples.columns]
+    asked = samples.select("sample_index", *number, text.prompt(F.col("question"), F.col("options")).alias("prompt"), *have)
     model = getattr(backend, "model", type(backend).__name__)
     backend = Logged(backend, call_log) if call_log else backend
-    schema = "sample_index bigint, trial_id int, result " + INFERENCE_RESULT.simpleString()
+    names = ["sample_index", *number, "trial_id", "result"]
+    schema = f"sample_index bigint, {'nth int, ' if number else ''}trial_id int, result {INFERENCE_RESULT.simpleString()}"
 
     def one(row: dict) -> list[dict]:
         url, data = row.get("image_url"), row.get("image_data")
@@ -352,7 +362,7 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
 
     def results(rows: list[dict]) -> pd.DataFrame:
         found = _in_pool(rows, one, at_a_time)
-        return pd.DataFrame([{"sample_index": r["sample_index"], "trial_id": t, "result": x} for r, each in zip(rows, found, strict=True) for t, x in zip(trials, each, strict=True)], columns=["sample_index", "trial_id", "result"])
+        return pd.DataFrame([{"sample_index": r["sample_index"], **{c: r[c] for c in number}, "trial_id": t, "result": x} for r, each in zip(rows, found, strict=True) for t, x in zip(trials, each, strict=True)], columns=names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -373,7 +383,7 @@ def infer(samples: DataFrame, backend: Backend, trials: list[int], system_prompt
     known = journals.answered(spark, journal).groupBy("key").agg(F.max_by("results", "final").alias("results"))  # answered twice: any answer
     each = F.posexplode(F.from_json("results", T.ArrayType(INFERENCE_RESULT)))
     trial = F.get(F.array(*[F.lit(t) for t in trials]), F.col("n"))
-    return keyed.select("sample_index", "key").join(known, "key").select("sample_index", each.alias("n", "result")).select("sample_index", trial.cast("int").alias("trial_id"), "result")
+    return keyed.select("sample_index", *number, "key").join(known, "key").select("sample_index", *number, each.alias("n", "result")).select("sample_index", *number, trial.cast("int").alias("trial_id"), "result")
 
 
 def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None = None, concurrency: int = 8, strict: bool = False, call_log: Callable[[dict], None] | None = None, in_flight: int | None = None) -> DataFrame:
@@ -389,7 +399,8 @@ def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None =
     first = F.when(choice, text.filled(t["choice"], question=F.col("question"), options=F.col("options"), model_answer=F.col("raw"))).otherwise(text.filled(t["open"], question=F.col("question"), model_response=F.col("raw")))
     marker = "\x00extracted\x00"
     second = text.filled(t["judge"], question=F.col("question"), gt_answer=F.col("answer"), model_answer=F.lit(marker))
-    asked = rows.select("sample_index", "trial_id", "answer", choice.alias("choice"), first.alias("first"), second.alias("second"))
+    number = [c for c in ("nth",) if c in rows.columns]
+    asked = rows.select("sample_index", *number, "trial_id", "answer", choice.alias("choice"), first.alias("first"), second.alias("second"))
     tasks = min(in_flight, rows.sparkSession.sparkContext.defaultParallelism) if in_flight else None
     at_a_time = max(1, in_flight // tasks) if in_flight else concurrency
 
@@ -415,10 +426,10 @@ def judge(rows: DataFrame, backend: Backend, templates: dict[str, str] | None =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             results = _in_pool(frame.to_dict("records"), one, at_a_time)
-            yield pd.DataFrame({"sample_index": frame["sample_index"], "trial_id": frame["trial_id"], "extracted_answer": [r[0] for r in results], "is_correct": [r[1] for r in results], "fail_reason": [r[2] for r in results]})
+            yield pd.DataFrame({"sample_index": frame["sample_index"], **{c: frame[c] for c in number}, "trial_id": frame["trial_id"], "extracted_answer": [r[0] for r in results], "is_correct": [r[1] for r in results], "fail_reason": [r[2] for r in results]})
 
     asked = asked.repartition(tasks) if tasks else asked
-    return asked.mapInPandas(run, "sample_index bigint, trial_id int, extracted_answer string, is_correct boolean, fail_reason string")
+    return asked.mapInPandas(run, f"sample_index bigint, {'nth int, ' if number else ''}trial_id int, extracted_answer string, is_correct boolean, fail_reason string")
 
 
 def evaluate(samples: DataFrame, main: Backend, judging: Backend, trials: list[int], max_answer_length: int = 1000, strict: bool = False, templates: dict[str, str] | None = None, **options) -> DataFrame:
@@ -427,15 +438,21 @@ def evaluate(samples: DataFrame, main: Backend, judging: Backend, trials: list[i
     A failed call, or a response that was cut off, ends there.  An answer that
     equals the true one verbatim is correct without a judge.  The rest is cut to
     its end and judged.  ``samples`` needs sample_index, question, options and answer.
+    Questions that share a sample_index are numbered, each has its own result.
     """
+    columns, number = samples.columns, []
+    if samples.groupBy("sample_index").count().where(F.col("count") > 1).limit(1).count():
+        number = ["nth"]
+        samples = samples.withColumn("nth", F.row_number().over(Window.partitionBy("sample_index").orderBy(F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))))
+    one = ["sample_index", *number]
     results = staged(infer(samples, main, trials, **options), "inference")
-    joined = samples.select("sample_index", "question", "options", "answer").join(results, "sample_index")
+    joined = samples.select(*one, "question", "options", "answer").join(results, one)
     stopped = F.col("result.success") & (F.col("result.finish_reason") == "stop")
     raw = text.rule_answer(F.col("result.last_message_content"))
     ruled = joined.withColumn("raw", F.when(stopped, raw)).withColumn("exact", F.coalesce(F.col("raw") == F.col("answer"), F.lit(False)))
     rest = ruled.where(stopped & ~F.col("exact")).withColumn("raw", text.left_crop(F.col("raw"), max_answer_length))
     judged = staged(judge(rest, judging, templates, options.get("concurrency", 8), strict, options.get("call_log"), options.get("in_flight")), "judged").withColumnRenamed("fail_reason", "judge_reason")
-    every = ruled.join(judged, ["sample_index", "trial_id"], "left")
+    every = ruled.join(judged, [*one, "trial_id"], "left")
     reason = F.when(~F.col("result.success"), "inference_failed").when(~stopped, F.concat(F.lit("finish_reason:"), "result.finish_reason")).otherwise(F.col("judge_reason"))
     outcome = F.struct(
         F.col("sample_index").cast("long").alias("sample_index"),
@@ -445,7 +462,7 @@ def evaluate(samples: DataFrame, main: Backend, judging: Backend, trials: list[i
         F.when(F.col("exact"), F.col("raw")).otherwise(F.col("extracted_answer")).alias("extracted_answer"),
         F.when(F.col("exact"), F.lit(True)).otherwise(F.col("is_correct")).alias("is_correct"),
     ).cast(EVAL_RESULT)
-    return samples.join(every.select("sample_index", "trial_id", outcome.alias("eval_result")), "sample_index")
+    return samples.join(every.select(*one, "trial_id", outcome.alias("eval_result")), one).select(*columns, "trial_id", "eval_result")
 
 
 __all__ = ["ArithmeticBackend", "ArithmeticJudge", "Backend", "CONVERSATION", "Choice", "HttpBackend", "MESSAGE", "Request", "ask", "evaluate", "infer", "judge", "prepare_image", "user_message"]
