@@ -108,7 +108,8 @@ class Pool:
         if not len(rows) or k <= 0:
             return []
         keys = rng.exponential(size=len(rows)) / np.maximum(weights, 1e-12)
-        return rows[np.argsort(keys, kind="stable")[:k]].tolist()
+        first = np.flatnonzero(keys <= np.partition(keys, k - 1)[k - 1]) if k < len(keys) else np.arange(len(keys))  # only these need sorting
+        return rows[first[np.argsort(keys[first], kind="stable")[:k]]].tolist()
 
     def draw_mixed(self, rows: np.ndarray, role: str, k: int, rng: np.random.Generator, pressed: bool) -> list[int]:
         """Two fifths hard and three fifths easy; what is lacking is filled from the rest."""
@@ -120,7 +121,7 @@ class Pool:
         easy_rows, hard_rows = rows[h <= bound], rows[h > bound]
         got = self.draw(easy_rows, self.weights(easy_rows, role, pressed), k - hard, rng)
         got += self.draw(hard_rows, self.weights(hard_rows, role, pressed), hard, rng)
-        rest = np.setdiff1d(rows, got)
+        rest = rows[~np.isin(rows, got)]
         return (got + self.draw(rest, self.weights(rest, role, pressed), k - len(got), rng))[:k]
 
 
@@ -160,7 +161,7 @@ def choose(pool: Pool, s: Settings, rng: np.random.Generator, pressed: bool) ->
     k, n_core = int(rng.integers(s.k_min, s.k_max + 1)), int(rng.integers(s.core_min, s.core_max + 1))
     rows = np.arange(len(pool.area))
     core = pool.draw_mixed(rows, "core", n_core, rng, pressed)
-    alt = pool.draw_mixed(np.setdiff1d(rows, core), "alt", max(0, k - n_core), rng, pressed)
+    alt = pool.draw_mixed(np.delete(rows, core), "alt", max(0, k - n_core), rng, pressed)
     if len(core) < n_core or len(alt) < max(0, k - n_core):
         return None
     items = [Item(i, "core") for i in core] + [Item(i, "alt") for i in alt]

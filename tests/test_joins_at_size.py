@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators import bandjoin, matching
+from tessella.operators import bandjoin, collage, matching
 
 
 def largest_share(df) -> float:
@@ -87,3 +88,14 @@ def test_the_best_of_many_alike_are_found_without_all_pairs(spark, monkeypatch):
     rows = lambda df: sorted((r["panel_id"], r["place"], r["uid"], r["score"], r["area"]) for r in df.collect())
     assert rows(got) == rows(want) and got.count() > 300
     assert sum(x.count() for x in met) * 5 < all_.count()
+
+
+def test_a_draw_sorts_only_what_it_takes(monkeypatch):
+    n, sizes, argsort = 5_000, [], np.argsort
+    frame = pd.DataFrame({"uid": [str(i) for i in range(n)], "image": [str(i) for i in range(n)], "img_width": 300, "img_height": 200, "rho": 0.0, "core_count": 0, "alt_count": 0, "fill_count": 0})
+    pool = collage.Pool(frame, collage.Settings())
+    rows, weights = np.arange(n), 1.0 + np.arange(n) % 7
+    want = rows[argsort(np.random.default_rng(3).exponential(size=n) / weights, kind="stable")[:9]].tolist()
+    monkeypatch.setattr(collage.np, "argsort", lambda a, **k: sizes.append(len(a)) or argsort(a, **k))
+    assert pool.draw(rows, weights, 9, np.random.default_rng(3)) == want and sizes == [9]
+    assert sorted(pool.draw(rows[:4], weights[:4], 9, np.random.default_rng(3))) == [0, 1, 2, 3]
