@@ -97,8 +97,12 @@ def write_settings(spark: SparkSession, settings: Mapping[str, object], folder:
 
 
 def write_sidecars(collages: DataFrame, folder: str) -> int:
-    """A JSON document for each collage, in shards of a thousand; how many were written."""
-    rows, seen = observed(collages.select((F.col("collage_index") / 1000).cast("int").alias("shard"), "collage_index", "canvas", "layouts"))
+    """A JSON document for each collage, in shards of a thousand; how many were written.
+
+    A shard goes to one task, so there is one file of each, however many tasks
+    the collages come from.
+    """
+    rows, seen = observed(collages.select((F.col("collage_index") / 1000).cast("int").alias("shard"), "collage_index", "canvas", "layouts").repartition("shard"))
     rows.write.mode("append").partitionBy("shard").json(f"{folder}/layouts")
     return seen.get["n"]
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.operators import bandjoin, collage, matching
+from tessella.sources import writers
 
 
 def largest_share(df) -> float:
@@ -90,6 +91,13 @@ def test_the_best_of_many_alike_are_found_without_all_pairs(spark, monkeypatch):
     assert sum(x.count() for x in met) * 5 < all_.count()
 
 
+def test_a_shard_of_sidecars_is_one_file(spark, tmp_path):
+    rows = spark.range(3_000, numPartitions=6).select((F.col("id") * 7 % 3_000).alias("collage_index"), F.lit(None).cast("struct<width: long>").alias("canvas"), F.array(F.struct(F.lit(1).alias("layout_id"))).alias("layouts"))
+    assert writers.write_sidecars(rows, str(tmp_path)) == 3_000
+    files = [p for p in (tmp_path / "layouts").rglob("part-*.json")]
+    assert len(files) == 3 and sum(len(p.read_text().splitlines()) for p in files) == 3_000
+
+
 def test_a_draw_sorts_only_what_it_takes(monkeypatch):
     n, sizes, argsort = 5_000, [], np.argsort
     frame = pd.DataFrame({"uid": [str(i) for i in range(n)], "image": [str(i) for i in range(n)], "img_width": 300, "img_height": 200, "rho": 0.0, "core_count": 0, "alt_count": 0, "fill_count": 0})
