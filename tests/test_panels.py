@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,62 @@ def test_panels_are_disjoint_and_within_bounds(spark):
     assert [r["panels"] for r in panels.cut_panels(none, "free", 20).collect()] == [[], []]
 
 
+def cut_one_by_one(free, grid=20):
+    """D15 as the SQL has it: the largest is taken out of all that wait, parts included, one after another."""
+    waiting, done = [f for f in free if min(f[2] - f[0], f[3] - f[1]) >= grid], []
+    while waiting:
+        u = min(waiting, key=lambda r: (-(r[2] - r[0]) * (r[3] - r[1]), r))
+        cut = []
+        for f in (w for w in waiting if w != u):
+            top, bottom = max(f[1], u[1]), min(f[3], u[3])
+            cut += [(f[0], f[1], f[2], u[1]), (f[0], u[3], f[2], f[3]), (f[0], top, u[0], bottom), (u[2], top, f[2], bottom)] if collage.overlap(f, u) else [f]
+        cut = [r for r in cut if r[2] > r[0] and r[3] > r[1]]
+        waiting = [a for a in cut if sum(b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] for b in cut) == 1 and min(a[2] - a[0], a[3] - a[1]) >= grid]
+        w, h = u[2] - u[0], u[3] - u[1]
+        at = u[0] + w // (2 * grid) * grid if w >= h else u[1] + h // (2 * grid) * grid
+        parts = [(*u[:2], at, u[3]), (at, *u[1:])] if w >= h else [(*u[:3], at), (u[0], at, *u[2:])]
+        small = any((p[2] - p[0]) * (p[3] - p[1]) < 2 * grid * grid or min(p[2] - p[0], p[3] - p[1]) < grid for p in parts)
+        if 0.4 <= w / h <= 2.5 or small:
+            done.append(u)
+        else:
+            waiting += parts
+    return sorted(done)
+
+
+def test_panels_equal_those_cut_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(panels, "PAIRS", 7)
+    rng, spaces = random.Random(5), []
+    for c in range(60):  # not only maximal ones: some hold others, some are equal
+        rects = [(x, y, x + rng.randrange(10, 400, 5), y + rng.randrange(10, 160, 5)) for x, y in ((rng.randrange(0, 300, 5), rng.randrange(0, 200, 5)) for _ in range(c % 12))]
+        spaces.append(rects + rng.choices(rects, k=c % 3) if rects else rects)
+    frame = spark.createDataFrame(list(enumerate(spaces)), f"canvas long, free {panels.PANELS}")
+    for r in panels.cut_panels(frame, "free", 20).collect():
+        assert sorted(tuple(x) for x in r["panels"]) == cut_one_by_one(spaces[r["canvas"]])
+    flat = panels.np.array([r for s in spaces for r in s], "int64").T
+    own, found = panels._panels(panels.np.array([len(s) for s in spaces]), flat, 20, 0.4, 2.5, 0.5)  # in this process, with few pairs at a time
+    for c, s in enumerate(spaces):
+        assert sorted(map(tuple, found[:, own == c].T.tolist())) == cut_one_by_one(s)
+
+
+def test_parts_of_a_panel_take_no_steps_of_their_own(spark, monkeypatch):
+    works, steps, without, frame = [], [], panels._without, spark.createDataFrame([], f"canvas long, free {panels.PANELS}")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, *a, g=type(frame).mapInArrow: works.append(f) or g(self, f, *a))
+    monkeypatch.setattr(panels, "_without", lambda *a, **k: steps.append(1) or without(*a, **k))
+    panels.cut_panels(frame, "free", 20)
+    boxes = pa.StructArray.from_arrays([pa.array(side) for side in ([0, 0], [0, 100], [40 * 256, 60], [40, 140])], ["x0", "y0", "x1", "y1"])
+    batch = pa.RecordBatch.from_arrays([pa.array([{"_": 0, "canvas": 1}]), pa.ListArray.from_arrays([0, 2], boxes)], ["row", "free"])
+    (found,) = list(works[0](iter([batch])))
+    got = sorted(tuple(p.values()) for p in found.to_pylist()[0]["panels"])
+    assert got == sorted([(80 * i, 0, 80 * i + 80, 40) for i in range(128)] + [(0, 100, 60, 140)])
+    assert len(steps) == 2  # before: one for each panel and each cut, each comparing all that waited
+
+
+def test_free_space_runs_no_function_row_by_row(spark):
+    frame = spark.createDataFrame(canvases(6, 3), "canvas long, k long, x0 long, y0 long, x1 long, y1 long")
+    plan = panels.free_space(frame, "canvas", 400, 250, ["k"], 20)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+
+
 @pytest.mark.parametrize("scope", [(), ("canvas",)])
 def test_matching_equals_choosing_one_after_another(spark, scope):
     rng = random.Random(len(scope))
