@@ -42,6 +42,14 @@ def test_a_band_join_of_few_buckets_is_spread_over_tasks(spark, monkeypatch):
     assert pairs(got) == pairs(nested(panels, images)) and got.count() > 10_000
 
 
+def test_images_of_one_size_reach_a_join_in_short_arrays_and_leave_it_one_at_a_time(spark):
+    """A join hands on all that a row of its left side makes at once: that has to be pairs of sizes, not of images."""
+    panels, images = tables(spark, 50, 100_000)
+    got = bandjoin.band_join(panels, images)
+    assert "Coalesce" in got._jdf.queryExecution().executedPlan().toString()
+    assert bandjoin.alike(images, ["area", "ratio"]).agg(F.max(F.size("_rows"))).first()[0] < 250
+
+
 def test_images_of_one_size_are_counted_without_their_pairs(spark, monkeypatch):
     panels, images = tables(spark, 200, 4_000)
     met, fitting = [], bandjoin.fitting
