@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessella.operators import bandjoin, collage, matching
@@ -42,6 +43,20 @@ def test_a_band_join_of_few_buckets_is_spread_over_tasks(spark, monkeypatch):
     assert pairs(got) == pairs(nested(panels, images)) and got.count() > 10_000
 
 
+def bytes_a_row(df, path) -> float:
+    """What a row takes in Parquet files, without what each file has besides."""
+    df.write.parquet(str(path))
+    held = [pq.read_metadata(p) for p in path.glob("part-*.parquet")]
+    sizes = [sum(m.row_group(i).column(c).total_compressed_size for c in range(m.num_columns)) for m in held for i in range(m.num_row_groups)]
+    return sum(sizes) / sum(m.num_rows for m in held)
+
+
+def test_pairs_of_overlapping_rectangles_take_little_space_in_files(spark, tmp_path):
+    at = lambda n, p, kinds: spark.range(n).select(F.col("id").alias(f"{p}_id"), *[(F.xxhash64(F.col("id") % kinds, F.lit(f"{p}{d}")) % 200 + 200 + far).alias(f"{p}{d}{i}") for i, far in enumerate((0, 90)) for d in "xy"])
+    got = bandjoin.overlapping(at(2_000, "a", 2_000), at(6_000, "b", 300)).select("a_id", "b_id")
+    assert bytes_a_row(got, tmp_path / "pairs") < 0.3
+
+
 def test_images_of_one_size_reach_a_join_in_short_arrays_and_leave_it_one_at_a_time(spark):
     """A join hands on all that a row of its left side makes at once: that has to be pairs of sizes, not of images."""
     panels, images = tables(spark, 50, 100_000)
